@@ -1,0 +1 @@
+"""Every edition is a full batch reload, so there are no streaming operators."""
