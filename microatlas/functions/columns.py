@@ -45,7 +45,8 @@ def percent_of(fraction: Column | str, digits: int = 1) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Null stays null: ``least`` and ``greatest`` alone would skip it."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def point_radius(total: Column | str, shape: tuple[float, float, float] = config.POINT_RADIUS) -> Column:
@@ -55,7 +56,8 @@ def point_radius(total: Column | str, shape: tuple[float, float, float] = config
 
 def to_ceiling(c: Column | str, ceiling: float = config.RELATIVE_CEILING, scale: float = 100.0) -> Column:
     """A value relative to a ceiling, never above ``scale``."""
-    return F.least(as_col(c) / F.lit(ceiling) * F.lit(scale), F.lit(scale))
+    c = as_col(c)
+    return F.when(c.isNotNull(), F.least(c / F.lit(ceiling) * F.lit(scale), F.lit(scale)))
 
 
 def direction(c: Column | str) -> Column:
@@ -112,7 +114,7 @@ def is_token(c: Column | str, token: str) -> Column:
 def bucket(c: Column | str, width: int = config.BUCKET_WIDTH, last: int | None = config.BUCKETS[-1]) -> Column:
     """Lower edge of a fixed-width bucket; the top score joins the last bucket."""
     edge = (F.floor(as_col(c) / width) * width).cast("int")
-    return edge if last is None else F.least(edge, F.lit(last))
+    return edge if last is None else F.when(edge.isNotNull(), F.least(edge, F.lit(last)))
 
 
 def bucket_name(edge: Column | str, width: int = config.BUCKET_WIDTH) -> Column:

@@ -54,10 +54,9 @@ def exact_quantiles(
         if c not in narrow:
             n = profile[f"n|{c}"]
             ranks = sorted({r for q in wanted[c] for r in _ranks(n, q)})
-            at = {
-                r: _value_at_rank(df, c, r, profile[f"lo|{c}"], profile[f"hi|{c}"], distinct_limit)
-                for r in ranks
-            }
+            at = _values_at_ranks(
+                df, c, ranks, profile[f"lo|{c}"], profile[f"hi|{c}"], distinct_limit
+            )
             out[c] = [_interpolate(n, q, at) for q in wanted[c]]
     return out
 
@@ -79,46 +78,63 @@ def _interpolate(n: int, q: float, at: Mapping[int, float]) -> float:
     return at[low] + (at[high] - at[low]) * ((n - 1) * q - low)
 
 
-def _value_at_rank(
-    df: DataFrame, column: str, rank: int, low: float, high: float, limit: int
-) -> float:
-    """The value of a 0-based rank, by narrowing the interval that holds it."""
+def _values_at_ranks(
+    df: DataFrame, column: str, ranks: Sequence[int], low: float, high: float, limit: int
+) -> dict[int, float]:
+    """Values of 0-based ranks, by narrowing the intervals that hold them.
+
+    All ranks narrow together: one pass per level, however many ranks.
+    """
     v = F.col(column).cast("double")
-    below = 0  # rows under the interval
-    while low < high:
-        inside = df.filter((v >= F.lit(low)) & (v <= F.lit(high)))
-        width = (high - low) / SLICES
-        if width <= 0 or low + width == low:
-            break
-        slice_no = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(SLICES - 1))
-        # At most SLICES rows come back, whatever the data.
+    found: dict[int, float] = {}
+    wide = {(low, high, 0): list(ranks)}  # (from, to, rows below) -> ranks inside
+    small: dict[tuple[float, float, int], list[int]] = {}
+    while wide:
+        intervals = sorted(wide)
+        which, slice_no = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+        for i, (a, b, _) in enumerate(intervals):
+            inside = (v >= F.lit(a)) & (v <= F.lit(b))
+            width = (b - a) / SLICES
+            position = F.floor((v - F.lit(a)) / F.lit(width)) if width > 0 else F.lit(0)
+            which = F.when(inside, F.lit(i)).otherwise(which)
+            slice_no = F.when(inside, F.least(position, F.lit(SLICES - 1))).otherwise(slice_no)
+        # At most SLICES rows per interval come back, whatever the data.
         slices = (
-            inside.groupBy(slice_no.alias("s"))
+            df.select(which.alias("i"), slice_no.alias("s"), v.alias("v"))
+            .filter(F.col("i").isNotNull())
+            .groupBy("i", "s")
             .agg(
                 F.count(F.lit(1)).alias("n"),
-                F.approx_count_distinct(v, 0.02).alias("d"),
-                F.min(v).alias("lo"),
-                F.max(v).alias("hi"),
+                F.approx_count_distinct("v", 0.02).alias("d"),
+                F.min("v").alias("lo"),
+                F.max("v").alias("hi"),
             )
-            .orderBy("s")
+            .orderBy("i", "s")
             .collect()
         )
-        for s in slices:
-            if rank < below + s.n:
-                break
-            below += s.n
-        low, high = s.lo, s.hi
-        if s.d <= limit:
-            break
-    if low == high:
-        return low
-    inside = df.filter((v >= F.lit(low)) & (v <= F.lit(high)))
-    counts = inside.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    # At most ``limit`` distinct values are left, so one ordered window is bounded.
-    running = F.sum("n").over(W.orderBy("v"))
-    return (
-        counts.select("v", running.alias("upto"))
-        .filter(F.col("upto") > F.lit(rank - below))
-        .agg(F.min("v"))
-        .first()[0]
-    )
+        narrowed: dict[tuple[float, float, int], list[int]] = {}
+        for i, interval in enumerate(intervals):
+            below = interval[2]
+            for part in (s for s in slices if s.i == i):
+                here = [r for r in wide[interval] if below <= r < below + part.n]
+                if here and part.lo == part.hi:
+                    found.update({r: part.lo for r in here})
+                elif here:
+                    key = (part.lo, part.hi, below)
+                    stuck = (part.lo, part.hi) == interval[:2]
+                    (small if part.d <= limit or stuck else narrowed)[key] = here
+                below += part.n
+        wide = narrowed
+    for (a, b, below), here in small.items():
+        counts = (
+            df.filter((v >= F.lit(a)) & (v <= F.lit(b)))
+            .groupBy(v.alias("v"))
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        # About ``limit`` distinct values are left, so one ordered window is bounded.
+        upto = counts.select("v", (F.sum("n").over(W.orderBy("v")) + F.lit(below)).alias("upto"))
+        row = upto.agg(
+            *[F.min(F.when(F.col("upto") > F.lit(r), F.col("v"))).alias(str(r)) for r in here]
+        ).first()
+        found.update({r: row[str(r)] for r in here})
+    return found
