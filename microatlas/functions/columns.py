@@ -133,7 +133,9 @@ def band(c: Column | str, low: float, high: float, classes: tuple[str, str, str]
 
 
 def class_order(c: Column | str, classes: tuple[str, ...] = config.CLASSES) -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in classes]), as_col(c))
+    """1-based place in the fixed class list; null for other values."""
+    place = F.array_position(F.array(*[F.lit(x) for x in classes]), as_col(c))
+    return F.nullif(place, F.lit(0))
 
 
 def all_of(conditions: Iterable[Column]) -> Column:

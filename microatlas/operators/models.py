@@ -276,7 +276,8 @@ def fit_classifier(
     labelled rows instead.
     """
     features = list(features)
-    marked = stratified_holdout(df.select(*keys, *features, label), label, keys, fraction)
+    labelled = df.select(*keys, *features, label).filter(F.col(label).isin(list(classes)))
+    marked = stratified_holdout(labelled, label, keys, fraction)
     train = marked.filter(~F.col("teste"))
     medians = exact_medians(train if fit_on == "train" else marked, features)
     prepare = _imputer(medians, "_f")
