@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -23,6 +24,7 @@ from microatlas import config
 from microatlas.functions.columns import class_order, rounded_half_even
 from microatlas.operators.quantiles import exact_medians
 from microatlas.operators.split import stratified_holdout, with_class_weight
+from microatlas.runtime import settle
 
 
 # --- preparation ---------------------------------------------------------------------
@@ -36,16 +38,26 @@ def impute(df: DataFrame, medians: Mapping[str, float | None]) -> DataFrame:
     )
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation per column; a constant column gets deviation 1."""
-    row = df.agg(
+def moments(
+    df: DataFrame, columns: Sequence[str], weight: str | None = None
+) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation per column; a constant column gets deviation 1.
+
+    ``weight`` names a column with how many equal rows each row stands for.
+    """
+    n = F.col(weight) if weight else F.lit(1.0)
+    total = lambda c, e: F.sum(F.when(F.col(c).isNotNull(), n * e))
+    means = df.agg(
+        *[F.try_divide(total(c, F.col(c)), total(c, F.lit(1.0))).alias(c) for c in columns]
+    ).first()
+    centred = {c: F.col(c) - F.lit(means[c] or 0.0) for c in columns}
+    spread = df.agg(
         *[
-            e
+            F.sqrt(F.try_divide(total(c, centred[c] * centred[c]), total(c, F.lit(1.0)))).alias(c)
             for c in columns
-            for e in (F.avg(c).alias(f"m|{c}"), F.stddev_pop(c).alias(f"s|{c}"))
         ]
     ).first()
-    return {c: (row[f"m|{c}"] or 0.0, row[f"s|{c}"] or 1.0) for c in columns}
+    return {c: (means[c] or 0.0, spread[c] or 1.0) for c in columns}
 
 
 def standardise(df: DataFrame, stats: Mapping[str, tuple[float, float]], suffix: str = "") -> DataFrame:
@@ -75,13 +87,19 @@ def _scaler(stats: Mapping[str, tuple[float, float]], source: str, suffix: str)
 
 
 # --- k-means --------------------------------------------------------------------------
-def distinct_points(df: DataFrame, features: Sequence[str], weight: str = "_n") -> DataFrame:
-    """Equal rows folded into weighted points.
+def distinct_points(df: DataFrame, features: Sequence[str], score: str) -> DataFrame:
+    """Equal rows folded into weighted points, with the sum of their scores.
 
-    Coded answers have few combinations, so billions of rows become a small set of
-    weighted points with the same clustering cost.
+    Coded answers have few combinations, so billions of rows become a small table
+    that holds all that medians, moments, clusters, ranking and projection need.
+    Settled, it is the only pass over the rows before scoring.
     """
-    return df.groupBy(*features).agg(F.count(F.lit(1)).cast("double").alias(weight))
+    points = df.groupBy(*features).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"),
+        F.sum(score).alias("_sum"),
+        F.count(score).alias("_scored"),
+    )
+    return settle(points, "points")
 
 
 def fit_kmeans(
@@ -123,6 +141,19 @@ def nearest_centre(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequ
 def rank_clusters(df: DataFrame, cluster: str, score: str) -> DataFrame:
     """Canonical id per cluster: rank by ascending mean score (one row per cluster)."""
     means = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("total"), F.avg(score).alias("_m"))
+    return _ranked(means, cluster)
+
+
+def rank_point_clusters(points: DataFrame, cluster: str) -> DataFrame:
+    """The same from weighted points."""
+    means = points.groupBy(cluster).agg(
+        F.sum("_n").cast("bigint").alias("total"),
+        F.try_divide(F.sum("_sum"), F.sum("_scored")).alias("_m"),
+    )
+    return _ranked(means, cluster)
+
+
+def _ranked(means: DataFrame, cluster: str) -> DataFrame:
     rank = F.row_number().over(W.orderBy(F.col("_m").asc_nulls_first(), cluster)) - 1
     return means.select(cluster, rank.cast("int").alias("cluster_id"), "total", F.round("_m", 4).alias("media"))
 
@@ -173,12 +204,35 @@ def fit_projection(df: DataFrame, features_col: str, components: int = 2) -> Pro
     """Principal components with a fixed sign: the largest loading is positive."""
     model = PCA(k=components, inputCol=features_col, outputCol="_pc").fit(df)
     matrix = model.pc.toArray()
-    rows = []
-    for j in range(components):
-        column = matrix[:, j]
-        sign = 1.0 if column[abs(column).argmax()] >= 0 else -1.0
-        rows.append(tuple(float(x) * sign for x in column))
-    return Projection(tuple(rows), tuple(float(x) for x in model.explainedVariance.toArray()))
+    rows = tuple(_signed(matrix[:, j]) for j in range(components))
+    return Projection(rows, tuple(float(x) for x in model.explainedVariance.toArray()))
+
+
+def _signed(column: np.ndarray) -> tuple[float, ...]:
+    sign = 1.0 if column[abs(column).argmax()] >= 0 else -1.0
+    return tuple(float(x) * sign for x in column)
+
+
+def fit_projection_of_points(
+    points: DataFrame, columns: Sequence[str], weight: str, components: int = 2
+) -> Projection:
+    """The same from weighted, standardised points: one aggregate gives the second
+    moments of all pairs, and the driver solves that features x features matrix."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = points.agg(
+        F.sum(weight).alias("n"),
+        *[
+            F.sum(F.col(weight) * F.col(columns[i]) * F.col(columns[j])).alias(f"{i}|{j}")
+            for i, j in pairs
+        ],
+    ).first()
+    matrix = np.zeros((len(columns), len(columns)))
+    for i, j in pairs:
+        matrix[i, j] = matrix[j, i] = row[f"{i}|{j}"] / row["n"]
+    values, vectors = np.linalg.eigh(matrix)
+    largest = np.argsort(values)[::-1][:components]
+    rows = tuple(_signed(vectors[:, j]) for j in largest)
+    return Projection(rows, tuple(float(values[j] / values.sum()) for j in largest))
 
 
 def project(columns: Sequence[str], loadings: Sequence[float], digits: int = 4) -> Column:
@@ -212,26 +266,23 @@ def fit_profiles(
 ) -> Profiles:
     """Impute, standardise, cluster, rank clusters by mean score and project.
 
-    The restarts run on weighted distinct points, cached once; the cluster ranking
-    and the projection each read the rows once.
+    The rows are read once, into weighted distinct points; every fit reads those.
     """
     features = list(features)
-    medians = exact_medians(df, features)
-    stats = moments(impute(df.select(*features), medians), features)
+    points = distinct_points(df, features, score)
+    medians = exact_medians(points, features, weight="_n")
+    stats = moments(impute(points, medians), features, "_n")
     prepare = [_imputer(medians, "_f"), _scaler(stats, "_f", "_z")]
     assemble = VectorAssembler(inputCols=[f"{c}_z" for c in features], outputCol="_zv")
-    ready = PipelineModel([*prepare, assemble])
-
-    points = ready.transform(distinct_points(df, features))
-    points = points.select("_zv", "_n").persist(StorageLevel.MEMORY_AND_DISK)
+    ready = PipelineModel([*prepare, assemble]).transform(points)
+    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model, costs = fit_kmeans(points, "_zv", k, seeds, max_iter, "_n")
+        model, costs = fit_kmeans(ready, "_zv", k, seeds, max_iter, "_n")
+        ranks = rank_point_clusters(model.transform(ready), "_k").collect()  # k rows
+        projection = fit_projection_of_points(ready, [f"{c}_z" for c in features], "_n")
     finally:
-        points.unpersist()
-    rows = ready.transform(df)
-    ranks = rank_clusters(model.transform(rows), "_k", score).collect()  # k rows
+        ready.unpersist()
     order = ", ".join(f"{r['_k']}, {r['cluster_id']}" for r in ranks)
-    projection = fit_projection(rows, "_zv")
     axes = [
         " + ".join(f"`{c}_z` * {_number(w)}" for c, w in zip(features, loadings))
         for loadings in projection.loadings

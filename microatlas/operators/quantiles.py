@@ -24,16 +24,21 @@ def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
     distinct_limit: int = DISTINCT_LIMIT,
+    weight: str | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column; an empty column gives nulls."""
+    """Linearly interpolated quantiles per column; an empty column gives nulls.
+
+    ``weight`` names a column with how many equal rows each row stands for.
+    """
     columns = list(wanted)
+    times = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     values = {c: F.col(c).cast("double") for c in columns}
     profile = df.agg(
         *[
             expr
             for c in columns
             for expr in (
-                F.count(c).alias(f"n|{c}"),
+                F.coalesce(F.sum(F.when(F.col(c).isNotNull(), times)), F.lit(0)).alias(f"n|{c}"),
                 F.approx_count_distinct(values[c], 0.02).alias(f"d|{c}"),
                 F.min(values[c]).alias(f"lo|{c}"),
                 F.max(values[c]).alias(f"hi|{c}"),
@@ -45,7 +50,9 @@ def exact_quantiles(
     if narrow:
         row = df.agg(
             *[
-                F.percentile(values[c], F.array(*[F.lit(float(q)) for q in wanted[c]])).alias(c)
+                F.percentile(
+                    values[c], F.array(*[F.lit(float(q)) for q in wanted[c]]), times
+                ).alias(c)
                 for c in narrow
             ]
         ).first()
@@ -55,16 +62,20 @@ def exact_quantiles(
             n = profile[f"n|{c}"]
             ranks = sorted({r for q in wanted[c] for r in _ranks(n, q)})
             at = _values_at_ranks(
-                df, c, ranks, profile[f"lo|{c}"], profile[f"hi|{c}"], distinct_limit
+                df.withColumn("_times", times), c, ranks, profile[f"lo|{c}"], profile[f"hi|{c}"],
+                distinct_limit,
             )
             out[c] = [_interpolate(n, q, at) for q in wanted[c]]
     return out
 
 
 def exact_medians(
-    df: DataFrame, columns: Sequence[str], distinct_limit: int = DISTINCT_LIMIT
+    df: DataFrame,
+    columns: Sequence[str],
+    distinct_limit: int = DISTINCT_LIMIT,
+    weight: str | None = None,
 ) -> dict[str, float | None]:
-    found = exact_quantiles(df, {c: [0.5] for c in columns}, distinct_limit)
+    found = exact_quantiles(df, {c: [0.5] for c in columns}, distinct_limit, weight)
     return {c: v[0] for c, v in found.items()}
 
 
@@ -100,11 +111,11 @@ def _values_at_ranks(
             slice_no = F.when(inside, F.least(position, F.lit(SLICES - 1))).otherwise(slice_no)
         # At most SLICES rows per interval come back, whatever the data.
         slices = (
-            df.select(which.alias("i"), slice_no.alias("s"), v.alias("v"))
+            df.select(which.alias("i"), slice_no.alias("s"), v.alias("v"), "_times")
             .filter(F.col("i").isNotNull())
             .groupBy("i", "s")
             .agg(
-                F.count(F.lit(1)).alias("n"),
+                F.sum("_times").alias("n"),
                 F.approx_count_distinct("v", 0.02).alias("d"),
                 F.min("v").alias("lo"),
                 F.max("v").alias("hi"),
@@ -129,7 +140,7 @@ def _values_at_ranks(
         counts = (
             df.filter((v >= F.lit(a)) & (v <= F.lit(b)))
             .groupBy(v.alias("v"))
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.sum("_times").alias("n"))
         )
         # About ``limit`` distinct values are left, so one ordered window is bounded.
         upto = counts.select("v", (F.sum("n").over(W.orderBy("v")) + F.lit(below)).alias("upto"))

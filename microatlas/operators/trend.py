@@ -22,7 +22,8 @@ def fit_line(
     """Least squares per group, as unrounded intercept, slope and r2.
 
     Pairs with a null are skipped; groups with too few points drop out; a constant
-    y counts as a perfect fit.
+    y counts as a perfect fit. ``points`` has one row per group and edition; the
+    values are kept in ``_values``.
     """
     xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
     fits = points.groupBy(*by).agg(
@@ -30,6 +31,9 @@ def fit_line(
         F.regr_intercept(yd, xd).alias("_b0"),
         F.regr_slope(yd, xd).alias("_b1"),
         F.when(F.regr_syy(yd, xd) == 0, F.lit(1.0)).otherwise(F.regr_r2(yd, xd)).alias("_r2"),
+        F.map_from_entries(
+            F.collect_list(F.struct(F.col(x).cast("int"), F.col(y)))
+        ).alias("_values"),
     )
     return fits.filter(F.col("pontos") >= min_points)
 
@@ -56,24 +60,20 @@ def trend(
     """Real and projected years per group, with the rounded coefficients.
 
     With ``require_reliable`` an unreliable group keeps its rows but loses its
-    projections.
+    projections. The real values travel with the fit (one per edition), so the
+    points are read once and nothing is joined back.
     """
     by = list(by)
     fits = fit_line(points.filter(F.col(year).isin(list(real))), year, value, by, min_points)
-    sure = reliable(
-        F.round("_r2", 4), [predict(F.lit(float(y))) for y in projected]
-    )
+    sure = reliable(F.round("_r2", 4), [predict(F.lit(float(y))) for y in projected])
     rows = year_scaffold(fits.withColumn("confiavel", sure), real, projected, year)
-    shown = F.col("tipo") == F.lit("projecao")
-    if require_reliable:
-        shown = shown & F.col("confiavel")
-    actual = points.select(*by, F.col(year).cast("int").alias(year), F.col(value).alias("_media"))
-    joined = rows.join(actual, [*by, year], "left")
-    return joined.select(
+    is_real = F.col("tipo") == F.lit("real")
+    shown = ~is_real & F.col("confiavel") if require_reliable else ~is_real
+    return rows.select(
         *by,
         year,
         "tipo",
-        F.when(F.col("tipo") == F.lit("real"), F.col("_media")).alias("media"),
+        F.when(is_real, F.try_element_at("_values", F.col(year))).alias("media"),
         F.when(shown, predict(F.col(year))).alias("projecao"),
         *coefficients(),
         "confiavel",

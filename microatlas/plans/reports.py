@@ -19,6 +19,7 @@ from microatlas.functions.columns import (
     bucket_name,
     class_order,
     label,
+    mean,
     network,
     one_of_or_rest,
     percent,
@@ -28,7 +29,7 @@ from microatlas.functions.columns import (
 )
 from microatlas.operators import aggregates as agg
 from microatlas.operators import evaluate
-from microatlas.operators.filters import both_present, exclude, require, with_filters
+from microatlas.operators.filters import both_present, exclude, reliable, require, with_filters
 from microatlas.operators.labels import dimension, lookup
 from microatlas.operators.reshape import (
     densify,
@@ -38,7 +39,7 @@ from microatlas.operators.reshape import (
     stack_columns,
     two_sides,
 )
-from microatlas.operators.trend import coefficients, fit_line, predict, trend
+from microatlas.operators.trend import fit_line, predict, trend
 
 Filters = Mapping[str, object] | None
 SCORE = "nt_ger"
@@ -662,22 +663,27 @@ def network_trends_pivot(
 def trend_summary(
     fact: DataFrame, real: Sequence[int] = config.EDITIONS, projected: Sequence[int] = config.PROJECTED_EDITIONS
 ) -> DataFrame:
-    """Overall slope, fit and projections with the number of reliable courses, in one row."""
-    fit = fit_line(_yearly(_scored(fact)).filter(F.col("ano").isin(list(real))), "ano", "media")
-    overall = fit.select(
-        *coefficients(), *[predict(F.lit(float(y))).alias(f"previsao_{y}") for y in projected]
-    ).select(
-        F.col("b1").alias("tendencia_geral_b1"),
-        F.col("r2").alias("tendencia_geral_r2"),
-        *[f"previsao_{y}" for y in projected],
-    )
-    courses = course_trends(fact, real, projected).filter(F.col("tipo") == "real")
-    marks = courses.groupBy("curso").agg(F.bool_and("confiavel").alias("c")).agg(
-        F.count_if(F.col("c")).alias("cursos_confiaveis"),
-        F.count_if(~F.col("c")).alias("cursos_nao_confiaveis"),
-    )
-    halves = overall.unionByName(marks, allowMissingColumns=True)
-    return halves.agg(*[F.max(c).alias(c) for c in halves.columns])
+    """Overall slope, fit and projections with the number of reliable courses, in one row.
+
+    Grouping sets give course and overall edition means from one scan.
+    """
+    rows = _scored(fact).withColumn("ano", F.col("nu_ano").cast("int"))
+    cells = (
+        rows.groupingSets([["curso_nome", "ano"], ["ano"]], "curso_nome", "ano")
+        .agg(F.grouping("curso_nome").alias("_all"), mean(SCORE).alias("media"))
+        .filter((F.col("_all") == 1) | F.col("curso_nome").isNotNull())
+        .filter(F.col("ano").isin(list(real)))
+    )
+    fits = fit_line(cells, "ano", "media", ["_all", "curso_nome"])
+    overall, course = F.col("_all") == 1, F.col("_all") == 0
+    sure = reliable(F.round("_r2", 4), [predict(F.lit(float(y))) for y in projected])
+    return fits.agg(
+        F.max(F.when(overall, F.round("_b1", 4))).alias("tendencia_geral_b1"),
+        F.max(F.when(overall, F.round("_r2", 4))).alias("tendencia_geral_r2"),
+        *[F.max(F.when(overall, predict(F.lit(float(y))))).alias(f"previsao_{y}") for y in projected],
+        F.count_if(course & sure).alias("cursos_confiaveis"),
+        F.count_if(course & ~sure).alias("cursos_nao_confiaveis"),
+    )
 
 
 # --- binary crossing, cards, profile --------------------------------------------------------------------------
