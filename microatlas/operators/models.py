@@ -320,22 +320,36 @@ def fit_classifier(
     depth: int = 30,
     seed: int = config.SEED,
     fit_on: str = "train",
+    blocks: int | None = None,
 ) -> Classifier:
     """Stratified hold-out, balanced weights, forest.
 
     Medians come from the training rows only; ``fit_on="all"`` takes them from all
-    labelled rows instead.
+    labelled rows instead. By default the trees resample rows. ``blocks`` folds equal
+    training rows into up to that many weighted blocks per feature combination: no
+    row is lost, the trees resample blocks instead, and the training table stays
+    small however many rows there are.
     """
     features = list(features)
     labelled = df.select(*keys, *features, label).filter(F.col(label).isin(list(classes)))
     marked = stratified_holdout(labelled, label, keys, fraction)
-    train = marked.filter(~F.col("teste"))
-    medians = exact_medians(train if fit_on == "train" else marked, features)
+    block = F.pmod(F.xxhash64(*keys), F.lit(blocks or 1)).cast("int")
+    # Narrow and settled: every later step reads this, not the wide rows.
+    marked = settle(marked.select(*features, label, "teste", block.alias("_block")), "holdout")
+    train = marked.filter(~F.col("teste")).withColumn("_n", F.lit(1.0))
+    if blocks:
+        folded = train.groupBy(*features, label, "_block").agg(F.sum("_n").alias("_n"))
+        train = settle(folded, "training-blocks")
+    source, weight = (train, "_n") if fit_on == "train" else (marked, None)
+    medians = exact_medians(source, features, weight=weight)
     prepare = _imputer(medians, "_f")
     assemble = VectorAssembler(inputCols=[f"{c}_f" for c in features], outputCol="_fv")
     ready = PipelineModel([prepare, assemble])
-    learn = with_class_weight(train, label).withColumn(
-        "_y", (class_order(label, tuple(classes)) - 1).cast("double")
+    learn = with_class_weight(train, label, weight="_n").withColumns(
+        {
+            "_y": (class_order(label, tuple(classes)) - 1).cast("double"),
+            "peso": F.col("peso") * F.col("_n"),
+        }
     )
     rows = ready.transform(learn).select("_fv", "_y", "peso").persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -66,9 +66,15 @@ def stratified_holdout(
     )
 
 
-def class_weights(df: DataFrame, label: str, name: str = "peso") -> DataFrame:
-    """n / (classes * n_c) per class: one row per class."""
-    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+def class_weights(
+    df: DataFrame, label: str, name: str = "peso", weight: str | None = None
+) -> DataFrame:
+    """n / (classes * n_c) per class: one row per class.
+
+    ``weight`` names a column with how many equal rows each row stands for.
+    """
+    n = F.sum(weight).cast("bigint") if weight else F.count(F.lit(1))
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(n.alias("n"))
     everything = W.partitionBy()
     return counts.select(
         label,
@@ -80,6 +86,8 @@ def class_weights(df: DataFrame, label: str, name: str = "peso") -> DataFrame:
     )
 
 
-def with_class_weight(df: DataFrame, label: str, name: str = "peso") -> DataFrame:
-    weights = settle(class_weights(df, label, name).drop("n"), "class-weights")
+def with_class_weight(
+    df: DataFrame, label: str, name: str = "peso", weight: str | None = None
+) -> DataFrame:
+    weights = settle(class_weights(df, label, name, weight).drop("n"), "class-weights")
     return df.join(weights, label, "left")

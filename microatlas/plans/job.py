@@ -40,6 +40,7 @@ class Settings:
     iterations: int = config.KMEANS_ITERATIONS
     trees: int = config.TREES
     depth: int = 30
+    forest_blocks: int | None = None
     stages: Sequence[str] = field(default=STAGES)
 
     def path(self, layer: str) -> str:
@@ -98,7 +99,7 @@ def ml(spark: SparkSession, s: Settings) -> None:
     features = _coded()
     profiles = models.fit_profiles(rows, features, "NT_GER", s.clusters, s.seeds, s.iterations)
     forest = models.fit_classifier(
-        rows, features, "FAIXA_NOTA", ["id"], trees=s.trees, depth=s.depth
+        rows, features, "FAIXA_NOTA", ["id"], trees=s.trees, depth=s.depth, blocks=s.forest_blocks
     )
     scored = forest.transform(profiles.transform(rows), "FAIXA_PREVISTA")
     named = scored.withColumnsRenamed({"cluster_id": "CLUSTER_ID", "pca_x": "PCA_X", "pca_y": "PCA_Y"})

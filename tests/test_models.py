@@ -78,6 +78,14 @@ def test_forest_learns_and_repeats(rows):
     assert fit.transform(rows).columns == [*rows.columns, "faixa_prevista"]
 
 
+def test_forest_on_blocks_keeps_all_weight_and_learns(rows):
+    fit = models.fit_classifier(rows, FEATURES, "faixa", ["id"], trees=10, depth=6, blocks=16)
+    counts = evaluate.confusion_counts(fit.holdout)
+    assert evaluate.accuracy(counts).first().acuracia > 0.9
+    plain = models.fit_classifier(rows, FEATURES, "faixa", ["id"], trees=3, depth=3)
+    assert counts.agg(F.sum("total")).first()[0] == plain.holdout.count()
+
+
 def test_saved_pipelines_score_alike(spark, rows, profiles, tmp_path):
     models.save_pipeline(profiles.pipeline, str(tmp_path / "m"))
     again = models.load_pipeline(str(tmp_path / "m"))
