@@ -100,8 +100,8 @@ add(
 )
 
 
-def _assembled(spark, sf, codes=None) -> DataFrame:
-    return fr.load_editions(spark, _folders(spark, sf), codes)[0]
+def _assembled(spark, sf, codes=None, with_id=False) -> DataFrame:
+    return fr.load_editions(spark, _folders(spark, sf), codes, with_id=with_id)[0]
 
 
 add(
@@ -196,10 +196,16 @@ def _csv(spark, sf) -> DataFrame:
 
 add("snk3_csv_round_trip", _csv, _STORED)
 add(
-    "snk5_dense_id",
+    "snk5_dense_id_of_lines",
     lambda s, d: tables.with_dense_id(
-        _assembled(s, d, tuple(config.COURSE_NAMES)).withColumn("nu_ano", F.col("NU_ANO").cast("int")).select("pos", "nu_ano", "NO_IES")
+        s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_linenumber") % 3).alias("nu_ano"), F.col("_metadata.row_index").alias("pos"))
     ),
-    f"""with {_NUMBERED}, k as (select * from o where grupo <> '9999') select pos, cast(edition as int) as nu_ano, 'Instituição ' || o_orderkey as NO_IES,
+    """with r as (select l_linenumber % 3 as nu_ano, row_number() over () - 1 as pos from lineitem)
+    select nu_ano, pos, row_number() over (order by nu_ano, pos) - 1 as id from r""",
+)
+add(
+    "snk5_dense_id",
+    lambda s, d: _assembled(s, d, tuple(config.COURSE_NAMES), True).select("pos", "NU_ANO", "NO_IES", "id"),
+    f"""with {_NUMBERED}, k as (select * from o where grupo <> '9999') select pos, cast(edition as varchar) as NU_ANO, 'Instituição ' || o_orderkey as NO_IES,
     row_number() over (order by edition, pos) - 1 as id from k""",
 )

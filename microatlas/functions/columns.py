@@ -139,4 +139,5 @@ def class_order(c: Column | str, classes: tuple[str, ...] = config.CLASSES) -> C
 
 
 def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+    conditions = list(conditions)
+    return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)

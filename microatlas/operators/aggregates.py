@@ -256,7 +256,7 @@ def align_by_rank(
         rank = F.row_number().over(W.orderBy(F.col(order).asc_nulls_last()))
         return df.select(rank.alias("posicao"), as_col(value).alias(value))
 
-    levels = left.sparkSession.range(1).select(
+    levels = left.sparkSession.range(0, 1, 1, 1).select(
         F.posexplode(F.array(*[F.lit(n) for n in names])).alias("i", "grupo")
     ).select((F.col("i") + 1).alias("posicao"), "grupo")
     return (

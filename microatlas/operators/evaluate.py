@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from microatlas import config
 from microatlas.functions.columns import class_order, percent
+from microatlas.operators.filters import require
 from microatlas.operators.reshape import densify
 
 
 
 def confusion_counts(df: DataFrame, real: str = "real", predicted: str = "previsto") -> DataFrame:
+    pairs = df.select(F.col(real).alias("real"), F.col(predicted).alias("previsto"))
     return (
-        df.select(F.col(real).alias("real"), F.col(predicted).alias("previsto"))
-        .dropna()
+        require(pairs, "real", "previsto")
         .groupBy("real", "previsto")
         .agg(F.count(F.lit(1)).alias("total"))
     )

@@ -16,7 +16,7 @@ def dimension(spark: SparkSession, names: Mapping, key: str, value: str, order:
             for i, (k, v) in enumerate(names.items())
         ]
     )
-    table = spark.range(1).select(F.inline(rows))
+    table = spark.range(0, 1, 1, 1).select(F.inline(rows))
     if order:
         return table.withColumnRenamed("_i", order)
     return table.drop("_i")

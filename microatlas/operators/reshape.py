@@ -73,7 +73,7 @@ def stack_columns(
 
 def grid(df: DataFrame, **axes: Sequence) -> DataFrame:
     """All combinations of fixed lists: a scaffold that reports are laid on."""
-    out = df.sparkSession.range(1).select()
+    out = df.sparkSession.range(0, 1, 1, 1).select()
     for name, values in axes.items():
         out = out.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
     return out

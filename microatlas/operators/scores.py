@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from microatlas import config
 from microatlas.functions.columns import band
+from microatlas.operators.filters import require
 from microatlas.operators.quantiles import exact_quantiles
 from microatlas.runtime import settle
 
@@ -22,7 +23,7 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], **stats) -> DataFrame
     one task. Null keys form no group.
     """
     groups = settle(
-        df.dropna(subset=list(keys)).groupBy(*keys).agg(*[e.alias(n) for n, e in stats.items()]),
+        require(df, *keys).groupBy(*keys).agg(*[e.alias(n) for n, e in stats.items()]),
         "group-stats",
     )
     return df.join(groups, list(keys), "left")
@@ -83,7 +84,7 @@ def encode_categories(
     """
     names = list(columns)
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in names])
-    pairs = texts.unpivot([], names, "coluna", "categoria").dropna().distinct()
+    pairs = require(texts.unpivot([], names, "coluna", "categoria"), "categoria").distinct()
     code = F.dense_rank().over(W.partitionBy("coluna").orderBy("categoria")) - 1
     codes = settle(pairs.select("coluna", "categoria", code.cast("int").alias("codigo")), "codes")
     out = df

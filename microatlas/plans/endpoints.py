@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from microatlas import config
 from microatlas.operators import evaluate
+from microatlas.operators.filters import require
 from microatlas.plans import reports as r
 
 Bundle = dict[str, DataFrame]
@@ -83,14 +84,14 @@ def filtros(
 
 def habitos(fact: DataFrame, filters: r.Filters = None) -> Bundle:
     return {
-        "total": r.total_students(fact.dropna(subset=[r.SCORE]), filters),
+        "total": r.total_students(require(fact, r.SCORE), filters),
         "habitos": r.habits(fact, filters),
     }
 
 
 def raca(fact: DataFrame, filters: r.Filters = None) -> Bundle:
     return {
-        "total": r.total_students(fact.dropna(subset=[r.SCORE]), filters),
+        "total": r.total_students(require(fact, r.SCORE), filters),
         "raca": r.race(fact, filters),
         "desempenho": r.race_performance(fact, filters),
         "destaques": r.best_and_largest_race(fact, filters),
@@ -147,7 +148,7 @@ def previsao(
 def genero(fact: DataFrame, column: str, values: tuple[str, str] = ("F", "M"), filters: r.Filters = None) -> Bundle:
     """A two-valued column against race."""
     return {
-        "total": r.total_students(fact.dropna(subset=[r.SCORE]), filters),
+        "total": r.total_students(require(fact, r.SCORE), filters),
         "genero": r.binary_split(fact, column, filters=filters),
         "raca": r.race(fact, filters),
         "cruzamento": r.binary_by_race(fact, column, values, filters),

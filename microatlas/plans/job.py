@@ -49,11 +49,8 @@ class Settings:
 
 def extract(spark: SparkSession, s: Settings) -> None:
     """Assemble the editions and number the rows."""
-    rows, report = load_editions(spark, s.folders, s.codes, on_error=s.on_error)
-    numbered = tables.with_dense_id(
-        rows.withColumn("_ano", F.col(config.YEAR_COLUMN).cast("int")), "_ano", "pos"
-    )
-    numbered.drop("_ano").write.mode("overwrite").partitionBy(config.YEAR_COLUMN).parquet(s.path("raw"))
+    rows, report = load_editions(spark, s.folders, s.codes, on_error=s.on_error, with_id=True)
+    rows.write.mode("overwrite").partitionBy(config.YEAR_COLUMN).parquet(s.path("raw"))
     report.write.mode("overwrite").parquet(s.path("load_report"))
 
 

@@ -239,7 +239,7 @@ def habits(
             for code, text in codes.items()
         ]
     )
-    labels = fact.sparkSession.range(1).select(F.inline(known))
+    labels = fact.sparkSession.range(0, 1, 1, 1).select(F.inline(known))
     return (
         shares.join(labels, ["variavel", "categoria"], "inner")
         .select(

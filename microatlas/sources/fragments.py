@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from microatlas import config
 from microatlas.runtime import settle
+from microatlas.sources.tables import with_dense_id
 
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id: row number within the task
 POSITION = "pos"
@@ -171,11 +172,13 @@ def assemble(
     optional: Sequence[str] = config.OPTIONAL_COLUMNS,
     year_column: str = config.YEAR_COLUMN,
     offsets: DataFrame | None = None,
+    with_id: bool = False,
 ) -> DataFrame:
     """All editions as one table keyed by (edition, position).
 
-    ``keep`` is a predicate on the identification columns. The positions it keeps
-    are settled and cut the other fragments before the shuffle.
+    ``keep`` is a predicate on the identification columns. The rows it keeps are
+    settled, and their positions cut the other fragments before the shuffle.
+    ``with_id`` numbers the kept rows on the way, while they are still narrow.
     """
     parts = _parts(choices)
     if offsets is None:
@@ -195,17 +198,25 @@ def assemble(
     identified = stack(base)
     if keep is not None:
         identified = identified.filter(keep)
-        allowed = settle(identified.select("_year", POSITION), "kept-positions")
+    if keep is not None or with_id:
+        identified = settle(identified, "identification")
+    if keep is not None:
+        allowed = identified.select("_year", POSITION)
         pieces = [p.join(allowed, ["_year", POSITION], "left_semi") for p in pieces]
+    if with_id:
+        identified = with_dense_id(identified, "_year", POSITION)
     union = stack([identified, *pieces])
     values = [c for c in union.columns if c not in ("_year", POSITION)]
-    # Every (edition, position, column) has at most one value, so max picks it.
+    # A fragment has one row per position, so there is nothing to combine before the
+    # shuffle; after it, every column has at most one value per row and max picks it.
+    union = union.repartition("_year", POSITION)
     rows = union.groupBy("_year", POSITION).agg(*[F.max(c).alias(c) for c in values])
     stamped = rows.withColumn(year_column, F.col("_year").cast("string")).drop("_year")
     for c in optional:
         if c not in stamped.columns:
             stamped = stamped.withColumn(c, F.lit(None).cast("string"))
-    return stamped.select(POSITION, *[c for c in wanted if c in stamped.columns])
+    first = [POSITION, "id"] if with_id else [POSITION]
+    return stamped.select(*first, *[c for c in wanted if c in stamped.columns])
 
 
 def _parts(choices: Sequence[Choice]) -> dict[str, tuple[int, Fragment]]:
@@ -224,6 +235,7 @@ def load_editions(
     wanted: Sequence[str] = config.RAW_COLUMNS,
     optional: Sequence[str] = config.OPTIONAL_COLUMNS,
     on_error: str = "fail",
+    with_id: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Assemble several editions; returns (raw rows, load report).
 
@@ -247,7 +259,7 @@ def load_editions(
         raise RuntimeError("no edition could be read")
     keep = None if codes is None else F.trim(config.GROUP_COLUMN).isin([str(c) for c in codes])
     offsets = split_offsets(spark, _parts(choices))
-    rows = assemble(spark, choices, keep, wanted, optional, offsets=offsets)
+    rows = assemble(spark, choices, keep, wanted, optional, offsets=offsets, with_id=with_id)
     status = spark.createDataFrame(
         report, "ano int, situacao string, fragmentos int, fragmentos_lidos int"
     )

@@ -25,5 +25,6 @@ def aligned(
         ],
     )
     values = [c for _, columns in pieces for c in columns]
-    rows = stacked.groupBy("_i").agg(*[F.max(c).alias(c) for c in values])
+    # One row per position and piece: nothing to combine before the shuffle.
+    rows = stacked.repartition("_i").groupBy("_i").agg(*[F.max(c).alias(c) for c in values])
     return rows.withColumnRenamed("_i", position) if position else rows.drop("_i")
