@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks import star
@@ -84,12 +85,24 @@ def _profiles(f: DataFrame) -> tuple[models.Profiles, DataFrame]:
 
 
 def _kmeans_invariants(f: DataFrame) -> DataFrame:
-    """Sizes and means per canonical cluster; means must ascend with the id."""
+    """Every row gets one of k ids, and the mean score ascends with the id."""
     fitted, rows = _profiles(f)
-    return agg.group_mean(fitted.transform(rows), ["cluster_id"], "nt_ger", 4).orderBy("cluster_id")
+    groups = agg.group_mean(fitted.transform(rows), ["cluster_id"], "nt_ger", None)
+    pairs = groups.select("cluster_id", "total", "media", F.lag("media").over(W.orderBy("cluster_id")).alias("antes"))
+    return pairs.agg(
+        F.count(F.lit(1)).alias("grupos"),
+        F.sum("total").alias("total"),
+        F.min("cluster_id").alias("primeiro"),
+        F.max("cluster_id").alias("ultimo"),
+        F.bool_and(F.coalesce(F.col("media") >= F.col("antes"), F.lit(True))).alias("ascendente"),
+        F.lit(min(fitted.costs.values()) == fitted.pipeline.stages[3].summary.trainingCost).alias("melhor_custo"),
+    )
 
 
-on_fact("ml3_kmeans_profiles", f"{_F} nt_ger", _kmeans_invariants)
+on_fact(
+    "ml3_kmeans_profiles", f"{_F} nt_ger", _kmeans_invariants,
+    "select 4::bigint as grupos, count(*) as total, 0 as primeiro, 3 as ultimo, true as ascendente, true as melhor_custo from fact where nt_ger is not null",
+)
 
 
 def _rows_at_nearest(f: DataFrame) -> DataFrame:
@@ -128,7 +141,7 @@ on_fact(
 
 
 def _embedding_projection(spark, sf) -> DataFrame:
-    """Two components of the 64-d vectors, with spread per label."""
+    """Two components of the 64-d vectors: centred, uncorrelated, spread as explained."""
     table = star.table(spark, sf, "embeddings")
     columns = [f"e{i}" for i in range(64)]
     wide = table.select("label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns)])
@@ -136,10 +149,22 @@ def _embedding_projection(spark, sf) -> DataFrame:
     ready = VectorAssembler(inputCols=columns, outputCol="v").transform(z)
     found = models.fit_projection(ready, "v")
     points = z.select("label", *[models.project(columns, w).alias(n) for n, w in zip(("x", "y"), found.loadings)])
-    return points.groupBy("label").agg(F.count(F.lit(1)).alias("total"), F.round(F.avg("x"), 2).alias("x"), F.round(F.avg("y"), 2).alias("y"))
+    # On standardised columns a component's variance is its eigenvalue: share times columns.
+    spread = F.var_pop("x") / F.var_pop("y")
+    share = found.explained[0] / found.explained[1]
+    return points.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_distinct("label").alias("rotulos"),
+        (F.abs(F.avg("x")) + F.abs(F.avg("y")) < 1e-3).alias("centrado"),
+        (F.abs(F.corr("x", "y")) < 1e-3).alias("sem_correlacao"),
+        (F.abs(spread / F.lit(share) - 1) < 1e-3).alias("variancia_explicada"),
+    )
 
 
-add("ml11_projection_of_embeddings", _embedding_projection)
+add(
+    "ml11_projection_of_embeddings", _embedding_projection,
+    "select count(*) as total, count(distinct label) as rotulos, true as centrado, true as sem_correlacao, true as variancia_explicada from embeddings",
+)
 
 
 def _labelled(f: DataFrame) -> DataFrame:
@@ -152,6 +177,8 @@ def _classifier(f: DataFrame) -> models.Classifier:
     return models.fit_classifier(_labelled(f), FEATURES, "banda", KEYS, trees=12, depth=5)
 
 
+_BANDA = """b as (select nt_ger, case when s <= 4 then 'baixo' when s <= 7 then 'medio' else 'alto' end as banda
+    from (select nt_ger, coalesce(qe_renda, 1) * 2 + qe_trabalha + qe_horas_estudo as s from fact))"""
 _CLASSIFIER_COLUMNS = f"{' '.join(KEYS)} {_F}"
 on_fact(
     "ml8_forest_holdout", _CLASSIFIER_COLUMNS,
@@ -160,7 +187,10 @@ on_fact(
 )
 on_fact(
     "ml9_score_all_rows", _CLASSIFIER_COLUMNS,
-    lambda f: agg.value_counts(_classifier(f).transform(_labelled(f)), "banda", "faixa_prevista"),
+    lambda f: _classifier(f).transform(_labelled(f)).groupBy("banda").agg(
+        F.count(F.lit(1)).alias("total"), F.count("faixa_prevista").alias("previstas")
+    ),
+    f"{_BANDA} select banda, count(*) as total, count(*) as previstas from b group by 1",
 )
 
 
@@ -201,10 +231,16 @@ def _all_models(f: DataFrame) -> DataFrame:
     profiles = models.fit_profiles(rows, FEATURES, "nt_ger", 4, (42,), 20)
     forest = models.fit_classifier(rows, FEATURES, "banda", KEYS, trees=8, depth=4)
     scored = forest.transform(profiles.transform(rows))
-    return agg.value_counts(scored, "cluster_id", "banda", "faixa_prevista")
+    added = ("cluster_id", "pca_x", "pca_y", "faixa_prevista")
+    return scored.groupBy("banda").agg(
+        F.count(F.lit(1)).alias("total"), *[F.count(c).alias(c) for c in added]
+    )
 
 
-on_fact("ml13_all_models", f"{_CLASSIFIER_COLUMNS} nt_ger", _all_models)
+on_fact(
+    "ml13_all_models", f"{_CLASSIFIER_COLUMNS} nt_ger", _all_models,
+    f"{_BANDA} select banda, count(*) as total, count(*) as cluster_id, count(*) as pca_x, count(*) as pca_y, count(*) as faixa_prevista from b where nt_ger is not null group by 1",
+)
 
 
 def _reloaded(f: DataFrame) -> DataFrame:
