@@ -15,6 +15,7 @@ from microatlas.functions import columns as fc
 from microatlas.operators import aggregates as agg
 from microatlas.operators import cleaning, filters, labels, reshape, scores, trend
 from microatlas.plans import reports
+from microatlas.sources.positions import sorted_rank
 
 PUB = star.PATTERN
 REAL, PROJ = star.REAL_YEARS, star.PROJECTED_YEARS
@@ -137,9 +138,22 @@ on_fact(
     from fact left join t on t.v = tipo_ies left join g on g.v = cast(co_grupo as varchar) left join q on q.v = cast(qe_financiamento as varchar)""",
 )
 on_fact(
-    "enc1_category_codes", "curso_nome", lambda f: scores.category_codes(f, "curso_nome"),
+    "enc1_category_codes", "curso_nome", lambda f: scores.category_codes(f, "curso_nome").drop("coluna"),
     "select curso_nome as categoria, cast(dense_rank() over (order by curso_nome) - 1 as int) as codigo from (select distinct curso_nome from fact)",
 )
+add(
+    "enc1_codes_of_many_values",
+    lambda s, d: scores.category_codes(star.table(s, d, "documents"), "text", "source").groupBy("coluna").agg(
+        F.count(F.lit(1)).alias("n"), F.min("codigo").alias("menor"), F.max("codigo").alias("maior"), F.count_distinct("codigo").alias("distintos")
+    ),
+    """select 'text' as coluna, count(distinct text) as n, 0 as menor, cast(count(distinct text) - 1 as int) as maior, count(distinct text) as distintos from documents
+    union all select 'source', count(distinct source), 0, cast(count(distinct source) - 1 as int), count(distinct source) from documents""",
+)
+add(
+    "enc1_sorted_rank",
+    lambda s, d: sorted_rank(star.table(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], "lugar"),
+    "select o_orderkey, o_totalprice, row_number() over (order by o_totalprice, o_orderkey) - 1 as lugar from orders",
+)
 on_fact(
     "nrm1_normalise_within", f"{KEYS} nu_ano nt_ger",
     lambda f: scores.normalise_within(f, "nt_ger", "nu_ano", "nt_ger_norm", 6),
@@ -249,7 +263,8 @@ on_fact(
     "jn3_lookup_chain", "qe_renda tipo_ies curso_nome",
     lambda f: reduce(
         lambda rows, c: labels.lookup(rows, scores.category_codes(f, c), c, "categoria", f"{c}_codigo", "codigo"),
-        ["curso_nome", "tipo_ies"], agg.value_counts(f, "curso_nome", "tipo_ies"),
+        ["curso_nome", "tipo_ies"],
+        agg.value_counts(f, "curso_nome", "tipo_ies"),
     ),
     """g as (select curso_nome, tipo_ies, count(*) as total from fact group by 1, 2),
     a as (select v, cast(row_number() over (order by v) - 1 as int) as c from (select distinct curso_nome as v from fact)),

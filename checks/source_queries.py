@@ -119,17 +119,20 @@ add(
 
 
 def _parquet_positions(spark, sf) -> DataFrame:
-    """Parquet knows its row index, so two projections meet on it."""
-    from microatlas.sources.parquet import aligned
+    """Tables of different lengths and file counts, row i with row i."""
+    from microatlas.sources.positions import aligned
 
     path = f"{sf}/orders.parquet"
-    return aligned(spark, [(path, ["o_orderkey", "o_custkey"]), (path, ["o_orderstatus"]), (f"{sf}/customer.parquet", ["c_custkey"])])
+    many = scratch_path(spark, "customers")
+    # The customers again as several files, still in key order.
+    star.table(spark, sf, "customer").repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey").write.parquet(many)
+    return aligned(spark, [(path, ["o_orderkey", "o_custkey"]), (path, ["o_orderstatus"]), (many, ["c_custkey"])])
 
 
 add(
     "jn2_positional_outer_join", _parquet_positions,
     """select a.o_orderkey, a.o_custkey, a.o_orderstatus, c.c_custkey from (select row_number() over () as i, o_orderkey, o_custkey, o_orderstatus from orders) a
-    full join (select row_number() over () as i, c_custkey from customer) c on a.i = c.i""",
+    full join (select row_number() over (order by c_custkey) as i, c_custkey from customer) c on a.i = c.i""",
 )
 add(
     "src5_identification_override",

@@ -1,10 +1,9 @@
 """Exact quantiles that never gather an unbounded set of values in one task.
 
-``percentile`` keeps every distinct value in one buffer. That is fine for scores
-and codes, which have few distinct values, so one aggregate pass serves all such
-columns. A column with more distinct values than the limit is narrowed first:
-each pass counts the rows below, inside and per slice of the interval that holds
-the wanted ranks, until the values left inside fit the limit.
+Scores and codes have few distinct values, however many rows: counting rows per value
+spreads over the cluster and leaves a small table that ``percentile`` reads. A column
+with more distinct values than the limit is narrowed instead: each pass counts rows
+per slice of the interval that holds a wanted rank, until few enough rows are inside.
 """
 
 from __future__ import annotations
@@ -16,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DISTINCT_LIMIT = 500_000
-SLICES = 4096
+LIMIT = 500_000
+SLICES = 1024
 
 
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
-    distinct_limit: int = DISTINCT_LIMIT,
+    limit: int = LIMIT,
     weight: str | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column; an empty column gives nulls.
@@ -32,50 +31,58 @@ def exact_quantiles(
     """
     columns = list(wanted)
     times = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    values = {c: F.col(c).cast("double") for c in columns}
-    profile = df.agg(
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns], times.alias("_times"))
+    profile = values.agg(
         *[
             expr
             for c in columns
             for expr in (
-                F.coalesce(F.sum(F.when(F.col(c).isNotNull(), times)), F.lit(0)).alias(f"n|{c}"),
-                F.approx_count_distinct(values[c], 0.02).alias(f"d|{c}"),
-                F.min(values[c]).alias(f"lo|{c}"),
-                F.max(values[c]).alias(f"hi|{c}"),
+                F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("_times"))), F.lit(0)).alias(f"n|{c}"),
+                F.approx_count_distinct(c, 0.02).alias(f"d|{c}"),
+                F.min(c).alias(f"lo|{c}"),
+                F.max(c).alias(f"hi|{c}"),
             )
         ]
     ).first()
-    narrow = [c for c in columns if profile[f"d|{c}"] <= distinct_limit]
-    out: dict[str, list[float | None]] = {}
+    out: dict[str, list[float | None]] = {
+        c: [None] * len(wanted[c]) for c in columns if profile[f"n|{c}"] == 0
+    }
+    narrow = [c for c in columns if c not in out and profile[f"d|{c}"] <= limit]
     if narrow:
-        row = df.agg(
-            *[
-                F.percentile(
-                    values[c], F.array(*[F.lit(float(q)) for q in wanted[c]]), times
-                ).alias(c)
-                for c in narrow
-            ]
-        ).first()
-        out.update({c: list(row[c]) if row[c] is not None else [None] * len(wanted[c]) for c in narrow})
+        out.update(_from_value_counts(values, {c: wanted[c] for c in narrow}))
     for c in columns:
-        if c not in narrow:
+        if c not in out:
             n = profile[f"n|{c}"]
             ranks = sorted({r for q in wanted[c] for r in _ranks(n, q)})
-            at = _values_at_ranks(
-                df.withColumn("_times", times), c, ranks, profile[f"lo|{c}"], profile[f"hi|{c}"],
-                distinct_limit,
-            )
+            at = _values_at_ranks(values, c, ranks, profile[f"lo|{c}"], profile[f"hi|{c}"], limit)
             out[c] = [_interpolate(n, q, at) for q in wanted[c]]
     return out
 
 
+def _from_value_counts(
+    values: DataFrame, wanted: Mapping[str, Sequence[float]]
+) -> dict[str, list[float]]:
+    """Rows per (column, value) first, then one small group per column."""
+    probabilities = sorted({q for qs in wanted.values() for q in qs})
+    counts = (
+        values.unpivot(["_times"], list(wanted), "coluna", "valor")
+        .filter(F.col("valor").isNotNull())
+        .groupBy("coluna", "valor")
+        .agg(F.sum("_times").alias("n"))
+    )
+    cuts = F.array(*[F.lit(float(q)) for q in probabilities])
+    rows = counts.groupBy("coluna").agg(F.percentile("valor", cuts, F.col("n")).alias("q")).collect()
+    found = {r.coluna: dict(zip(probabilities, r.q)) for r in rows}  # one row per column
+    return {c: [found[c][q] for q in qs] for c, qs in wanted.items()}
+
+
 def exact_medians(
     df: DataFrame,
     columns: Sequence[str],
-    distinct_limit: int = DISTINCT_LIMIT,
+    limit: int = LIMIT,
     weight: str | None = None,
 ) -> dict[str, float | None]:
-    found = exact_quantiles(df, {c: [0.5] for c in columns}, distinct_limit, weight)
+    found = exact_quantiles(df, {c: [0.5] for c in columns}, limit, weight)
     return {c: v[0] for c, v in found.items()}
 
 
@@ -90,13 +97,13 @@ def _interpolate(n: int, q: float, at: Mapping[int, float]) -> float:
 
 
 def _values_at_ranks(
-    df: DataFrame, column: str, ranks: Sequence[int], low: float, high: float, limit: int
+    values: DataFrame, column: str, ranks: Sequence[int], low: float, high: float, limit: int
 ) -> dict[int, float]:
     """Values of 0-based ranks, by narrowing the intervals that hold them.
 
     All ranks narrow together: one pass per level, however many ranks.
     """
-    v = F.col(column).cast("double")
+    v = F.col(column)
     found: dict[int, float] = {}
     wide = {(low, high, 0): list(ranks)}  # (from, to, rows below) -> ranks inside
     small: dict[tuple[float, float, int], list[int]] = {}
@@ -111,12 +118,11 @@ def _values_at_ranks(
             slice_no = F.when(inside, F.least(position, F.lit(SLICES - 1))).otherwise(slice_no)
         # At most SLICES rows per interval come back, whatever the data.
         slices = (
-            df.select(which.alias("i"), slice_no.alias("s"), v.alias("v"), "_times")
+            values.select(which.alias("i"), slice_no.alias("s"), v.alias("v"), "_times")
             .filter(F.col("i").isNotNull())
             .groupBy("i", "s")
             .agg(
                 F.sum("_times").alias("n"),
-                F.approx_count_distinct("v", 0.02).alias("d"),
                 F.min("v").alias("lo"),
                 F.max("v").alias("hi"),
             )
@@ -133,16 +139,16 @@ def _values_at_ranks(
                 elif here:
                     key = (part.lo, part.hi, below)
                     stuck = (part.lo, part.hi) == interval[:2]
-                    (small if part.d <= limit or stuck else narrowed)[key] = here
+                    (small if part.n <= limit or stuck else narrowed)[key] = here
                 below += part.n
         wide = narrowed
     for (a, b, below), here in small.items():
         counts = (
-            df.filter((v >= F.lit(a)) & (v <= F.lit(b)))
+            values.filter((v >= F.lit(a)) & (v <= F.lit(b)))
             .groupBy(v.alias("v"))
             .agg(F.sum("_times").alias("n"))
         )
-        # About ``limit`` distinct values are left, so one ordered window is bounded.
+        # At most ``limit`` rows are left, so one ordered window is bounded.
         upto = counts.select("v", (F.sum("n").over(W.orderBy("v")) + F.lit(below)).alias("upto"))
         row = upto.agg(
             *[F.min(F.when(F.col("upto") > F.lit(r), F.col("v"))).alias(str(r)) for r in here]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from microatlas import config
@@ -13,6 +12,7 @@ from microatlas.functions.columns import band
 from microatlas.operators.filters import require
 from microatlas.operators.quantiles import exact_quantiles
 from microatlas.runtime import settle
+from microatlas.sources.positions import sorted_rank
 
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], **stats) -> DataFrame:
@@ -63,32 +63,28 @@ def quantile_bands(
     return df.withColumn(name, band(score, cuts[0], cuts[1], classes))
 
 
-def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-null values in text order with 0-based codes.
+def category_codes(df: DataFrame, *columns: str) -> DataFrame:
+    """Distinct non-null values of the columns in text order with 0-based codes.
 
-    The window runs over the distinct categories, not over the rows.
+    One pass collects the categories of all columns; only they are sorted.
     """
-    text = F.col(column).cast("string")
-    distinct = df.select(text.alias("categoria")).filter(F.col("categoria").isNotNull()).distinct()
-    code = (F.dense_rank().over(W.orderBy("categoria")) - 1).cast("int")
-    return distinct.select("categoria", code.alias("codigo"))
+    names = list(columns)
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in names])
+    pairs = require(texts.unpivot([], names, "coluna", "categoria"), "categoria").distinct()
+    ranked = sorted_rank(pairs, ["coluna", "categoria"], "_place")
+    first = ranked.groupBy("coluna").agg(F.min("_place").alias("_first"))
+    return ranked.join(first, "coluna").select(
+        "coluna", "categoria", (F.col("_place") - F.col("_first")).cast("int").alias("codigo")
+    )
 
 
 def encode_categories(
     df: DataFrame, columns: Sequence[str], suffix: str = "_code"
 ) -> DataFrame:
-    """Add ``<col><suffix>``: the value's rank among the sorted categories, null kept.
-
-    One pass collects the categories of all columns; the small code table is
-    split per column and joined back.
-    """
-    names = list(columns)
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in names])
-    pairs = require(texts.unpivot([], names, "coluna", "categoria"), "categoria").distinct()
-    code = F.dense_rank().over(W.partitionBy("coluna").orderBy("categoria")) - 1
-    codes = settle(pairs.select("coluna", "categoria", code.cast("int").alias("codigo")), "codes")
+    """Add ``<col><suffix>``: the value's rank among the sorted categories, null kept."""
+    codes = settle(category_codes(df, *columns), "codes")
     out = df
-    for c in names:
+    for c in columns:
         of_column = codes.filter(F.col("coluna") == c).select(
             F.col("categoria").alias(f"_{c}"), F.col("codigo").alias(f"{c}{suffix}")
         )

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import unquote
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 
 from microatlas import config
 from microatlas.runtime import settle
+from microatlas.sources.positions import file_order
 from microatlas.sources.tables import with_dense_id
 
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id: row number within the task
 POSITION = "pos"
+PEEKS = 8
 
 
 @dataclass(frozen=True)
@@ -77,16 +80,20 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*.txt") -> list[s
 def fragments_of(spark: SparkSession, files: Sequence[str]) -> list[Fragment]:
     """Group part files by folder and peek each fragment's header.
 
-    Without schema inference Spark reads one line per fragment for this.
+    Without schema inference Spark reads one line per fragment for this; the peeks
+    are independent small jobs and run side by side.
     """
     groups: dict[str, list[str]] = {}
     for f in files:
         is_part = os.path.basename(f).startswith("part-")
         groups.setdefault(os.path.dirname(f) if is_part else f, []).append(f)
-    return [
-        Fragment(name, tuple(parts), tuple(read_text(spark, parts[0]).columns))
-        for name, parts in sorted(groups.items())
-    ]
+
+    def peek(item: tuple[str, list[str]]) -> Fragment:
+        name, parts = item
+        return Fragment(name, tuple(parts), tuple(read_text(spark, parts[0]).columns))
+
+    with ThreadPoolExecutor(PEEKS) as pool:
+        return list(pool.map(peek, sorted(groups.items())))
 
 
 def choose_columns(
@@ -144,7 +151,9 @@ def split_offsets(spark: SparkSession, parts: Mapping[str, tuple[int, Fragment]]
         .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     )
     before = (
-        W.partitionBy("_key").orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy("_key")
+        .orderBy(*file_order(), "_start")
+        .rowsBetween(W.unboundedPreceding, -1)
     )
     return settle(
         splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))),
