@@ -42,13 +42,32 @@ on_fact(
     "r07_by_institution_type", "tipo_ies nt_ger", lambda f: r.by_institution_type(f, digits=6),
     "select tipo_ies, count(tipo_ies) as total, round(avg(nt_ger), 6) as media from fact group by 1",
 )
+
+
+def _stacked(sets: dict, measures: str, where: dict[str, str]) -> str:
+    """One SELECT per report, the keys it does not use as typed nulls."""
+    kinds = {c: "varchar" for keys in sets.values() for c in keys}
+    kinds.update({c: "int" for c in kinds if c in ("nu_ano", "co_regiao") or c.startswith("qe_")})
+    kinds.update({"co_grupo": "bigint"}, **({"qe_estado_civil": "varchar"} if "qe_estado_civil" in kinds else {}))
+    parts = []
+    for name, keys in sets.items():
+        columns = ", ".join(c if c in keys else f"cast(null as {k}) as {c}" for c, k in kinds.items() if any(c in x for x in sets.values()))
+        parts.append(f"select '{name}' as relatorio, {columns}, count(*) as total, {measures} from fact {where.get(name, '')} group by {', '.join(keys)}")
+    return "select * from (" + " union all ".join(parts) + ") t"
+
+
 on_fact(
-    "r04_r07_in_one_scan", "nu_ano co_grupo curso_nome co_regiao regiao_nome tipo_ies nt_ger",
-    r.statistics_in_one_scan,
-    """select 'ano' as relatorio, coalesce(cast(nu_ano as varchar), '') as chaves, count(*) as total, round(avg(nt_ger), 2) as media from fact group by nu_ano
-    union all select 'curso', cast(co_grupo as varchar) || '|' || curso_nome, count(*), round(avg(nt_ger), 2) from fact group by co_grupo, curso_nome
-    union all select 'regiao', cast(co_regiao as varchar) || '|' || regiao_nome, count(*), round(avg(nt_ger), 2) from fact group by co_regiao, regiao_nome
-    union all select 'tipo_ies', coalesce(tipo_ies, ''), count(*), round(avg(nt_ger), 2) from fact group by tipo_ies""",
+    "r03_r07_in_one_scan", "nu_ano co_grupo curso_nome co_regiao regiao_nome tipo_ies faixa_nota nt_ger",
+    r.statistics_in_one_scan, _stacked(r.STATISTICS_SETS, "round(avg(nt_ger), 2) as media", {}),
+)
+on_fact(
+    "r08_r16_in_one_scan",
+    "nu_ano qe_renda renda_nome qe_escola_em escola_em_nome qe_trabalha qe_horas_estudo tipo_ies qe_financiamento qe_estado_civil tipo_ensino nt_ger nt_fg nt_ce",
+    r.socioeconomic_in_one_scan,
+    _stacked(
+        r.SOCIOECONOMIC_SETS, "round(avg(nt_ger), 2) as media, round(avg(nt_fg), 2) as media_fg, round(avg(nt_ce), 2) as media_ce",
+        {name: "where nt_ger is not null" + ("" if name == "renda" else "".join(f" and {c} is not null" for c in keys)) for name, keys in r.SOCIOECONOMIC_SETS.items()},
+    ),
 )
 
 # --- socioeconomic ---

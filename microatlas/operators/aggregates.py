@@ -6,7 +6,7 @@ holds a third of the rows costs one partial row per task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -154,13 +154,15 @@ def first_and_last(groups: DataFrame, columns: Sequence[str], order: str) -> Dat
 def group_sets(
     df: DataFrame,
     sets: Mapping[str, Sequence[str]],
-    measure: str,
+    measures: Mapping[str, str],
     digits: int | None = 2,
+    known: Collection[str] = (),
 ) -> DataFrame:
-    """Several group-and-mean reports over one scan, stacked as (relatorio, chaves).
+    """Several group-and-mean reports over one scan, stacked under ``relatorio``.
 
-    Each set keeps only its own keys in ``chaves``; grouping sets make Spark read
-    the rows once instead of once per report.
+    Every key column is there; those a report does not group by are null in its rows.
+    Reports named in ``known`` lose the groups with a null key. Grouping sets make
+    Spark read the rows once instead of once per report.
     """
     columns = list(dict.fromkeys(c for keys in sets.values() for c in keys))
     grouped = df.groupingSets(
@@ -168,18 +170,21 @@ def group_sets(
     ).agg(
         F.grouping_id().alias("_gid"),
         F.count(F.lit(1)).alias("total"),
-        mean(measure, digits).alias("media"),
+        *[mean(c, digits).alias(name) for name, c in measures.items()],
     )
     bit = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}
-    everything = sum(bit.values())
+    gid = {report: sum(bit.values()) - sum(bit[c] for c in keys) for report, keys in sets.items()}
+    if len(set(gid.values())) < len(gid):
+        raise ValueError("two reports group by the same columns")
     name = F.lit(None).cast("string")
-    keys = F.lit(None).cast("string")
-    for report, used in sets.items():
-        gid = F.lit(everything - sum(bit[c] for c in used))
-        name = F.when(F.col("_gid") == gid, F.lit(report)).otherwise(name)
-        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in used])
-        keys = F.when(F.col("_gid") == gid, text).otherwise(keys)
-    return grouped.select(name.alias("relatorio"), keys.alias("chaves"), "total", "media")
+    dropped = F.lit(False)
+    for report, keys in sets.items():
+        here = F.col("_gid") == F.lit(gid[report])
+        name = F.when(here, F.lit(report)).otherwise(name)
+        if report in known:
+            for c in keys:
+                dropped = dropped | (here & F.col(c).isNull())
+    return grouped.filter(~dropped).select(name.alias("relatorio"), *columns, "total", *measures)
 
 
 def covariance_matrix(

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from microatlas import config
 from microatlas.operators import evaluate
 from microatlas.operators.filters import require
 from microatlas.plans import reports as r
+from microatlas.runtime import settle
 
 Bundle = dict[str, DataFrame]
 
@@ -46,6 +48,30 @@ def socioeconomico(fact: DataFrame, filters: r.Filters = None) -> Bundle:
     }
 
 
+def estatisticas_em_uma_leitura(fact: DataFrame, filters: r.Filters = None) -> Bundle:
+    """The grouped statistics, all cut from one settled pass over the rows.
+
+    Counts are of rows: the null group shows its size.
+    """
+    cells = settle(r.statistics_in_one_scan(fact, filters), "statistics")
+    return _cut(cells, r.STATISTICS_SETS, ["total", "media"])
+
+
+def socioeconomico_em_uma_leitura(fact: DataFrame, filters: r.Filters = None) -> Bundle:
+    """The socioeconomic reports, all cut from one settled pass over the rows."""
+    cells = settle(r.socioeconomic_in_one_scan(fact, filters), "socioeconomic")
+    return _cut(cells, r.SOCIOECONOMIC_SETS, ["total", "media", "media_fg", "media_ce"])
+
+
+def _cut(cells: DataFrame, sets: dict[str, list[str]], values: list[str]) -> Bundle:
+    return {
+        name: cells.filter(F.col("relatorio") == name).select(*keys, *values).orderBy(
+            *[F.col(k).asc_nulls_last() for k in keys]
+        )
+        for name, keys in sets.items()
+    }
+
+
 def clusters(fact: DataFrame, filters: r.Filters = None) -> Bundle:
     return {
         "pontos": r.projection_points(fact, filters),

@@ -98,19 +98,18 @@ def by_institution_type(fact: DataFrame, filters: Filters = None, digits: int |
     return _present(fact, filters, ["tipo_ies"], digits).orderBy(_desc("media"), *_asc("tipo_ies"))
 
 
+STATISTICS_SETS = {
+    "ano": ["nu_ano"],
+    "curso": ["co_grupo", "curso_nome"],
+    "regiao": ["co_regiao", "regiao_nome"],
+    "tipo_ies": ["tipo_ies"],
+    "faixa": ["faixa_nota"],
+}
+
+
 def statistics_in_one_scan(fact: DataFrame, filters: Filters = None, digits: int | None = 2) -> DataFrame:
-    """Year, course, region and institution type from one pass over the rows."""
-    return agg.group_sets(
-        with_filters(fact, filters),
-        {
-            "ano": ["nu_ano"],
-            "curso": ["co_grupo", "curso_nome"],
-            "regiao": ["co_regiao", "regiao_nome"],
-            "tipo_ies": ["tipo_ies"],
-        },
-        SCORE,
-        digits,
-    )
+    """Year, course, region, institution type and band from one pass over the rows."""
+    return agg.group_sets(with_filters(fact, filters), STATISTICS_SETS, {"media": SCORE}, digits)
 
 
 # --- socioeconomic ------------------------------------------------------------------------
@@ -202,6 +201,30 @@ def scores_by_teaching_type(fact: DataFrame, filters: Filters = None) -> DataFra
     )
 
 
+SOCIOECONOMIC_SETS = {
+    "renda": ["qe_renda", "renda_nome"],
+    "escola": ["qe_escola_em", "escola_em_nome"],
+    "trabalha": ["qe_trabalha"],
+    "estudo": ["qe_horas_estudo"],
+    "tipo_ies": ["tipo_ies"],
+    "evolucao_renda": ["nu_ano", "qe_renda", "renda_nome"],
+    "financiamento": ["qe_financiamento"],
+    "estado_civil": ["qe_estado_civil"],
+    "nt_por_tipo": ["tipo_ensino"],
+}
+
+
+def socioeconomic_in_one_scan(fact: DataFrame, filters: Filters = None) -> DataFrame:
+    """All socioeconomic reports from one pass over the rows; only income keeps its
+    undeclared group."""
+    return agg.group_sets(
+        _scored(fact, filters),
+        SOCIOECONOMIC_SETS,
+        {"media": "nt_ger", "media_fg": "nt_fg", "media_ce": "nt_ce"},
+        known=set(SOCIOECONOMIC_SETS) - {"renda"},
+    )
+
+
 # --- race and habits ------------------------------------------------------------------------
 def race(fact: DataFrame, filters: Filters = None) -> DataFrame:
     groups = _labelled(fact, filters, "qe_raca_cor", config.RACE_NAMES, "media_nota")

@@ -112,6 +112,18 @@ def test_every_report_of_every_bundle_runs(spark, done):
     assert {x.ano: x.total for x in r.coverage(fact, raw, "NU_ANO").collect()} == {x.ano: x["count"] for x in rows}
 
 
+def test_one_pass_bundles_equal_separate_reports(spark, done):
+    fact, chosen = read_fact(spark, done.path("fact")), {"ano": "2017"}
+    one = endpoints.socioeconomico_em_uma_leitura(fact, chosen)
+    many = endpoints.socioeconomico(fact, chosen)
+    for name in ("renda", "escola", "trabalha", "estudo", "tipo_ies", "financiamento", "estado_civil"):
+        a = sorted((x.total, x.media) for x in one[name].collect())
+        assert a == sorted((x.total, x.media) for x in many[name].collect()), name
+    assert [x.media_fg for x in one["nt_por_tipo"].collect()] == [x.media_fg for x in many["nt_por_tipo"].collect()]
+    one = endpoints.estatisticas_em_uma_leitura(fact, chosen)
+    assert [x.total for x in one["faixa"].collect()] == [x.total for x in r.by_band(fact, chosen).collect()]
+
+
 def test_year_filter_prunes_folders(spark, done):
     plan = read_fact(spark, done.path("fact")).filter("nu_ano = 2017").select("nt_ger")
     text = plan._jdf.queryExecution().executedPlan().toString()

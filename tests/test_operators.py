@@ -168,10 +168,11 @@ def test_trend_projects_and_judges(spark):
 
 def test_grouping_sets_equal_separate_reports(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 6.0), (2, None, None)], "y int, k string, x double")
-    got = {(r.relatorio, r.chaves): (r.total, r.media) for r in agg.group_sets(df, {"ano": ["y"], "par": ["y", "k"], "k": ["k"]}, "x").collect()}
-    assert got["ano", "1"] == (2, 1.5) and got["ano", "2"] == (2, 6.0)
-    assert got["par", "2|"] == (1, None) and got["k", "a"] == (2, 3.5)
-    assert len(got) == 2 + 4 + 3
+    out = agg.group_sets(df, {"ano": ["y"], "par": ["y", "k"], "k": ["k"]}, {"media": "x"}, known=["k"]).collect()
+    got = {(r.relatorio, r.y, r.k): (r.total, r.media) for r in out}
+    assert got["ano", 1, None] == (2, 1.5) and got["ano", 2, None] == (2, 6.0)
+    assert got["par", 2, None] == (1, None) and got["k", None, "a"] == (2, 3.5)
+    assert len(got) == 2 + 4 + 2
 
 
 def test_holdout_is_exact_per_class_even_when_one_is_hot(spark):

@@ -63,7 +63,7 @@ def test_group_means_shuffle_only_partials(stored):
 
 
 def test_one_scan_for_many_groupings(stored):
-    text = plan(r.statistics_in_one_scan(stored.withColumns({c: F.lit("a") for c in ("co_grupo", "curso_nome", "regiao_nome", "tipo_ies")})))
+    text = plan(r.statistics_in_one_scan(stored.withColumns({c: F.lit("a") for c in ("co_grupo", "curso_nome", "regiao_nome", "tipo_ies", "faixa_nota")})))
     assert text.count("FileScan") == 1
 
 
