@@ -509,3 +509,13 @@ add(
     "r24_metric_matrix", lambda spark, sf: evaluate.metric_matrix(_metrics(spark, sf)),
     on_fact_sql + CELLS + " select * from cells",
 )
+add(
+    "r24_feature_importance", lambda spark, sf: r.feature_importance(_metrics(spark, sf)),
+    on_fact_sql[:-2] + " select 'nt_fg' as nome, round(round(abs(corr(nt_fg, nt_ger)), 6) * 100, 1) as percentual from fact union all select 'nt_ce', round(round(abs(corr(nt_ce, nt_ger)), 6) * 100, 1) from fact",
+)
+on_fact(
+    "r43_yearly_change", "nu_ano nt_ger", r.yearly_change,
+    """g as (select nu_ano as ano, count(*) as total, round(avg(nt_ger), 2) as media from fact where nt_ger is not null group by 1)
+    select *, round(media - first_value(media) over w, 2) as delta_referencia, round(media - lag(media) over w, 2) as delta_anterior,
+    round((media - first_value(media) over w) * 100 / first_value(media) over w, 1) as pct_referencia from g window w as (order by ano)""",
+)

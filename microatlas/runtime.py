@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_roots: dict[str, str] = {}
 
@@ -62,3 +66,38 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@dataclass(frozen=True)
+class SettledParts:
+    """A settled table in one folder per value of an integer column.
+
+    A part is read from its own folder, so Catalyst sizes it by itself, not by the
+    whole table.
+    """
+
+    spark: SparkSession
+    path: str
+    column: str
+    schema: T.StructType
+
+    def table(self) -> DataFrame:
+        """All parts."""
+        whole = T.StructType([*self.schema.fields, T.StructField(self.column, T.IntegerType())])
+        return self.spark.read.schema(whole).parquet(self.path)
+
+    def part(self, value: int) -> DataFrame:
+        """One part, without rows when nothing has that value."""
+        folder = f"{self.path}/{self.column}={value}"
+        own = self.spark.read.schema(self.schema)
+        try:
+            return own.parquet(folder)
+        except AnalysisException:  # no such folder
+            return self.table().filter(F.lit(False)).drop(self.column)
+
+
+def settle_parts(df: DataFrame, column: str, name: str = "settled") -> SettledParts:
+    path = scratch_path(df.sparkSession, name)
+    df.withColumn(column, F.col(column).cast("int")).write.partitionBy(column).parquet(path)
+    fields = [f for f in df.schema.fields if f.name != column]
+    return SettledParts(df.sparkSession, path, column, T.StructType(fields))

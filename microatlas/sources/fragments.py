@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from microatlas import config
-from microatlas.runtime import settle
+from microatlas.runtime import SettledParts, settle_parts
 from microatlas.sources.positions import file_order
 from microatlas.sources.tables import with_dense_id
 
@@ -54,6 +54,17 @@ class Choice:
     identification: str | None = None
 
 
+@dataclass(frozen=True)
+class Part:
+    """One fragment of one edition with the columns taken from it."""
+
+    number: int
+    year: int
+    fragment: Fragment
+    columns: tuple[str, ...]
+    identifies: bool
+
+
 def read_text(spark: SparkSession, files: Sequence[str] | str) -> DataFrame:
     """Delimited latin-1 text with a header, every column a string."""
     files = [files] if isinstance(files, str) else list(files)
@@ -133,43 +144,46 @@ def _numbered(spark: SparkSession, fragment: Fragment, columns: Sequence[str]) -
     )
 
 
-def split_offsets(spark: SparkSession, parts: Mapping[str, tuple[int, Fragment]]) -> DataFrame:
+def split_offsets(spark: SparkSession, parts: Sequence[Part]) -> SettledParts:
     """Rows before each split, per fragment: one row per split of the input.
 
-    The running sum is over splits, not rows. The result is settled, so the join
-    that uses it broadcasts only while it is small.
+    The running sum is over splits, not rows. Each fragment's offsets are settled in
+    a folder of their own, so the join that uses them broadcasts only while they are
+    small.
     """
     scans = [
-        _numbered(spark, fragment, []).select(
-            F.lit(key).alias("_key"), F.lit(year).alias("_year"), "_file", "_start", "_row"
+        _numbered(spark, part.fragment, []).select(
+            F.lit(part.number).alias("_part"), F.lit(part.year).alias("_year"), "_file", "_start", "_row"
         )
-        for key, (year, fragment) in parts.items()
+        for part in parts
     ]
     splits = (
         reduce(DataFrame.unionByName, scans)
-        .groupBy("_key", "_year", "_file", "_start")
+        .groupBy("_part", "_year", "_file", "_start")
         .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     )
     before = (
-        W.partitionBy("_key")
+        W.partitionBy("_part")
         .orderBy(*file_order(), "_start")
         .rowsBetween(W.unboundedPreceding, -1)
     )
-    return settle(
-        splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))),
-        "split-offsets",
-    )
+    placed = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    return settle_parts(placed, "_part", "split-offsets")
 
 
 def with_position(
-    spark: SparkSession, key: str, fragment: Fragment, columns: Sequence[str], offsets: DataFrame
+    spark: SparkSession, part: Part, columns: Sequence[str], offsets: SettledParts
 ) -> DataFrame:
-    """The fragment's columns with each row's 0-based position."""
-    own = offsets.filter(F.col("_key") == F.lit(key)).select("_file", "_start", "_first", "_before")
+    """The fragment's columns with each row's 0-based position and edition."""
+    own = offsets.part(part.number).select("_file", "_start", "_first", "_before")
     return (
-        _numbered(spark, fragment, columns)
+        _numbered(spark, part.fragment, columns)
         .join(own, ["_file", "_start"])
-        .select((F.col("_row") - F.col("_first") + F.col("_before")).alias(POSITION), *columns)
+        .select(
+            F.lit(part.year).cast("int").alias("_year"),
+            (F.col("_row") - F.col("_first") + F.col("_before")).alias(POSITION),
+            *columns,
+        )
     )
 
 
@@ -180,41 +194,41 @@ def assemble(
     wanted: Sequence[str] = config.RAW_COLUMNS,
     optional: Sequence[str] = config.OPTIONAL_COLUMNS,
     year_column: str = config.YEAR_COLUMN,
-    offsets: DataFrame | None = None,
+    offsets: SettledParts | None = None,
     with_id: bool = False,
 ) -> DataFrame:
     """All editions as one table keyed by (edition, position).
 
     ``keep`` is a predicate on the identification columns. The rows it keeps are
-    settled, and their positions cut the other fragments before the shuffle.
-    ``with_id`` numbers the kept rows on the way, while they are still narrow.
+    settled per edition, and their positions cut the other fragments before the
+    shuffle. ``with_id`` numbers the kept rows on the way, while they are still narrow.
     """
-    parts = _parts(choices)
+    parts = parts_of(choices)
     if offsets is None:
         offsets = split_offsets(spark, parts)
-    pieces, base = [], []
-    for key, (year, fragment) in parts.items():
-        choice = next(c for c in choices if c.year == year)
-        columns = [c for c in choice.taken[fragment.name] if c != year_column]
-        piece = with_position(spark, key, fragment, columns, offsets).withColumn(
-            "_year", F.lit(year).cast("int")
-        )
-        (base if fragment.name == choice.identification else pieces).append(piece)
+    base, rest = [], []
+    for part in parts:
+        columns = [c for c in part.columns if c != year_column]
+        piece = with_position(spark, part, columns, offsets)
+        (base if part.identifies else rest).append((part.year, piece))
 
     def stack(frames: list[DataFrame]) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
-    identified = stack(base)
+    identified = stack([piece for _, piece in base])
     if keep is not None:
         identified = identified.filter(keep)
     if keep is not None or with_id:
-        identified = settle(identified, "identification")
+        settled = settle_parts(identified, "_year", "identification")
+        identified = settled.table()
     if keep is not None:
-        allowed = identified.select("_year", POSITION)
-        pieces = [p.join(allowed, ["_year", POSITION], "left_semi") for p in pieces]
+        rest = [
+            (year, piece.join(settled.part(year).select(POSITION), POSITION, "left_semi"))
+            for year, piece in rest
+        ]
     if with_id:
         identified = with_dense_id(identified, "_year", POSITION)
-    union = stack([identified, *pieces])
+    union = stack([identified, *[piece for _, piece in rest]])
     values = [c for c in union.columns if c not in ("_year", POSITION)]
     # A fragment has one row per position, so there is nothing to combine before the
     # shuffle; after it, every column has at most one value per row and max picks it.
@@ -228,13 +242,21 @@ def assemble(
     return stamped.select(*first, *[c for c in wanted if c in stamped.columns])
 
 
-def _parts(choices: Sequence[Choice]) -> dict[str, tuple[int, Fragment]]:
-    return {
-        f"{choice.year}/{fragment.name}": (choice.year, fragment)
+def parts_of(choices: Sequence[Choice]) -> list[Part]:
+    """The fragments that are read, numbered over all editions."""
+    read = [
+        (choice, fragment)
         for choice in choices
         for fragment in choice.fragments
         if choice.taken.get(fragment.name)
-    }
+    ]
+    return [
+        Part(
+            i, choice.year, fragment, tuple(choice.taken[fragment.name]),
+            fragment.name == choice.identification,
+        )
+        for i, (choice, fragment) in enumerate(read)
+    ]
 
 
 def load_editions(
@@ -267,17 +289,17 @@ def load_editions(
     if not choices:
         raise RuntimeError("no edition could be read")
     keep = None if codes is None else F.trim(config.GROUP_COLUMN).isin([str(c) for c in codes])
-    offsets = split_offsets(spark, _parts(choices))
+    offsets = split_offsets(spark, parts_of(choices))
     rows = assemble(spark, choices, keep, wanted, optional, offsets=offsets, with_id=with_id)
     status = spark.createDataFrame(
         report, "ano int, situacao string, fragmentos int, fragmentos_lidos int"
     )
-    return rows, _with_lengths(status, offsets)
+    return rows, _with_lengths(status, offsets.table())
 
 
 def _with_lengths(status: DataFrame, offsets: DataFrame) -> DataFrame:
     """Add shortest and longest fragment per edition: unequal lengths are a warning."""
-    lengths = offsets.groupBy("_year", "_key").agg(F.sum("_rows").alias("n"))
+    lengths = offsets.groupBy("_year", "_part").agg(F.sum("_rows").alias("n"))
     per_year = lengths.groupBy(F.col("_year").alias("ano")).agg(
         F.min("n").alias("menor_fragmento"), F.max("n").alias("maior_fragmento")
     )

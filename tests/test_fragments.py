@@ -62,6 +62,16 @@ def test_course_filter_and_editions(spark, tmp_path):
     assert set(config.OPTIONAL_COLUMNS) <= set(rows.columns)
 
 
+def test_an_edition_may_have_no_kept_course(spark, tmp_path):
+    edition(tmp_path / "e2014", 30)
+    write(tmp_path / "e2017" / "a.txt", ["CO_CURSO", "CO_GRUPO"], [("x", "1")] * 8)
+    write(tmp_path / "e2017" / "b.txt", ["CO_CURSO", "QE_I05"], [("x", "A")] * 8)
+    folders = {y: str(tmp_path / f"e{y}") for y in (2014, 2017)}
+    rows, _ = fr.load_editions(spark, folders, (72, 79, 4004), with_id=True)
+    assert {r.NU_ANO for r in rows.collect()} == {"2014"}
+    assert sorted(r.id for r in rows.collect()) == list(range(rows.count()))
+
+
 def test_same_rows_without_broadcast(spark, tmp_path):
     edition(tmp_path / "e2014", 300)
     folders = {2014: str(tmp_path / "e2014")}

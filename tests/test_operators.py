@@ -88,6 +88,21 @@ def test_normalise_constant_and_null(spark):
     assert got == [(0, 5.0, None), (1, -1, None), (1, 10.0, 0.0), (1, 20.0, 100.0), (2, 7.0, 50.0), (2, 7.0, 50.0)]
 
 
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_group_statistics_with_and_without_broadcast(spark, threshold):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, threshold)
+    try:
+        df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("g"), "id")
+        out = scores.attach_group_stats(df, ["g"], n=F.count("id"), lo=F.min("id"))
+        assert out.count() == 3000 and out.filter("g = 'hot' and (n <> 1000 or lo <> 0)").count() == 0
+        assert out.filter("g <> 'hot' and (n <> 1 or lo <> id)").count() == 0
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+
+
 def test_codes_follow_text_order_and_keep_null(spark):
     df = spark.createDataFrame([(10, "b"), (9, None), (2, "a"), (None, "b")], "n int, s string")
     out = scores.encode_categories(df, ["n", "s"])
