@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks import star
 from checks.registry import add, on_fact
 from microatlas.operators import evaluate
-from microatlas.operators.scores import encode_categories
 from microatlas.plans import reports as r
 
 PUB = star.PATTERN

@@ -152,8 +152,8 @@ add(
 add(
     "src8_load_report",
     lambda s, d: fr.load_editions(s, {**_folders(s, d), 2011: f"{_folder(s, d)}/ausente"}, None, on_error="skip")[1],
-    f"""select {_EDITION} as ano, 'ok' as situacao, 5 as fragmentos, 4 as fragmentos_lidos, count(*) as menor_fragmento, count(*) as maior_fragmento, true as alinhado from orders group by 1
-    union all select 2011, 'AnalysisException', 0, 0, null, null, null""",
+    f"""select {_EDITION} as ano, 'ok' as situacao, 5 as fragmentos, 4 as fragmentos_lidos, 0 as fragmentos_com_erro, count(*) as menor_fragmento, count(*) as maior_fragmento, true as alinhado from orders group by 1
+    union all select 2011, 'AnalysisException', 0, 0, 0, null, null, null""",
 )
 
 # --- tables -----------------------------------------------------------------------------------------------

@@ -77,23 +77,24 @@ def derive(rows: DataFrame) -> DataFrame:
 
 
 def transform(spark: SparkSession, s: Settings) -> None:
-    raw = spark.read.option("basePath", s.path("raw")).parquet(s.path("raw"))
+    raw = spark.read.parquet(s.path("raw"))
     raw = raw.withColumn(config.YEAR_COLUMN, F.col(config.YEAR_COLUMN).cast("string"))
     derived = derive(clean(raw))
-    encoded = encode_categories(derived, config.FEATURES)
+    encoded = encode_categories(derived, [c for c in config.FEATURES if c in derived.columns])
     done = drop_control(encoded)
     done.write.mode("overwrite").parquet(s.path("clean"))
     if s.save_csv:
         tables.write_csv(spark.read.parquet(s.path("clean")), s.path("clean_csv"))
 
 
-def _coded(features: Sequence[str] = config.FEATURES) -> list[str]:
-    return [f"{c}_code" for c in features]
+def _coded(rows: DataFrame) -> list[str]:
+    """The encoded features that exist: a question no edition asked is left out."""
+    return [f"{c}_code" for c in config.FEATURES if f"{c}_code" in rows.columns]
 
 
 def ml(spark: SparkSession, s: Settings) -> None:
     rows = spark.read.parquet(s.path("clean"))
-    features = _coded()
+    features = _coded(rows)
     profiles = models.fit_profiles(rows, features, "NT_GER", s.clusters, s.seeds, s.iterations)
     forest = models.fit_classifier(
         rows, features, "FAIXA_NOTA", ["id"], trees=s.trees, depth=s.depth, blocks=s.forest_blocks
@@ -115,7 +116,7 @@ def ml(spark: SparkSession, s: Settings) -> None:
 def load(spark: SparkSession, s: Settings) -> None:
     """The serving table: encoded features under their serving names, as reports expect."""
     rows = spark.read.parquet(s.path("scored"))
-    serving = rows.withColumns({c: F.col(f"{c}_code") for c in config.FEATURES})
+    serving = rows.withColumns({c.removesuffix("_code"): F.col(c) for c in _coded(rows)})
     tables.write_fact(tables.fact_layout(serving), s.path("fact"))
 
 

@@ -88,9 +88,14 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*.txt") -> list[s
     return sorted(unquote(f) for f in listed)
 
 
-def fragments_of(spark: SparkSession, files: Sequence[str]) -> list[Fragment]:
+def fragments_of(
+    spark: SparkSession, files: Sequence[str], on_error: str = "fail", failed: list[str] | None = None
+) -> list[Fragment]:
     """Group part files by folder and peek each fragment's header.
 
+    With ``on_error="skip"`` a fragment that cannot be opened is left out and its name
+    is added to ``failed``.
+
     Without schema inference Spark reads one line per fragment for this; the peeks
     are independent small jobs and run side by side.
     """
@@ -99,12 +104,19 @@ def fragments_of(spark: SparkSession, files: Sequence[str]) -> list[Fragment]:
         is_part = os.path.basename(f).startswith("part-")
         groups.setdefault(os.path.dirname(f) if is_part else f, []).append(f)
 
-    def peek(item: tuple[str, list[str]]) -> Fragment:
+    def peek(item: tuple[str, list[str]]) -> Fragment | None:
         name, parts = item
-        return Fragment(name, tuple(parts), tuple(read_text(spark, parts[0]).columns))
+        try:
+            return Fragment(name, tuple(parts), tuple(read_text(spark, parts[0]).columns))
+        except Exception:
+            if on_error != "skip":
+                raise
+            if failed is not None:
+                failed.append(name)
+            return None
 
     with ThreadPoolExecutor(PEEKS) as pool:
-        return list(pool.map(peek, sorted(groups.items())))
+        return [f for f in pool.map(peek, sorted(groups.items())) if f is not None]
 
 
 def choose_columns(
@@ -270,29 +282,32 @@ def load_editions(
 ) -> tuple[DataFrame, DataFrame]:
     """Assemble several editions; returns (raw rows, load report).
 
-    ``on_error="skip"`` leaves out editions that are missing or have no
-    identification fragment and says so in the report; nothing at all is an error.
+    ``on_error="skip"`` leaves out fragments that cannot be opened and editions that
+    are missing or have no identification fragment, and says so in the report; nothing
+    at all is an error.
     """
     choices, report = [], []
     for year, folder in sorted(folders.items()):
+        failed: list[str] = []
         try:
-            found = fragments_of(spark, discover(spark, folder))
+            found = fragments_of(spark, discover(spark, folder), on_error, failed)
             choice = choose_columns(year, found, wanted)
             if choice.identification is None:
                 raise ValueError(f"no fragment of {year} has {config.GROUP_COLUMN}")
             choices.append(choice)
-            report.append((year, "ok", len(found), len(choice.taken)))
+            report.append((year, "ok", len(found), len(choice.taken), len(failed)))
         except Exception as error:
             if on_error != "skip":
                 raise
-            report.append((year, type(error).__name__, 0, 0))
+            report.append((year, type(error).__name__, 0, 0, len(failed)))
     if not choices:
         raise RuntimeError("no edition could be read")
     keep = None if codes is None else F.trim(config.GROUP_COLUMN).isin([str(c) for c in codes])
     offsets = split_offsets(spark, parts_of(choices))
     rows = assemble(spark, choices, keep, wanted, optional, offsets=offsets, with_id=with_id)
     status = spark.createDataFrame(
-        report, "ano int, situacao string, fragmentos int, fragmentos_lidos int"
+        report,
+        "ano int, situacao string, fragmentos int, fragmentos_lidos int, fragmentos_com_erro int",
     )
     return rows, _with_lengths(status, offsets.table())
 

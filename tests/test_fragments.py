@@ -107,6 +107,21 @@ def test_missing_edition_fails_or_is_reported(spark, tmp_path):
         fr.load_editions(spark, {2017: str(tmp_path / "none")}, on_error="skip")
 
 
+def test_unreadable_fragment_fails_or_is_reported(spark, tmp_path):
+    edition(tmp_path / "e", 6)
+    (tmp_path / "e" / "broken.txt").write_bytes(b"")
+    found = fr.discover(spark, str(tmp_path / "e"))
+    missing = [*found, f"file:{tmp_path}/e/gone.txt"]
+    with pytest.raises(Exception):
+        fr.fragments_of(spark, missing)
+    failed = []
+    kept = fr.fragments_of(spark, missing, "skip", failed)
+    assert len(failed) == 1 and failed[0].endswith("gone.txt")
+    assert {f.name.rsplit("/", 1)[1] for f in kept if f.columns} == {"a_ident.txt", "b_scores.txt", "c_income.txt", "z_other.txt"}
+    rows, report = fr.load_editions(spark, {2014: str(tmp_path / "e")}, None, on_error="skip")
+    assert rows.count() == 6 and report.first().fragmentos_com_erro == 0
+
+
 def test_edition_without_identification_is_an_error(spark, tmp_path):
     write(tmp_path / "e" / "x.txt", ["CO_CURSO", "QE_I05"], [("a", "b")])
     with pytest.raises(ValueError):
