@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microatlas.llm import mixing, packing, quality, secret_scan, sharding, simhash
+from microatlas.llm import (
+    embedding_dedup, language_id, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, warc,
+)
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +25,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    # A null id counts as the empty text: it is held out.
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    held_out = fold == 0
+    found = language_id.identify(docs.withColumn("held_out", held_out), held_out, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.write_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), keep=["vec_id"])
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(documents(spark, sf_dir), keep=["doc_id"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live")
@@ -64,17 +88,21 @@ lines AS (
            row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AND chars > 0 AS again
     FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs))
   GROUP BY r),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+threes AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, g) > 1 AS again
+  FROM (SELECT r, i, word || ' ' || lead(word) OVER by_place || ' ' || lead(word, 2) OVER by_place AS g
+        FROM words WINDOW by_place AS (PARTITION BY r ORDER BY i)) WHERE g IS NOT NULL),
+repeating AS (SELECT * FROM words WHERE r IN (SELECT r FROM threes WHERE again)),
 grams AS (
-  SELECT r, n, i, count(*) OVER (PARTITION BY r, n, g) AS times, row_number() OVER (PARTITION BY r, n, g ORDER BY i) > 1 AS later
-  FROM (
-    SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, list_slice(w, i, i + n - 1) AS g
-    FROM docs, (SELECT unnest([3, 5, 6, 7, 8, 9, 10]) AS n) WHERE len(w) >= n)),
+  SELECT r, 3 AS n, i, again AS marks FROM threes
+  {grams}),
 marked AS (
-  SELECT DISTINCT r, n, unnest(range(i, i + n)) AS i FROM grams WHERE CASE WHEN n = 3 THEN times > 1 ELSE later END),
+  SELECT DISTINCT r, n, unnest(range(i, i + n)) AS i FROM grams WHERE marks),
 shares AS (
-  SELECT m.r, count(*) FILTER (WHERE n = 3) AS n_repeat_words,
+  SELECT r, count(*) FILTER (WHERE n = 3) AS n_repeat_words,
          {sums}
-  FROM marked m JOIN docs d ON m.r = d.r GROUP BY m.r),
+  FROM marked JOIN words USING (r, i) GROUP BY r),
 base AS (
   SELECT d.r, doc_id, len(w)::BIGINT AS n_words,
          length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
@@ -92,7 +120,13 @@ FROM base
 def op4_sql(rules: quality.Rules = quality.Rules()) -> str:
     lengths = dict(rules.coverage)
     return OP4_SQL.format(
-        sums=",\n         ".join(f"sum(length(w[i])) FILTER (WHERE n = {n}) AS c{n}" for n in lengths),
+        grams="\n  ".join(
+            f"UNION ALL SELECT r, {n}, i, row_number() OVER (PARTITION BY r, g ORDER BY i) > 1 FROM (SELECT r, i, word"
+            + "".join(f" || ' ' || lead(word, {k}) OVER by_place" for k in range(1, n))
+            + " AS g FROM repeating WINDOW by_place AS (PARTITION BY r ORDER BY i)) WHERE g IS NOT NULL"
+            for n in lengths
+        ),
+        sums=",\n         ".join(f"sum(length(word)) FILTER (WHERE n = {n}) AS c{n}" for n in lengths),
         ratios=",\n         ".join(f"(coalesce(s.c{n}, 0) / greatest(word_chars, 1))::DOUBLE AS dup_{n}gram_share" for n in lengths),
         lines=rules.lines,
         limits=" AND ".join(f"dup_{n}gram_share <= {x}" for n, x in lengths.items()),
@@ -127,8 +161,43 @@ SELECT doc_id, size, source_size, target::DOUBLE AS target,
 FROM placed
 """
 
+OP2_SQL = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+quads AS (
+  SELECT *, list_transform(range(8), lambda q: ('0x' || substr(hex, (5 * q + 1)::INT, 5))::BIGINT) AS twenty FROM hashed),
+named AS (
+  SELECT page_id, payload_bytes, hex,
+         list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((twenty[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest
+  FROM quads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = max(page_id) OVER (PARTITION BY hex) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < max(page_id) OVER (PARTITION BY hex) THEN max(page_id) OVER (PARTITION BY hex) END AS refers_to
+FROM named
+"""
+
+OP5_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(e, e)) AS norm FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links,
+       least(vec_id, (SELECT min(b) FROM reached WHERE a = vec_id)) AS component_id,
+       vec_id = least(vec_id, (SELECT min(b) FROM reached WHERE a = vec_id)) AS kept
+FROM embeddings
+"""
+
 QUERIES: dict[str, Build] = {
     f.__name__: f
-    for f in (op4_quality_rules, op6_secret_scan, op7_best_fit_packing, op8_simhash_near_dedup, op9_byte_balanced_shards, op10_source_mix)
-}
-ORACLE: dict[str, str] = {"op4_quality_rules": op4_sql(), "op10_source_mix": OP10_SQL}
+    for f in (
+        op1_language_id, op2_warc_round_trip, op3_token_counts, op4_quality_rules, op5_embedding_near_dedup, op6_secret_scan,
+        op7_best_fit_packing, op8_simhash_near_dedup, op9_byte_balanced_shards, op10_source_mix,
+    )
+}
+ORACLE: dict[str, str] = {
+    "op2_warc_round_trip": OP2_SQL, "op4_quality_rules": op4_sql(), "op5_embedding_near_dedup": OP5_SQL, "op10_source_mix": OP10_SQL,
+}
