@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from microatlas.llm.common import WORD, col, numbered, others
+from microatlas.llm.common import WORD, col, numbered
 from microatlas.runtime import settle
 
 HASH_BITS = 60

@@ -11,8 +11,11 @@ per task, without sorting.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -31,49 +34,98 @@ CAPACITY = 2048
 SEPARATOR = 0
 
 
+#: What the word memory relies on; any other tokenizer gets whole texts.
+_WORD_BPE = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "suffix": "</w>",
+}
+
+
+def _splits_at_spaces(spec: dict) -> bool:
+    try:
+        split, level = spec["pre_tokenizer"]["pretokenizers"]
+        found = {
+            "normalizer": [n["type"] for n in spec["normalizer"]["normalizers"]],
+            "pattern": split["pattern"]["Regex"],
+            "suffix": spec["model"]["end_of_word_suffix"],
+        }
+        return found == _WORD_BPE and split["invert"] and level["type"] == "ByteLevel" and not level["use_regex"]
+    except (KeyError, TypeError, ValueError):
+        return False
+
+
+_LETTER = "a-z\xdf-\xf6\xf8-\xff"
+
+
+class Words(dict):
+    """Ids of the words seen, little-endian, made when a word is first asked for.
+
+    Words of lower-case letters, digits and ASCII marks are cut as the splitter does
+    and go straight to the library's model; others go through all of the library.
+    """
+
+    _letters = re.compile(f"[{_LETTER}]+")
+    _simple = re.compile(f"[{_LETTER}!-@\\[-`{{-~]+")
+    _pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^0-9{_LETTER}]+")
+
+    def __init__(self, library, older: dict[str, bytes]) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.library, self.model, self.older = library, library.model, dict(older)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.translate(self.level)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if self._letters.fullmatch(word):
+                ids = self._piece(word)
+            elif self._simple.fullmatch(word):
+                pieces = self._pieces.findall(word)
+                ids = b"".join([self[p] for p in pieces]) if len(pieces) > 1 else self._piece(word)
+            else:
+                ids = self.whole(word)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Token ids of whole texts, as the library gives them, with a memory of words.
 
     The tokenizer splits at white space before anything else and never merges across
-    it, so a text's ids are those of its words in a row. Texts in Latin-1 are lower-cased first
-    and a full stop or comma that ends a word after a letter is taken apart, which its
-    normaliser and splitter do as well. Texts with the strings of special tokens,
-    or with rare white space, go to the library as they are.
+    it, so a text's ids are those of its words in a row. Texts in Latin-1 are lower-cased
+    first, as the normaliser would. Texts with the strings of special tokens go to the
+    library as they are.
     """
 
-    LIMIT = 300_000
+    KNOWN = 400_000  # words in each of two generations: about 200 MB
     LONG = 1 << 20
-    _end = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?=[ \t\n\r]|$)")
-    _odd = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0]")
+    _rare_space = b"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has dealt out the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        letters = [w for w in words if w.isalpha()]
-        if letters:
-            ids = np.array(self.library.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) == len(letters):  # each word ends with its own last token
-                raw, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
-                self.known.update(zip(letters, [raw[a:b] for a, b in zip(starts, stops.tolist())]))
-        rest = [w for w in words if w not in self.known]
-        self.known.update(zip(rest, self._whole(rest)))
+        self.by_words = _splits_at_spaces(json.loads(self.library.to_str()))
+        self.words = Words(self.library, {})
 
     def _words(self, text: str) -> list[str]:
         try:
-            text.encode("latin-1")
+            raw = text.encode("latin-1")
+            if len(raw) == len(raw.translate(None, self._rare_space)):
+                return text.lower().split()
         except UnicodeEncodeError:
-            return [w for w in re.split("[ \t\n\r]+", text) if w]
-        return self._end.sub(r" \1", text.lower()).split()
+            pass
+        return [w for w in re.split("[ \t\n\r]+", text) if w]
 
     def _parts(self, text: str) -> Iterator[str]:
         """The text cut at spaces, so that no list of words gets very long."""
@@ -83,22 +135,16 @@ class WordEncoder:
             start = stop
         yield text[start:]
 
-    def __call__(self, texts: Sequence[str | None]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        for text in texts:
-            if not text:
-                yield b""
-            elif "<|" in text or self._odd.search(text):
-                yield self._whole([text])[0]
-            else:
-                out = []
-                for part in self._parts(text):
-                    if len(self.known) > self.LIMIT:
-                        self.known.clear()
-                    words = self._words(part)
-                    self._learn(set(words) - self.known.keys())
-                    out += [self.known[w] for w in words]
-                yield b"".join(out)
+    def __call__(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        if not text:
+            return b""
+        if not self.by_words or "<|" in text:
+            return self.words.whole(text)
+        if len(self.words) > self.KNOWN:
+            self.words = Words(self.library, self.words)
+        known = self.words.__getitem__
+        return b"".join([b"".join(map(known, self._words(part))) for part in self._parts(text)])
 
 
 def pieces(docs: DataFrame, text: str, tokenizer: str, capacity: int, keep: Sequence[str]) -> DataFrame:
@@ -114,7 +160,7 @@ def pieces(docs: DataFrame, text: str, tokenizer: str, capacity: int, keep: Sequ
         counts = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
-            for i, ids in enumerate(encode(batch.column(len(keep)).to_pylist())):
+            for i, ids in enumerate(map(encode, batch.column(len(keep)).to_pylist())):
                 ids += tail
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]

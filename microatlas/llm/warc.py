@@ -19,9 +19,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from microatlas.llm.common import col
 from microatlas.runtime import scratch_path, settle
