@@ -32,7 +32,7 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_WIDE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+_WIDE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9])")
 
 
 @dataclass(frozen=True)
@@ -46,10 +46,10 @@ class Rules:
 
 
 def looks_random(value: str, min_bits: float) -> bool:
-    """Letters and digits both, and no few characters over and over."""
-    if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+    """Several letters and digits, no path, and no few characters over and over."""
+    digits, letters, n = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value), len(value)
+    if digits < 3 or letters < 3 or 10 * sum(c in "/_-" for c in value) > n:
         return False
-    n = len(value)
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= min_bits
 
 
@@ -76,11 +76,12 @@ def scan(text: str | None, min_bits: float) -> tuple[list[tuple], list[tuple]]:
     base = base_spans(text)
     found = {(m.start(), m.end()): m[0] for m in _WIDE.finditer(text)}
     for _, start, end, value in base:
-        found[(end - len(value), end)] = value
+        bare = value.rstrip(".")  # the full stop of a sentence is no part of a secret
+        found[(end - len(value), end - len(value) + len(bare))] = bare
     wide = [
         (s, e, int.from_bytes(hashlib.blake2b(v.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
         for (s, e), v in sorted(found.items())
-        if looks_random(v.rstrip("."), min_bits)
+        if looks_random(v, min_bits)
     ]
     return base, wide
 
