@@ -1,8 +1,7 @@
 """Preparation, models and evaluation.
 
 Fits and predictions of ``pyspark.ml`` have no SQL twin; their registered queries
-return invariants that must hold, over whole tables. Settings are small so that a
-check stays short; the batch job uses the full ones.
+return invariants that must hold, over whole tables, with the settings of the batch job.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from checks import star
 from checks.registry import add, on_fact
 from checks.report_queries import CELLS, CLASS_REPORT, on_fact_sql
+from checks.source_queries import UNFOLDED_SQL, _unfolded
 from microatlas.operators import aggregates as agg
 from microatlas.operators import evaluate, models, split
 from microatlas.operators.quantiles import exact_medians
@@ -81,13 +81,21 @@ for kind in ("corr", "covar_pop"):
 # --- fits: invariants ---------------------------------------------------------------------------------------
 def _profiles(f: DataFrame) -> tuple[models.Profiles, DataFrame]:
     rows = f.filter(F.col("nt_ger").isNotNull())
-    return models.fit_profiles(rows, FEATURES, "nt_ger", 4, (42, 43, 44), 20), rows
+    return models.fit_profiles(rows, FEATURES, "nt_ger"), rows
 
 
 def _kmeans_invariants(f: DataFrame) -> DataFrame:
     """Every row gets one of k ids, and the mean score ascends with the id."""
     fitted, rows = _profiles(f)
     groups = agg.group_mean(fitted.transform(rows), ["cluster_id"], "nt_ger", None)
+    scored = fitted.pipeline.transform(rows)
+    model = fitted.pipeline.stages[3]
+    off = [
+        F.when(F.col("_k") == i, sum(((F.col(f"{c}_z") - F.lit(float(x))) ** 2 for c, x in zip(FEATURES, centre)), F.lit(0.0)))
+        for i, centre in enumerate(model.clusterCenters())
+    ]
+    # The cost over the rows, not over the folded points that the fit has seen.
+    cost = scored.agg(F.sum(F.coalesce(*off))).first()[0]
     pairs = groups.select("cluster_id", "total", "media", F.lag("media").over(W.orderBy("cluster_id")).alias("antes"))
     return pairs.agg(
         F.count(F.lit(1)).alias("grupos"),
@@ -95,13 +103,15 @@ def _kmeans_invariants(f: DataFrame) -> DataFrame:
         F.min("cluster_id").alias("primeiro"),
         F.max("cluster_id").alias("ultimo"),
         F.bool_and(F.coalesce(F.col("media") >= F.col("antes"), F.lit(True))).alias("ascendente"),
-        F.lit(min(fitted.costs.values()) == fitted.pipeline.stages[3].summary.trainingCost).alias("melhor_custo"),
+        F.lit(abs(cost / model.summary.trainingCost - 1) < 1e-6).alias("custo_confere"),
+        F.lit(all(x >= cost * (1 - 1e-6) for x in fitted.costs.values())).alias("melhor_custo"),
+        F.lit(len(fitted.costs)).alias("partidas"),
     )
 
 
 on_fact(
     "ml3_kmeans_profiles", f"{_F} nt_ger", _kmeans_invariants,
-    "select 4::bigint as grupos, count(*) as total, 0 as primeiro, 3 as ultimo, true as ascendente, true as melhor_custo from fact where nt_ger is not null",
+    "select 4::bigint as grupos, count(*) as total, 0 as primeiro, 3 as ultimo, true as ascendente, true as custo_confere, true as melhor_custo, 10 as partidas from fact where nt_ger is not null",
 )
 
 
@@ -174,7 +184,7 @@ def _labelled(f: DataFrame) -> DataFrame:
 
 
 def _classifier(f: DataFrame) -> models.Classifier:
-    return models.fit_classifier(_labelled(f), FEATURES, "banda", KEYS, trees=12, depth=5)
+    return models.fit_classifier(_labelled(f), FEATURES, "banda", KEYS)
 
 
 _BANDA = """b as (select nt_ger, case when s <= 4 then 'baixo' when s <= 7 then 'medio' else 'alto' end as banda
@@ -196,7 +206,7 @@ on_fact(
 
 def _block_forest(f: DataFrame) -> DataFrame:
     """Training on weighted blocks: every row of the table still gets its class."""
-    fit = models.fit_classifier(_labelled(f), FEATURES, "banda", KEYS, trees=12, depth=5, blocks=8)
+    fit = models.fit_classifier(_labelled(f), FEATURES, "banda", KEYS, blocks=8)
     scored = fit.transform(_labelled(f))
     return scored.agg(
         F.count(F.lit(1)).alias("total"),
@@ -228,8 +238,8 @@ on_fact(
 def _all_models(f: DataFrame) -> DataFrame:
     """K-means, forest and projection on the same rows, four columns added."""
     rows = _labelled(f.filter(F.col("nt_ger").isNotNull()))
-    profiles = models.fit_profiles(rows, FEATURES, "nt_ger", 4, (42,), 20)
-    forest = models.fit_classifier(rows, FEATURES, "banda", KEYS, trees=8, depth=4)
+    profiles = models.fit_profiles(rows, FEATURES, "nt_ger")
+    forest = models.fit_classifier(rows, FEATURES, "banda", KEYS)
     scored = forest.transform(profiles.transform(rows))
     added = ("cluster_id", "pca_x", "pca_y", "faixa_prevista")
     return scored.groupBy("banda").agg(
@@ -246,7 +256,7 @@ on_fact(
 def _reloaded(f: DataFrame) -> DataFrame:
     """Scores of a saved and reloaded pipeline equal those of the fitted one."""
     rows = f.filter(F.col("nt_ger").isNotNull())
-    fitted = models.fit_profiles(rows, FEATURES, "nt_ger", 3, (42,), 10)
+    fitted = models.fit_profiles(rows, FEATURES, "nt_ger")
     path = scratch_path(f.sparkSession, "model")
     models.save_pipeline(fitted.pipeline, path)
     again: PipelineModel = models.load_pipeline(path)
@@ -311,14 +321,8 @@ def _metrics(f: DataFrame) -> DataFrame:
 
 
 on_fact(
-    "evl6_metrics_table", f"{_BANDS} nt_fg nt_ger", lambda f: _metrics(f).drop("detalhe"),
-    CLASS_REPORT + """, z as (select 0 as o, 0 as w, 'importancia_feature' as metrica, 'nt_fg' as chave, abs(corr(nt_fg, nt_ger)) as valor from fact
-    union all select 1, 0, 'acuracia_geral', 'random_forest', sum(total) filter (where real = previsto) / sum(total) from cells
-    union all select 2, case classe when 'baixo' then 1 when 'medio' then 2 else 3 end, 'metricas_classe', classe, f1 from per_class
-    union all select 2, 4, 'metricas_classe', 'macro avg', avg(f1) from per_class
-    union all select 2, 5, 'metricas_classe', 'weighted avg', sum(f1 * support) / sum(support) from per_class
-    union all select 3, 0, 'matriz_confusao', 'teste', sum(total) from cells)
-    select row_number() over (order by o, w) - 1 as id, metrica, chave, round(valor, 6) as valor from z""",
+    "evl6_metrics_table", f"{_BANDS} nt_fg nt_ger", lambda f: _unfolded(_metrics(f)),
+    CLASS_REPORT + UNFOLDED_SQL.format(second=""),
 )
 add(
     "evl7_sections_from_json",

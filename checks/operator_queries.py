@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks import star
-from checks.registry import add, on_fact
+from checks.registry import add, in_place, on_fact
 from microatlas import config
 from microatlas.functions import columns as fc
 from microatlas.operators import aggregates as agg
 from microatlas.operators import cleaning, filters, labels, reshape, scores, trend
+from microatlas.operators.reshape import stack_rows
 from microatlas.plans import reports
 from microatlas.sources.positions import sorted_rank
 
@@ -337,17 +338,28 @@ on_fact(
 )
 
 
-def _quantiles(spark, sf, limit=500_000) -> DataFrame:
+def _quantiles(spark, sf) -> DataFrame:
     from microatlas.operators.quantiles import exact_quantiles
 
     wanted = {"o_totalprice": [0.0, 0.33, 0.5, 0.66, 0.999, 1.0]}
-    found = exact_quantiles(star.table(spark, sf, "orders"), wanted, limit)["o_totalprice"]
+    found = exact_quantiles(star.table(spark, sf, "orders"), wanted)["o_totalprice"]
+    return spark.range(1).select(*[F.round(F.lit(v), 6).alias(f"q{i}") for i, v in enumerate(found)])
+
+
+def _narrowed_quantiles(spark, sf) -> DataFrame:
+    """The same cuts with as many nulls as values and another layout of the rows."""
+    from microatlas.operators.quantiles import exact_quantiles
+
+    rows = star.table(spark, sf, "orders")
+    padded = rows.select("o_totalprice").unionAll(rows.select(F.lit(None).cast("double")))
+    wanted = {"o_totalprice": [0.0, 0.33, 0.5, 0.66, 0.999, 1.0]}
+    found = exact_quantiles(padded.repartition("o_totalprice"), wanted)["o_totalprice"]
     return spark.range(1).select(*[F.round(F.lit(v), 6).alias(f"q{i}") for i, v in enumerate(found)])
 
 
 _QUANTILES = "select " + ", ".join(f"round(quantile_cont(o_totalprice, {q}), 6) as q{i}" for i, q in enumerate((0.0, 0.33, 0.5, 0.66, 0.999, 1.0))) + " from orders"
 add("agg10_quantiles", _quantiles, _QUANTILES)
-add("agg10_quantiles_narrowed", lambda s, d: _quantiles(s, d, 200), _QUANTILES)
+add("agg10_quantiles_narrowed", _narrowed_quantiles, _QUANTILES)
 on_fact("agg11_value_counts", "faixa_nota", lambda f: agg.value_counts(f, "faixa_nota"), "select faixa_nota, count(*) as total from fact group by 1")
 on_fact(
     "agg12_null_profile", "nt_ger tipo_ies qe_renda", agg.null_profile,
@@ -414,10 +426,21 @@ on_fact(
     "srt4_class_order", "faixa_nota", lambda f: _numbered(agg.value_counts(f.dropna(), "faixa_nota"), fc.class_order("faixa_nota")),
     "select faixa_nota, count(*) as total, case faixa_nota when 'baixo' then 1 when 'medio' then 2 else 3 end as ordem from fact where faixa_nota is not null group by 1",
 )
+def _places_in_order(spark, sf) -> DataFrame:
+    """Municipality options in the order of their names, which the engine collates."""
+    customers = star.table(spark, sf, "customer").filter("c_custkey is not null")
+    start = F.when(F.col("c_custkey") % 3 == 0, "á").when(F.col("c_custkey") % 3 == 1, "B").otherwise("b")
+    names = customers.select(
+        F.col("c_custkey").alias("co_municipio"), F.lit(1).alias("co_uf"),
+        F.concat(start, F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("nome"),
+    )
+    return in_place(reports.municipality_options(names, names.select("co_municipio", "nome"), 1)).select("nome", "ordem")
+
+
 add(
-    "srt5_locale_order",
-    lambda s, d: star.table(s, d, "nation").select(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "á").otherwise("b"), "n_name").alias("nome")).orderBy(F.collate("nome", "UNICODE")),
-    "select case when n_nationkey % 2 = 0 then 'á' else 'b' end || n_name as nome from nation",
+    "srt5_locale_order", _places_in_order,
+    """select nome, cast(row_number() over (order by strip_accents(lower(nome)), nome) as int) as ordem
+    from (select distinct case c_custkey % 3 when 0 then 'á' when 1 then 'B' else 'b' end || lpad(cast(c_custkey as varchar), 9, '0') as nome from customer)""",
 )
 on_fact(
     "top1_first_and_last", "nu_ano nt_ger", lambda f: agg.first_and_last(agg.group_mean(f, ["nu_ano"], "nt_ger"), ["nu_ano", "media"], "nu_ano"),
@@ -431,7 +454,7 @@ def _stacked_years(spark, sf) -> DataFrame:
     for year in REAL:
         part = orders.filter(F.year("o_orderdate") == year).select("o_orderkey", "o_totalprice", F.lit(year).alias("nu_ano"))
         parts.append(part if year % 2 else part.withColumn("extra", F.lit("par")))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stack_rows(parts)
 
 
 add(
@@ -445,7 +468,7 @@ on_fact(
     "dst4_types_as_list", "tipo_ensino", lambda f: reports.type_options(f).agg(F.array_join(F.sort_array(F.collect_set("tipo_ensino")), ",").alias("tipos")),
     "select string_agg(t, ',' order by t) as tipos from (select distinct tipo_ensino as t from fact)",
 )
-on_fact("dst5_municipalities", "co_uf co_municipio", lambda f: f.filter("co_uf = 4").select("co_municipio").distinct(), "select distinct co_municipio from fact where co_uf = 4")
+on_fact("dst5_municipalities", "co_uf co_municipio", lambda f: reports.municipality_codes(f, "4"), "select distinct co_municipio from fact where co_uf = 4 and co_municipio is not null")
 
 # --- reshape ---------------------------------------------------------------------------------------------------------------
 on_fact(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from checks import star
 
@@ -21,6 +23,20 @@ def add(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str | N
         ORACLE[name] = sql.strip()
 
 
+def in_place(report: DataFrame) -> DataFrame:
+    """A report with the place (from 1) each row has in it: its order as a column."""
+    at = W.orderBy("_at")  # report rows are few
+    numbered = report.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.withColumn("ordem", F.row_number().over(at)).drop("_at")
+
+
+def add_in_order(name: str, order: str) -> None:
+    """The registered query again, with the place of each row checked against ``order``."""
+    build = QUERIES[name]
+    sql = f"select t.*, cast(row_number() over (order by {order}) as int) as ordem from ({ORACLE[name]}) t"
+    add(f"{name}_in_order", lambda spark, sf: in_place(build(spark, sf)), sql)
+
+
 def on_fact(
     name: str, columns: str, build: Callable[[DataFrame], DataFrame], sql: str | None = None
 ) -> None:

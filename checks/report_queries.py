@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import star
-from checks.registry import add, on_fact
+from checks.registry import ORACLE, add, add_in_order, in_place, on_fact
 from microatlas.operators import evaluate
+from microatlas.plans import endpoints
 from microatlas.plans import reports as r
 
 PUB = star.PATTERN
@@ -439,7 +440,7 @@ on_fact(
     round(least(media_nota / 90.0::double * 100.0::double, 100.0::double), 2) as desempenho_relativo from rows_""",
 )
 on_fact(
-    "r50_income_score_correlation", "qe_renda nt_ger", lambda f: r.income_score_correlation(f, "qe_renda"),
+    "r50_income_score_correlation", "qe_renda nt_ger", r.income_score_correlation,
     """select count(*) filter (where qe_renda is not null and nt_ger is not null) as n, round(corr(qe_renda, nt_ger), 6) as r,
     round(corr(qe_renda, nt_ger) * corr(qe_renda, nt_ger), 6) as r2 from fact""",
 )
@@ -518,3 +519,78 @@ on_fact(
     select *, round(media - first_value(media) over w, 2) as delta_referencia, round(media - lag(media) over w, 2) as delta_anterior,
     round((media - first_value(media) over w) * 100 / first_value(media) over w, 1) as pct_referencia from g window w as (order by ano)""",
 )
+
+# --- order as data: every ordered report again with the place of its rows ---
+_CODE = "try_cast(codigo as bigint) nulls last, codigo nulls last"
+for _name, _order in {
+    "r03_by_band": "faixa_nota nulls last",
+    "r04_by_year": "nu_ano nulls last",
+    "r05_by_course": "total desc nulls first, co_grupo nulls last",
+    "r06_by_region": "total desc nulls first, co_regiao nulls last",
+    "r07_by_institution_type": "media desc nulls first, tipo_ies nulls last",
+    "r08_income": "qe_renda nulls last",
+    "r09_school": "qe_escola_em nulls last",
+    "r10_works": "cast(nome as bigint) nulls last",
+    "r11_study_hours": "cast(nome as bigint) nulls last",
+    "r12_institution_type": "media desc nulls first, nome nulls last",
+    "r14_funding": _CODE,
+    "r15_marital_status": _CODE,
+    "r16_scores_by_teaching_type": "tipo",
+    "r17_race": _CODE,
+    "r18_habits": f"variavel, {_CODE}",
+    "r20_study_against_work": "posicao",
+    "r21_projection_points": "cluster_id, total desc, x, y",
+    "r22_cluster_statistics": "cluster_id nulls last",
+    "r23_cluster_bands": "cluster_id nulls last, faixa_nota nulls last",
+    "r25_state_options": "sigla",
+    "r25_course_options": "co_grupo nulls last",
+    "r25_type_options": "tipo_ensino",
+    "r28_modality_by_year": "ano",
+    "r29_network_by_year": "ano",
+    "r30_by_state": "uf",
+    "r31_by_region_of_state": "total desc, regiao",
+    "r32_coverage": "ano",
+    "r33_course_over_time": "curso, ano",
+    "r34_income_by_band": _CODE,
+    "r35_internet_access": _CODE,
+    "r36_score_histogram": "bucket",
+    "r38_income_by_network": _CODE,
+    "r39_course_by_network": "delta desc nulls first, curso",
+    "r40_race_by_income": f"raca, {_CODE}",
+    "r41_funding_by_network": _CODE,
+    "r42_race_within_income": f"{_CODE}, raca",
+    "r43_overall_trend": "ano",
+    "r44_course_trends": "curso, ano",
+    "r45_network_trends": "rede, ano",
+}.items():
+    add_in_order(_name, _order)
+
+
+def _funding_of_eleven_codes(f):
+    """Codes 0 to 10: the tenth comes after the ninth, not after the first."""
+    return in_place(r.funding(f.withColumn("qe_financiamento", (F.col("l_partkey") % 11).cast("int"))))
+
+
+on_fact(
+    "r14_eleven_codes_in_order", "l_partkey qe_financiamento nt_ger", _funding_of_eleven_codes,
+    """c as (select l_partkey % 11 as k, count(*) as total, round(avg(nt_ger), 2) as media from fact where nt_ger is not null group by 1)
+    select case k when 0 then 'Sem financiamento' when 1 then 'ProUni' when 2 then 'FIES' when 3 then 'ProUni + FIES' when 4 then 'Outro público' when 5 then 'Outro privado' else cast(k as varchar) end as nome,
+    cast(k as varchar) as codigo, total, media, cast(k + 1 as int) as ordem from c""",
+)
+
+# --- bundles: every report of a bundle from its one pass equals the single report ---
+for _bundle, _columns, _reports in (
+    ("estatisticas", "nu_ano co_grupo curso_nome co_regiao regiao_nome tipo_ies faixa_nota nt_ger nt_fg nt_ce",
+     {"distribuicao_faixa": "r03_by_band", "total_estudantes": "r01_total_students"}),
+    ("socioeconomico", "nu_ano qe_renda renda_nome qe_escola_em escola_em_nome qe_trabalha qe_horas_estudo tipo_ies qe_financiamento qe_estado_civil tipo_ensino nt_ger nt_fg nt_ce",
+     {"renda": "r08_income_in_order", "escola": "r09_school_in_order", "trabalha": "r10_works_in_order", "estudo": "r11_study_hours_in_order",
+      "tipo_ies": "r12_institution_type_in_order", "evolucao_renda": "r13_income_over_time", "financiamento": "r14_funding_in_order",
+      "estado_civil": "r15_marital_status_in_order", "nt_por_tipo": "r16_scores_by_teaching_type_in_order",
+      "comparativo_habitos": "r20_study_against_work_in_order", "desigualdade": "r48_inequality_cards"}),
+):
+    for _report, _single in _reports.items():
+        def _from_bundle(spark, sf, bundle=_bundle, report=_report, columns=_columns, placed=_single.endswith("_in_order")):
+            rows = getattr(endpoints, bundle)(star.fact(spark, sf, *columns.split()))[report]
+            return in_place(rows) if placed else rows
+
+        add(f"{_single.split('_')[0]}_{_report}_of_bundle", _from_bundle, ORACLE[_single])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import star
 from checks.registry import add
+from checks.report_queries import CLASS_REPORT
 from microatlas import config
 from microatlas.operators import evaluate
 from microatlas.runtime import scratch_path
@@ -49,6 +50,11 @@ def _folder(spark: SparkSession, sf: str) -> str:
     return _written[key]
 
 
+def prepare(spark: SparkSession, sf: str) -> None:
+    """Write the text fragments, if they are not there yet."""
+    _folder(spark, sf)
+
+
 def _folders(spark: SparkSession, sf: str) -> dict[int, str]:
     base = _folder(spark, sf)
     return {y: f"{base}/*/edition={y}" for y in YEARS}
@@ -134,6 +140,20 @@ add(
     """select a.o_orderkey, a.o_custkey, a.o_orderstatus, c.c_custkey from (select row_number() over () as i, o_orderkey, o_custkey, o_orderstatus from orders) a
     full join (select row_number() over (order by c_custkey) as i, c_custkey from customer) c on a.i = c.i""",
 )
+def _counted_and_assembled(spark, sf) -> DataFrame:
+    """Rows of the longest fragment of an edition, as counted, next to the assembled ones."""
+    rows, report = fr.load_editions(spark, _folders(spark, sf), None)
+    counted = report.select("ano", F.col("maior_fragmento").alias("contadas"))
+    found = rows.groupBy(F.col("NU_ANO").cast("int").alias("ano")).agg(
+        F.count(F.lit(1)).alias("montadas"), F.count_distinct("pos").alias("posicoes"), F.max("pos").alias("ultima")
+    )
+    return counted.join(found, "ano")
+
+
+add(
+    "src4_counted_and_assembled", _counted_and_assembled,
+    f"select {_EDITION} as ano, count(*) as contadas, count(*) as montadas, count(*) as posicoes, count(*) - 1 as ultima from orders group by 1",
+)
 add(
     "src5_identification_override",
     lambda s, d: _assembled(s, d).groupBy("NU_ANO", "CO_CURSO", "CO_GRUPO").agg(F.count(F.lit(1)).alias("total")),
@@ -182,11 +202,34 @@ def _stored_metrics(spark, sf) -> DataFrame:
     return tables.read_metrics(spark, path)
 
 
+def _unfolded(metrics: DataFrame) -> DataFrame:
+    """All stored columns, the detail parsed into its figures."""
+    detail = F.from_json("detalhe", evaluate.DETAIL)
+    matrix = F.from_json("detalhe", evaluate.MATRIX_DETAIL)
+    own = F.col("metrica") == "metricas_classe"
+    figures = {n: F.round(F.when(own, detail[n]), 6) for n in ("precision", "recall", "f1-score")}
+    return metrics.select(
+        "id", "metrica", "chave", F.round("valor", 6).alias("valor"), *[e.alias(n.replace("f1-score", "f1")) for n, e in figures.items()],
+        F.when(own, detail["support"]).alias("support"),
+        F.when(F.col("metrica") == "matriz_confusao", F.concat_ws(";", F.transform(matrix["matrix"], lambda x: F.concat_ws(",", x)))).alias("matriz"),
+    )
+
+
+UNFOLDED_SQL = """, parts as (
+    select 0 as o, -v as w, 'importancia_feature' as metrica, k as chave, v as valor, null::double as p, null::double as rc, null::double as f, null::bigint as s, null::varchar as matriz
+    from (select 'nt_fg' as k, abs(corr(nt_fg, nt_ger)) as v from fact{second})
+    union all select 1, 0, 'acuracia_geral', 'random_forest', sum(total) filter (where real = previsto) / sum(total), null, null, null, null, null from cells
+    union all select 2, case classe when 'baixo' then 1 when 'medio' then 2 else 3 end, 'metricas_classe', classe, f1, precision, recall, f1, support, null from per_class
+    union all select 2, 4, 'metricas_classe', 'macro avg', avg(f1), avg(precision), avg(recall), avg(f1), sum(support), null from per_class
+    union all select 2, 5, 'metricas_classe', 'weighted avg', sum(f1 * support) / sum(support), sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support), null from per_class
+    union all select 3, 0, 'matriz_confusao', 'teste', sum(total), null, null, null, null, (select string_agg(line, ';' order by i) from (
+        select case real when 'baixo' then 1 when 'medio' then 2 else 3 end as i, string_agg(total, ',' order by case previsto when 'baixo' then 1 when 'medio' then 2 else 3 end) as line from cells group by 1)) from cells)
+    select row_number() over (order by o, w) - 1 as id, metrica, chave, round(valor, 6) as valor, round(p, 6) as precision, round(rc, 6) as recall, round(f, 6) as f1, cast(s as bigint) as support, matriz from parts"""
+_SECOND = " union all select 'nt_ce', abs(corr(nt_ce, nt_ger)) from fact"
+
 add(
-    "src10_snk2_metrics_round_trip", lambda s, d: _stored_metrics(s, d).select("id", "metrica", "chave"),
-    f"""with {star.fact_sql()}, i as (select row_number() over (order by v desc) - 1 as id, 'importancia_feature' as metrica, k as chave from (select 'nt_fg' as k, abs(corr(nt_fg, nt_ger)) as v from fact union all select 'nt_ce', abs(corr(nt_ce, nt_ger)) from fact))
-    select id, metrica, chave from i union all select * from (values (2::bigint, 'acuracia_geral', 'random_forest'), (3, 'metricas_classe', 'baixo'), (4, 'metricas_classe', 'medio'), (5, 'metricas_classe', 'alto'),
-    (6, 'metricas_classe', 'macro avg'), (7, 'metricas_classe', 'weighted avg'), (8, 'matriz_confusao', 'teste'))""",
+    "src10_snk2_metrics_round_trip", lambda s, d: _unfolded(_stored_metrics(s, d)),
+    f"with {star.fact_sql()}, {CLASS_REPORT}{UNFOLDED_SQL.format(second=_SECOND)}",
 )
 
 

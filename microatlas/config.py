@@ -67,12 +67,14 @@ STATE_NAMES = {
     53: "Distrito Federal",
 }
 REGION_NAMES = {1: "Norte", 2: "Nordeste", 3: "Centro-Oeste", 4: "Sudeste", 5: "Sul"}
-STATES_OF_REGION = {
-    "Norte": ("AC", "AM", "AP", "PA", "RO", "RR", "TO"),
-    "Nordeste": ("AL", "BA", "CE", "MA", "PB", "PE", "PI", "RN", "SE"),
-    "Centro-Oeste": ("DF", "GO", "MS", "MT"),
-    "Sudeste": ("ES", "MG", "RJ", "SP"),
-    "Sul": ("PR", "RS", "SC"),
+REGION_OF_STATE = {
+    "AC": "Norte", "AM": "Norte", "AP": "Norte", "PA": "Norte", "RO": "Norte", "RR": "Norte",
+    "TO": "Norte",
+    "AL": "Nordeste", "BA": "Nordeste", "CE": "Nordeste", "MA": "Nordeste", "PB": "Nordeste",
+    "PE": "Nordeste", "PI": "Nordeste", "RN": "Nordeste", "SE": "Nordeste",
+    "DF": "Centro-Oeste", "GO": "Centro-Oeste", "MS": "Centro-Oeste", "MT": "Centro-Oeste",
+    "ES": "Sudeste", "MG": "Sudeste", "RJ": "Sudeste", "SP": "Sudeste",
+    "PR": "Sul", "RS": "Sul", "SC": "Sul",
 }
 UNKNOWN_REGION = "Desconhecido"
 
@@ -88,6 +90,8 @@ CATEGORY_NAMES = {
 MODALITY_NAMES = {1: "Presencial", 2: "EAD"}
 UNKNOWN_MODALITY = "Não informado"
 PUBLIC_PATTERN = "%blica%"
+# The two-way tables also take these words for a public institution.
+PUBLIC_WORDS = ("Federal", "Estadual", "Municipal")
 
 # --- questionnaire -----------------------------------------------------------
 INCOME_NAMES = {

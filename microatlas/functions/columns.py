@@ -79,9 +79,18 @@ def label(
     return F.coalesce(found, fallback if isinstance(fallback, Column) else F.lit(fallback))
 
 
-def network(kind: Column | str, pattern: str = config.PUBLIC_PATTERN) -> Column:
-    """Public or private, from the institution type."""
-    return F.when(as_col(kind).like(pattern), F.lit("Pública")).otherwise(F.lit("Privada"))
+def network(
+    kind: Column | str, pattern: str = config.PUBLIC_PATTERN, words: Iterable[str] = ()
+) -> Column:
+    """Public or private, from the institution type: by a pattern, or by words it contains."""
+    public = reduce(lambda a, w: a | as_col(kind).contains(w), words, as_col(kind).like(pattern))
+    return F.when(public, F.lit("Pública")).otherwise(F.lit("Privada"))
+
+
+def code_order(c: Column | str) -> list[Column]:
+    """Codes that became text in their own order: numbers by value, then the rest."""
+    c = as_col(c)
+    return [c.try_cast("bigint").asc_nulls_last(), c.asc_nulls_last()]
 
 
 def one_of_or_rest(c: Column | str, value: str, yes: str, rest: str) -> Column:

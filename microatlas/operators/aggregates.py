@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from microatlas.functions.columns import as_col, mean, rounded
+from microatlas.functions.columns import as_col, code_order, mean, rounded
 
 
 def total(df: DataFrame, name: str = "total") -> DataFrame:
@@ -157,21 +157,30 @@ def group_sets(
     measures: Mapping[str, str],
     digits: int | None = 2,
     known: Collection[str] = (),
+    cube: bool = False,
 ) -> DataFrame:
     """Several group-and-mean reports over one scan, stacked under ``relatorio``.
 
     Every key column is there; those a report does not group by are null in its rows.
     Reports named in ``known`` lose the groups with a null key. Grouping sets make
-    Spark read the rows once instead of once per report.
+    Spark read the rows once instead of once per report. With ``cube`` the rows are
+    first counted and summed per combination of all keys, so that only combinations,
+    not rows, are repeated for each report: for keys whose combinations are few.
     """
     columns = list(dict.fromkeys(c for keys in sets.values() for c in keys))
+    if cube:
+        sums = [e for c in dict.fromkeys(measures.values()) for e in (F.sum(c).alias(f"_s|{c}"), F.count(c).alias(f"_n|{c}"))]
+        df = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"), *sums)
+        total = F.sum("_rows")
+        means = [
+            rounded(F.try_divide(F.sum(f"_s|{c}"), F.sum(f"_n|{c}")), digits).alias(name) for name, c in measures.items()
+        ]
+    else:
+        total = F.count(F.lit(1))
+        means = [mean(c, digits).alias(name) for name, c in measures.items()]
     grouped = df.groupingSets(
         [[F.col(c) for c in keys] for keys in sets.values()], *[F.col(c) for c in columns]
-    ).agg(
-        F.grouping_id().alias("_gid"),
-        F.count(F.lit(1)).alias("total"),
-        *[mean(c, digits).alias(name) for name, c in measures.items()],
-    )
+    ).agg(F.grouping_id().alias("_gid"), total.alias("total"), *means)
     bit = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}
     gid = {report: sum(bit.values()) - sum(bit[c] for c in keys) for report, keys in sets.items()}
     if len(set(gid.values())) < len(gid):
@@ -252,13 +261,13 @@ def align_by_rank(
     left: DataFrame, right: DataFrame, left_order: str, right_order: str, left_value: str,
     right_value: str, names: Sequence[str],
 ) -> DataFrame:
-    """Put the i-th category of two ordered series side by side.
+    """Put the i-th category of two ordered series side by side; codes in number order.
 
     Both sides are report rows (one per category); ranks beyond the named levels
-    are dropped, a missing one gives null.
+    are dropped (a new level must be named to be shown), a missing one gives null.
     """
     def ranked(df: DataFrame, order: str, value: str) -> DataFrame:
-        rank = F.row_number().over(W.orderBy(F.col(order).asc_nulls_last()))
+        rank = F.row_number().over(W.orderBy(*code_order(order)))
         return df.select(rank.alias("posicao"), as_col(value).alias(value))
 
     levels = left.sparkSession.range(0, 1, 1, 1).select(

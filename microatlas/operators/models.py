@@ -8,6 +8,7 @@ Spark; only scalars, centres and loadings reach the driver.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,9 @@ from microatlas.operators.quantiles import exact_medians
 from microatlas.operators.split import stratified_holdout, with_class_weight
 from microatlas.runtime import settle
 
+BLOCKS = 64
+STARTS_AT_ONCE = 5
+POINTS_PER_PARTITION = 50_000
 
 # --- preparation ---------------------------------------------------------------------
 def impute(df: DataFrame, medians: Mapping[str, float | None]) -> DataFrame:
@@ -111,16 +115,17 @@ def fit_kmeans(
     weight: str | None = None,
 ) -> tuple[KMeansModel, dict[int, float]]:
     """Best of several starts by training cost; also the cost of every start."""
-    best, costs = None, {}
-    for seed in seeds:
+    def fit(seed: int) -> KMeansModel:
         estimator = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features_col, predictionCol="_k")
         if weight:
             estimator.setWeightCol(weight)
-        model = estimator.fit(points)
-        costs[seed] = model.summary.trainingCost
-        if best is None or costs[seed] < best.summary.trainingCost:
-            best = model
-    return best, costs
+        return estimator.fit(points)
+
+    # A start is many small jobs that leave most cores idle: several run side by side.
+    with ThreadPoolExecutor(min(STARTS_AT_ONCE, len(seeds))) as pool:
+        fitted = dict(zip(seeds, pool.map(fit, seeds)))
+    costs = {seed: model.summary.trainingCost for seed, model in fitted.items()}
+    return fitted[min(seeds, key=lambda seed: (costs[seed], seeds.index(seed)))], costs
 
 
 def nearest_centre(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
@@ -275,6 +280,8 @@ def fit_profiles(
     prepare = [_imputer(medians, "_f"), _scaler(stats, "_f", "_z")]
     assemble = VectorAssembler(inputCols=[f"{c}_z" for c in features], outputCol="_zv")
     ready = PipelineModel([*prepare, assemble]).transform(points)
+    # Many passes over few points: partitions by their number, not by the shuffle's.
+    ready = ready.coalesce(max(1, -(-points.count() // POINTS_PER_PARTITION)))
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model, costs = fit_kmeans(ready, "_zv", k, seeds, max_iter, "_n")
@@ -320,15 +327,16 @@ def fit_classifier(
     depth: int = 30,
     seed: int = config.SEED,
     fit_on: str = "train",
-    blocks: int | None = None,
+    blocks: int | None = BLOCKS,
 ) -> Classifier:
     """Stratified hold-out, balanced weights, forest.
 
     Medians come from the training rows only; ``fit_on="all"`` takes them from all
-    labelled rows instead. By default the trees resample rows. ``blocks`` folds equal
-    training rows into up to that many weighted blocks per feature combination: no
-    row is lost, the trees resample blocks instead, and the training table stays
-    small however many rows there are.
+    labelled rows instead. Equal training rows are folded into up to ``blocks`` weighted
+    blocks per feature combination: no row is lost, and the training table stays
+    small however many rows there are. The trees then resample blocks, not rows, so
+    their bootstrap is coarser: a block is drawn as a whole. ``blocks=None`` resamples
+    rows and holds them all.
     """
     features = list(features)
     labelled = df.select(*keys, *features, label).filter(F.col(label).isin(list(classes)))

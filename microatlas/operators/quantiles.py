@@ -1,9 +1,9 @@
 """Exact quantiles that never gather an unbounded set of values in one task.
 
-Scores and codes have few distinct values, however many rows: counting rows per value
-spreads over the cluster and leaves a small table that ``percentile`` reads. A column
-with more distinct values than the limit is narrowed instead: each pass counts rows
-per slice of the interval that holds a wanted rank, until few enough rows are inside.
+One way at every size: rows are counted per value, the counts are sorted by ranges into
+files, and running totals over the files tell which file holds a wanted rank. Only
+such files are read again, each by itself. Nulls and NaN are missing values;
+infinities are values at the ends.
 """
 
 from __future__ import annotations
@@ -15,74 +15,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LIMIT = 500_000
-SLICES = 1024
+from microatlas.runtime import scratch_path
 
 
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
-    limit: int = LIMIT,
     weight: str | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column; an empty column gives nulls.
 
     ``weight`` names a column with how many equal rows each row stands for.
     """
+    spark = df.sparkSession
     columns = list(wanted)
     times = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns], times.alias("_times"))
-    profile = values.agg(
-        *[
-            expr
-            for c in columns
-            for expr in (
-                F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("_times"))), F.lit(0)).alias(f"n|{c}"),
-                F.approx_count_distinct(c, 0.02).alias(f"d|{c}"),
-                F.min(c).alias(f"lo|{c}"),
-                F.max(c).alias(f"hi|{c}"),
-            )
-        ]
-    ).first()
-    out: dict[str, list[float | None]] = {
-        c: [None] * len(wanted[c]) for c in columns if profile[f"n|{c}"] == 0
-    }
-    narrow = [c for c in columns if c not in out and profile[f"d|{c}"] <= limit]
-    if narrow:
-        out.update(_from_value_counts(values, {c: wanted[c] for c in narrow}))
-    for c in columns:
-        if c not in out:
-            n = profile[f"n|{c}"]
-            ranks = sorted({r for q in wanted[c] for r in _ranks(n, q)})
-            at = _values_at_ranks(values, c, ranks, profile[f"lo|{c}"], profile[f"hi|{c}"], limit)
-            out[c] = [_interpolate(n, q, at) for q in wanted[c]]
-    return out
-
-
-def _from_value_counts(
-    values: DataFrame, wanted: Mapping[str, Sequence[float]]
-) -> dict[str, list[float]]:
-    """Rows per (column, value) first, then one small group per column."""
-    probabilities = sorted({q for qs in wanted.values() for q in qs})
     counts = (
-        values.unpivot(["_times"], list(wanted), "coluna", "valor")
-        .filter(F.col("valor").isNotNull())
-        .groupBy("coluna", "valor")
+        df.select(*[F.col(c).cast("double").alias(c) for c in columns], times.alias("_times"))
+        .unpivot(["_times"], columns, "column", "value")
+        .filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("_times") > 0))
+        .groupBy("column", "value")
         .agg(F.sum("_times").alias("n"))
     )
-    cuts = F.array(*[F.lit(float(q)) for q in probabilities])
-    rows = counts.groupBy("coluna").agg(F.percentile("valor", cuts, F.col("n")).alias("q")).collect()
-    found = {r.coluna: dict(zip(probabilities, r.q)) for r in rows}  # one row per column
-    return {c: [found[c][q] for q in qs] for c, qs in wanted.items()}
+    path = scratch_path(spark, "value-counts")
+    counts.orderBy("column", "value").write.parquet(path)
+    stored = spark.read.schema(counts.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("file"))
+    # One row per column and file. A value is in one file, so files follow each other.
+    files = stored.groupBy("column", "file").agg(F.sum("n").alias("n"), F.min("value").alias("first"))
+    upto = F.sum("n").over(W.partitionBy("column").orderBy("first"))
+    starts = files.withColumn("before", upto - F.col("n"))
+    totals = {r[0]: r[1] for r in files.groupBy("column").agg(F.sum("n")).collect()}
+    ranks = sorted({(c, r) for c in columns if c in totals for q in wanted[c] for r in _ranks(totals[c], q)})
+    if not ranks:
+        return {c: [None] * len(wanted[c]) for c in columns}
+    asked = spark.createDataFrame(ranks, "column string, rank bigint")
+    holds = (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))
+    hit = starts.join(asked, "column").filter(holds).select("column", "file", "before").distinct()
+    # A window holds the values of one file.
+    inside = F.sum("n").over(W.partitionBy("column", "file").orderBy("value"))
+    placed = stored.join(hit, ["column", "file"]).withColumn("before", F.col("before") + inside - F.col("n"))
+    found = placed.join(asked, "column").filter(holds).select("column", "rank", "value").collect()
+    at = {(r.column, r.rank): r.value for r in found}
+    return {
+        c: [_interpolate(totals[c], q, c, at) if c in totals else None for q in wanted[c]] for c in columns
+    }
 
 
 def exact_medians(
     df: DataFrame,
     columns: Sequence[str],
-    limit: int = LIMIT,
     weight: str | None = None,
 ) -> dict[str, float | None]:
-    found = exact_quantiles(df, {c: [0.5] for c in columns}, limit, weight)
+    found = exact_quantiles(df, {c: [0.5] for c in columns}, weight)
     return {c: v[0] for c, v in found.items()}
 
 
@@ -91,67 +75,10 @@ def _ranks(n: int, q: float) -> tuple[int, int]:
     return math.floor(at), math.ceil(at)
 
 
-def _interpolate(n: int, q: float, at: Mapping[int, float]) -> float:
+def _interpolate(n: int, q: float, column: str, at: Mapping[tuple[str, int], float]) -> float:
     low, high = _ranks(n, q)
-    return at[low] + (at[high] - at[low]) * ((n - 1) * q - low)
-
-
-def _values_at_ranks(
-    values: DataFrame, column: str, ranks: Sequence[int], low: float, high: float, limit: int
-) -> dict[int, float]:
-    """Values of 0-based ranks, by narrowing the intervals that hold them.
-
-    All ranks narrow together: one pass per level, however many ranks.
-    """
-    v = F.col(column)
-    found: dict[int, float] = {}
-    wide = {(low, high, 0): list(ranks)}  # (from, to, rows below) -> ranks inside
-    small: dict[tuple[float, float, int], list[int]] = {}
-    while wide:
-        intervals = sorted(wide)
-        which, slice_no = F.lit(None).cast("int"), F.lit(None).cast("bigint")
-        for i, (a, b, _) in enumerate(intervals):
-            inside = (v >= F.lit(a)) & (v <= F.lit(b))
-            width = (b - a) / SLICES
-            position = F.floor((v - F.lit(a)) / F.lit(width)) if width > 0 else F.lit(0)
-            which = F.when(inside, F.lit(i)).otherwise(which)
-            slice_no = F.when(inside, F.least(position, F.lit(SLICES - 1))).otherwise(slice_no)
-        # At most SLICES rows per interval come back, whatever the data.
-        slices = (
-            values.select(which.alias("i"), slice_no.alias("s"), v.alias("v"), "_times")
-            .filter(F.col("i").isNotNull())
-            .groupBy("i", "s")
-            .agg(
-                F.sum("_times").alias("n"),
-                F.min("v").alias("lo"),
-                F.max("v").alias("hi"),
-            )
-            .orderBy("i", "s")
-            .collect()
-        )
-        narrowed: dict[tuple[float, float, int], list[int]] = {}
-        for i, interval in enumerate(intervals):
-            below = interval[2]
-            for part in (s for s in slices if s.i == i):
-                here = [r for r in wide[interval] if below <= r < below + part.n]
-                if here and part.lo == part.hi:
-                    found.update({r: part.lo for r in here})
-                elif here:
-                    key = (part.lo, part.hi, below)
-                    stuck = (part.lo, part.hi) == interval[:2]
-                    (small if part.n <= limit or stuck else narrowed)[key] = here
-                below += part.n
-        wide = narrowed
-    for (a, b, below), here in small.items():
-        counts = (
-            values.filter((v >= F.lit(a)) & (v <= F.lit(b)))
-            .groupBy(v.alias("v"))
-            .agg(F.sum("_times").alias("n"))
-        )
-        # At most ``limit`` rows are left, so one ordered window is bounded.
-        upto = counts.select("v", (F.sum("n").over(W.orderBy("v")) + F.lit(below)).alias("upto"))
-        row = upto.agg(
-            *[F.min(F.when(F.col("upto") > F.lit(r), F.col("v"))).alias(str(r)) for r in here]
-        ).first()
-        found.update({r: row[str(r)] for r in here})
-    return found
+    a, b = at[column, low], at[column, high]
+    if a == b:  # also two equal infinities
+        return a
+    share = (n - 1) * q - low
+    return (1 - share) * a + share * b

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from microatlas.functions.columns import mean
 def pivot_value(
     groups: DataFrame, rows: Sequence[str], across: str, values: Sequence, value: str, prefix: str = ""
 ) -> DataFrame:
-    """One column per known value; a missing cell is null."""
+    """One column per known value; a missing cell is null, and values outside the list
+    have no column: a new edition must be named to be shown."""
     return groups.groupBy(*rows).agg(
         *[
             F.max(F.when(F.col(across) == F.lit(v), F.col(value))).alias(f"{prefix}{v}")
@@ -25,7 +27,8 @@ def pivot_value(
 def pivot_count(
     df: DataFrame, rows: Sequence[str], across: str, values: Sequence, prefix: str = ""
 ) -> DataFrame:
-    """Rows per known value; a missing cell is 0. Counts straight from the rows."""
+    """Rows per known value; a missing cell is 0, and values outside the list are not
+    counted anywhere. Counts straight from the rows."""
     return df.groupBy(*rows).agg(
         *[F.count_if(F.col(across) == F.lit(v)).alias(f"{prefix}{v}") for v in values]
     )
@@ -56,9 +59,15 @@ def two_sides(
     )
 
 
-def nested_cells(groups: DataFrame, rows: Sequence[str], cells: Sequence[str], name: str) -> DataFrame:
-    """One row per group with its cells as a sorted list (the first cell column sorts)."""
-    return groups.groupBy(*rows).agg(F.sort_array(F.collect_list(F.struct(*cells))).alias(name))
+def nested_cells(
+    groups: DataFrame, rows: Sequence[str], cells: Sequence[str], name: str, order: Column | None = None
+) -> DataFrame:
+    """One row per group with its cells as a list, sorted by ``order`` (nulls last) and
+    then by the first cell column."""
+    first = F.lit(None).cast("bigint") if order is None else order
+    keyed = F.struct(first.isNull().alias("_late"), first.alias("_first"), F.struct(*cells).alias("cell"))
+    listed = groups.groupBy(*rows).agg(F.sort_array(F.collect_list(keyed)).alias(name))
+    return listed.withColumn(name, F.transform(name, lambda x: x["cell"]))
 
 
 def stack_columns(
@@ -71,6 +80,11 @@ def stack_columns(
     ).unpivot(list(keep), list(columns), variable, value)
 
 
+def stack_rows(frames: Sequence[DataFrame]) -> DataFrame:
+    """Editions under each other by column name; a column some lack is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def grid(df: DataFrame, **axes: Sequence) -> DataFrame:
     """All combinations of fixed lists: a scaffold that reports are laid on."""
     out = df.sparkSession.range(0, 1, 1, 1).select()
@@ -82,7 +96,10 @@ def grid(df: DataFrame, **axes: Sequence) -> DataFrame:
 def densify(
     groups: DataFrame, count: str | Sequence[str], **axes: Sequence
 ) -> DataFrame:
-    """Every cell of the fixed grid, 0 where nothing was counted; unknown cells are dropped."""
+    """Every cell of the fixed grid, 0 where nothing was counted.
+
+    Cells outside the grid are dropped: a new edition or bucket must be named to be shown.
+    """
     counts = [count] if isinstance(count, str) else list(count)
     return grid(groups, **axes).join(groups, list(axes), "left").na.fill(0, counts)
 

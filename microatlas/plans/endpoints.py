@@ -1,7 +1,7 @@
 """Reports bundled the way the dashboard asks for them: name -> DataFrame.
 
-Nothing runs until a caller acts on a report. ``filters`` are the six dashboard
-filters.
+``filters`` are the six dashboard filters. The statistics and the socioeconomic bundle
+read the rows at once, when asked for; every other report when a caller acts on it.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from microatlas import config
 from microatlas.operators import evaluate
@@ -21,55 +20,13 @@ Bundle = dict[str, DataFrame]
 
 
 def estatisticas(fact: DataFrame, filters: r.Filters = None) -> Bundle:
-    return {
-        "total_estudantes": r.total_students(fact, filters),
-        "media_notas": r.score_overview(fact, filters),
-        "distribuicao_faixa": r.by_band(fact, filters),
-        "distribuicao_ano": r.by_year(fact, filters),
-        "distribuicao_curso": r.by_course(fact, filters),
-        "distribuicao_regiao": r.by_region(fact, filters),
-        "distribuicao_tipo_ies": r.by_institution_type(fact, filters),
-    }
+    """All statistics, cut from one settled pass over the rows."""
+    return r.statistics_of_cube(settle(r.statistics_cube(fact, filters), "statistics"))
 
 
 def socioeconomico(fact: DataFrame, filters: r.Filters = None) -> Bundle:
-    return {
-        "renda": r.income(fact, filters),
-        "escola": r.school(fact, filters),
-        "trabalha": r.works(fact, filters),
-        "estudo": r.study_hours(fact, filters),
-        "tipo_ies": r.institution_type(fact, filters),
-        "evolucao_renda": r.income_over_time(fact, filters),
-        "financiamento": r.funding(fact, filters),
-        "estado_civil": r.marital_status(fact, filters),
-        "nt_por_tipo": r.scores_by_teaching_type(fact, filters),
-        "comparativo_habitos": r.study_against_work(fact, filters),
-        "desigualdade": r.inequality_cards(fact, filters),
-    }
-
-
-def estatisticas_em_uma_leitura(fact: DataFrame, filters: r.Filters = None) -> Bundle:
-    """The grouped statistics, all cut from one settled pass over the rows.
-
-    Counts are of rows: the null group shows its size.
-    """
-    cells = settle(r.statistics_in_one_scan(fact, filters), "statistics")
-    return _cut(cells, r.STATISTICS_SETS, ["total", "media"])
-
-
-def socioeconomico_em_uma_leitura(fact: DataFrame, filters: r.Filters = None) -> Bundle:
-    """The socioeconomic reports, all cut from one settled pass over the rows."""
-    cells = settle(r.socioeconomic_in_one_scan(fact, filters), "socioeconomic")
-    return _cut(cells, r.SOCIOECONOMIC_SETS, ["total", "media", "media_fg", "media_ce"])
-
-
-def _cut(cells: DataFrame, sets: dict[str, list[str]], values: list[str]) -> Bundle:
-    return {
-        name: cells.filter(F.col("relatorio") == name).select(*keys, *values).orderBy(
-            *[F.col(k).asc_nulls_last() for k in keys]
-        )
-        for name, keys in sets.items()
-    }
+    """All socioeconomic reports, cut from one settled pass over the rows."""
+    return r.socioeconomic_of_cells(settle(r.socioeconomic_in_one_scan(fact, filters), "socioeconomic"))
 
 
 def clusters(fact: DataFrame, filters: r.Filters = None) -> Bundle:
@@ -143,6 +100,8 @@ def analise(fact: DataFrame, years: Sequence[int] = config.EDITIONS) -> Bundle:
         "acesso_internet": r.internet_access(fact),
         "histograma": r.score_histogram(fact, years),
         "matriz_confusao": r.confusion(fact),
+        "correlacao_renda": r.income_score_correlation(fact),
+        "variacao_anual": r.yearly_change(fact),
     }
 
 

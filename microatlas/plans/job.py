@@ -4,7 +4,7 @@ Each stage reads the Parquet layer of the one before and writes its own, so a st
 can be run again alone and a lost executor costs recomputed tasks only.
 
     extract    fragments            -> <base>/raw, <base>/load_report
-    transform  raw                  -> <base>/clean
+    transform  raw                  -> <base>/clean, <base>/profile
     ml         clean                -> <base>/scored, <base>/metrics, <base>/models
     load       scored               -> <base>/fact
 """
@@ -22,6 +22,8 @@ from microatlas.functions.columns import label
 from microatlas.operators import evaluate, models
 from microatlas.operators.cleaning import clean, drop_control
 from microatlas.operators.scores import encode_categories, normalise_within, quantile_bands
+from microatlas.plans import reports
+from microatlas.runtime import owned_scratch, settle
 from microatlas.sources import tables
 from microatlas.sources.fragments import load_editions
 
@@ -40,7 +42,7 @@ class Settings:
     iterations: int = config.KMEANS_ITERATIONS
     trees: int = config.TREES
     depth: int = 30
-    forest_blocks: int | None = None
+    forest_blocks: int | None = models.BLOCKS
     stages: Sequence[str] = field(default=STAGES)
 
     def path(self, layer: str) -> str:
@@ -79,12 +81,26 @@ def derive(rows: DataFrame) -> DataFrame:
 def transform(spark: SparkSession, s: Settings) -> None:
     raw = spark.read.parquet(s.path("raw"))
     raw = raw.withColumn(config.YEAR_COLUMN, F.col(config.YEAR_COLUMN).cast("string"))
-    derived = derive(clean(raw))
+    # Parsed once: group statistics, cuts and codes all read this, not the raw text.
+    typed = settle(clean(raw), "typed")
+    derived = derive(typed)
     encoded = encode_categories(derived, [c for c in config.FEATURES if c in derived.columns])
     done = drop_control(encoded)
     done.write.mode("overwrite").parquet(s.path("clean"))
+    cleaned = spark.read.parquet(s.path("clean"))
+    for name, rows in profile(cleaned).items():
+        rows.write.mode("overwrite").parquet(s.path(f"profile/{name}"))
     if s.save_csv:
-        tables.write_csv(spark.read.parquet(s.path("clean")), s.path("clean_csv"))
+        tables.write_csv(cleaned, s.path("clean_csv"))
+
+
+def profile(rows: DataFrame) -> dict[str, DataFrame]:
+    """What the cleaned layer holds: rows by edition and course, and nulls by column."""
+    return {
+        "rows_by_year": reports.rows_by(rows, config.YEAR_COLUMN),
+        "rows_by_course": reports.rows_by(rows, config.GROUP_COLUMN),
+        "nulls_by_column": reports.nulls_by_column(rows),
+    }
 
 
 def _coded(rows: DataFrame) -> list[str]:
@@ -125,4 +141,5 @@ def run(spark: SparkSession, settings: Settings) -> None:
     todo = {"extract": extract, "transform": transform, "ml": ml, "load": load}
     for stage in STAGES:
         if stage in settings.stages:
-            todo[stage](spark, settings)
+            with owned_scratch(spark):  # a stage's result is written by its end
+                todo[stage](spark, settings)

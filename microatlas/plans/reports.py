@@ -18,6 +18,7 @@ from microatlas.functions.columns import (
     bucket,
     bucket_name,
     class_order,
+    code_order,
     label,
     mean,
     network,
@@ -25,6 +26,7 @@ from microatlas.functions.columns import (
     percent,
     percent_of,
     point_radius,
+    rounded,
     to_ceiling,
 )
 from microatlas.operators import aggregates as agg
@@ -109,7 +111,52 @@ STATISTICS_SETS = {
 
 def statistics_in_one_scan(fact: DataFrame, filters: Filters = None, digits: int | None = 2) -> DataFrame:
     """Year, course, region, institution type and band from one pass over the rows."""
-    return agg.group_sets(with_filters(fact, filters), STATISTICS_SETS, {"media": SCORE}, digits)
+    return agg.group_sets(with_filters(fact, filters), STATISTICS_SETS, {"media": SCORE}, digits, cube=True)
+
+
+def statistics_cube(fact: DataFrame, filters: Filters = None) -> DataFrame:
+    """Rows counted and summed per combination of all keys of the statistics.
+
+    The keys are coded and few, so this is small however many rows there are, and every
+    statistic can be cut from it.
+    """
+    columns = list(dict.fromkeys(c for keys in STATISTICS_SETS.values() for c in keys))
+    scores = ("nt_ger", "nt_fg", "nt_ce")
+    return with_filters(fact, filters).groupBy(*columns).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(c).alias(f"s_{c}") for c in scores],
+        *[F.count(c).alias(f"n_{c}") for c in scores],
+        F.min(SCORE).alias("low"),
+        F.max(SCORE).alias("high"),
+    )
+
+
+def statistics_of_cube(cube: DataFrame, digits: int | None = None) -> dict[str, DataFrame]:
+    """The statistics reports, cut from a cube: the same columns, order and null groups
+    as the single reports."""
+
+    def media(c: str) -> Column:
+        return rounded(F.try_divide(F.sum(f"s_{c}"), F.sum(f"n_{c}")), digits)
+
+    def cut(report: str, *measures: Column) -> DataFrame:
+        keys = STATISTICS_SETS[report]
+        # Counting the first key shows 0 for its null group, as the single reports do.
+        present = F.coalesce(F.sum(F.when(F.col(keys[0]).isNotNull(), F.col("n"))), F.lit(0))
+        return cube.groupBy(*keys).agg(present.alias("total"), *measures)
+
+    score = media(SCORE).alias("media")
+    return {
+        "total_estudantes": cube.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")),
+        "media_notas": cube.agg(
+            *[media(c).alias(f"media_{c}") for c in ("nt_ger", "nt_fg", "nt_ce")],
+            F.min("low").alias(f"min_{SCORE}"), F.max("high").alias(f"max_{SCORE}"),
+        ),
+        "distribuicao_faixa": cut("faixa").orderBy(*_asc("faixa_nota")),
+        "distribuicao_ano": cut("ano", score).orderBy(*_asc("nu_ano")),
+        "distribuicao_curso": cut("curso", score).orderBy(_desc("total"), *_asc("co_grupo")),
+        "distribuicao_regiao": cut("regiao", score).orderBy(_desc("total"), *_asc("co_regiao")),
+        "distribuicao_tipo_ies": cut("tipo_ies", score).orderBy(_desc("media"), *_asc("tipo_ies")),
+    }
 
 
 # --- socioeconomic ------------------------------------------------------------------------
@@ -178,7 +225,7 @@ def _labelled(
     code = F.col(column).cast("string")
     return groups.select(
         label(code, names, code).alias("nome"), code.alias("codigo"), "total", media
-    ).orderBy("codigo")
+    ).orderBy(*code_order("codigo"))
 
 
 def funding(fact: DataFrame, filters: Filters = None) -> DataFrame:
@@ -225,10 +272,53 @@ def socioeconomic_in_one_scan(fact: DataFrame, filters: Filters = None) -> DataF
     )
 
 
+def socioeconomic_of_cells(cells: DataFrame) -> dict[str, DataFrame]:
+    """The socioeconomic reports, cut from the stacked groups: the same columns, order
+    and null groups as the single reports."""
+
+    def cut(report: str) -> DataFrame:
+        return cells.filter(F.col("relatorio") == report)
+
+    def coded(report: str, column: str) -> DataFrame:
+        return cut(report).orderBy(*_asc(column)).select(F.col(column).cast("string").alias("nome"), "total", "media")
+
+    def named(report: str, column: str, names: Mapping[str, str]) -> DataFrame:
+        code = F.col(column).cast("string")
+        rows = cut(report).select(label(code, names, code).alias("nome"), code.alias("codigo"), "total", "media")
+        return rows.orderBy(*code_order("codigo"))
+
+    income_rows = cut("renda").orderBy(*_asc("qe_renda")).select(
+        "qe_renda", F.col("renda_nome").alias("nome"), "total", "media"
+    )
+    levels = [
+        coded(report, column).select(F.col("nome").alias("nivel"), F.col("media").alias(name))
+        for report, column, name in (("trabalha", "qe_trabalha", "trabalho"), ("estudo", "qe_horas_estudo", "estudo"))
+    ]
+    return {
+        "renda": income_rows,
+        "escola": cut("escola").orderBy(*_asc("qe_escola_em")).select(
+            "qe_escola_em", F.col("escola_em_nome").alias("nome"), "total", "media"
+        ),
+        "trabalha": coded("trabalha", "qe_trabalha"),
+        "estudo": coded("estudo", "qe_horas_estudo"),
+        "tipo_ies": cut("tipo_ies").select(F.col("tipo_ies").alias("nome"), "total", "media").orderBy(_desc("media"), *_asc("nome")),
+        "evolucao_renda": cut("evolucao_renda").filter(F.col("renda_nome").isNotNull()).orderBy(*_asc("nu_ano", "qe_renda")).select(
+            F.col("nu_ano").cast("int").alias("ano"), F.col("renda_nome").alias("renda"), "media"
+        ),
+        "financiamento": named("financiamento", "qe_financiamento", config.FUNDING_NAMES),
+        "estado_civil": named("estado_civil", "qe_estado_civil", config.MARITAL_NAMES),
+        "nt_por_tipo": cut("nt_por_tipo").select(
+            F.col("tipo_ensino").alias("tipo"), "total", F.col("media").alias("media_ger"), F.col("media_fg"), F.col("media_ce")
+        ).orderBy("tipo"),
+        "comparativo_habitos": agg.align_by_rank(*levels, "nivel", "nivel", "trabalho", "estudo", config.INTENSITY_NAMES),
+        "desigualdade": agg.last_over_first(income_rows, "media", "qe_renda"),
+    }
+
+
 # --- race and habits ------------------------------------------------------------------------
 def race(fact: DataFrame, filters: Filters = None) -> DataFrame:
     groups = _labelled(fact, filters, "qe_raca_cor", config.RACE_NAMES, "media_nota")
-    return agg.share_of_total(groups).orderBy("codigo")
+    return agg.share_of_total(groups).orderBy(*code_order("codigo"))
 
 
 def race_performance(fact: DataFrame, filters: Filters = None) -> DataFrame:
@@ -269,7 +359,7 @@ def habits(
             "variavel", "label", F.col("categoria").alias("codigo"), F.col("nome").alias("categoria"),
             "total", "pct", F.coalesce("media_nota", F.lit(0.0)).alias("media_nota"),
         )
-        .orderBy("variavel", "codigo")
+        .orderBy("variavel", *code_order("codigo"))
     )
 
 
@@ -375,18 +465,19 @@ def type_options(fact: DataFrame) -> DataFrame:
     return require(fact, "tipo_ensino").select("tipo_ensino").distinct().orderBy("tipo_ensino")
 
 
+def municipality_codes(fact: DataFrame, state) -> DataFrame:
+    """Distinct municipalities of a state."""
+    rows = require(fact.filter(F.col("co_uf") == F.lit(int(state))), "co_municipio")
+    return rows.select("co_municipio").distinct()
+
+
 def municipality_options(fact: DataFrame, municipalities: DataFrame, state) -> DataFrame:
     """Municipalities of a state, named where the dimension knows them.
 
     Distinct codes first, so only they meet the dimension.
     """
-    codes = (
-        require(fact.filter(F.col("co_uf") == F.lit(int(state))), "co_municipio")
-        .select("co_municipio")
-        .distinct()
-    )
     named = lookup(
-        codes, municipalities, "co_municipio", "co_municipio", "nome", "nome",
+        municipality_codes(fact, state), municipalities, "co_municipio", "co_municipio", "nome", "nome",
         F.col("co_municipio").cast("string"),
     )
     return named.orderBy(F.collate("nome", "UNICODE"))
@@ -419,8 +510,7 @@ def network_by_year(fact: DataFrame, pattern: str = config.PUBLIC_PATTERN) -> Da
 def _region_of_state(fact: DataFrame, regions: DataFrame | None) -> DataFrame:
     if regions is not None:
         return regions
-    pairs = {s: r for r, states in config.STATES_OF_REGION.items() for s in states}
-    return dimension(fact.sparkSession, pairs, "uf", "regiao")
+    return dimension(fact.sparkSession, config.REGION_OF_STATE, "uf", "regiao")
 
 
 def by_state(fact: DataFrame, regions: DataFrame | None = None) -> DataFrame:
@@ -525,7 +615,7 @@ def income_by_band(
             "total",
             *[percent(F.col(c), F.col("total")).alias(f"pct_{c}") for c in classes],
         )
-        .orderBy("codigo")
+        .orderBy(*code_order("codigo"))
     )
 
 
@@ -558,18 +648,18 @@ def income_by_network(
 ) -> DataFrame:
     rows = _scored(fact, None, "qe_renda", "tipo_ies")
     code = F.col("qe_renda").cast("string")
-    sides = two_sides(rows, ["qe_renda"], network("tipo_ies", pattern), NETWORK_SIDES, SCORE)
+    sides = two_sides(rows, ["qe_renda"], network("tipo_ies", pattern, config.PUBLIC_WORDS), NETWORK_SIDES, SCORE)
     return both_present(sides, "publica", "privada").select(
         label(code, names, code).alias("nome"), code.alias("codigo"),
         "publica", "privada", "n_pub", "n_priv", _delta().alias("delta"),
-    ).orderBy("codigo")
+    ).orderBy(*code_order("codigo"))
 
 
 def course_by_network(
     fact: DataFrame, pattern: str = config.PUBLIC_PATTERN, names: Mapping[str, str] = config.COURSE_SHORT
 ) -> DataFrame:
     rows = _scored(fact, None, "curso_nome", "tipo_ies")
-    sides = two_sides(rows, ["curso_nome"], network("tipo_ies", pattern), NETWORK_SIDES, SCORE)
+    sides = two_sides(rows, ["curso_nome"], network("tipo_ies", pattern, config.PUBLIC_WORDS), NETWORK_SIDES, SCORE)
     return both_present(sides, "publica", "privada").select(
         label("curso_nome", names, F.col("curso_nome")).alias("curso"),
         "publica", "privada", _delta().alias("delta"),
@@ -587,12 +677,13 @@ def race_by_income(fact: DataFrame) -> DataFrame:
         label(income_code, config.INCOME_SHORT, income_code).alias("nome"),
         "media",
         "total",
-    ).orderBy("raca", "codigo")
+    ).orderBy("raca", *code_order("codigo"))
 
 
 def race_by_income_nested(fact: DataFrame) -> DataFrame:
     return nested_cells(
-        race_by_income(fact), ["raca"], ["codigo", "nome", "media", "total"], "rendas"
+        race_by_income(fact), ["raca"], ["codigo", "nome", "media", "total"], "rendas",
+        F.col("codigo").try_cast("bigint"),
     ).orderBy("raca")
 
 
@@ -600,10 +691,10 @@ def funding_by_network(fact: DataFrame, pattern: str = config.PUBLIC_PATTERN) ->
     """A funding code may lack one side: that mean is null."""
     rows = _scored(fact, None, "qe_financiamento", "tipo_ies")
     code = F.col("qe_financiamento").cast("string")
-    sides = two_sides(rows, ["qe_financiamento"], network("tipo_ies", pattern), NETWORK_SIDES, SCORE)
+    sides = two_sides(rows, ["qe_financiamento"], network("tipo_ies", pattern, config.PUBLIC_WORDS), NETWORK_SIDES, SCORE)
     return sides.select(
         label(code, config.FUNDING_SHORT, code).alias("nome"), code.alias("codigo"), "publica", "privada"
-    ).orderBy("codigo")
+    ).orderBy(*code_order("codigo"))
 
 
 def race_within_income(fact: DataFrame, undeclared: str = "0") -> DataFrame:
@@ -619,7 +710,7 @@ def race_within_income(fact: DataFrame, undeclared: str = "0") -> DataFrame:
         label("qe_raca_cor", config.RACE_NAMES, F.col("qe_raca_cor")).alias("raca"),
         "total",
         "pct",
-    ).orderBy("codigo", "raca")
+    ).orderBy(*code_order("codigo"), "raca")
 
 
 def race_within_income_pivot(
@@ -629,7 +720,7 @@ def race_within_income_pivot(
 ) -> DataFrame:
     return pivot_value(
         race_within_income(fact, undeclared), ["nome", "codigo"], "raca", races, "pct"
-    ).orderBy("codigo")
+    ).orderBy(*code_order("codigo"))
 
 
 # --- trends -----------------------------------------------------------------------------------------------
@@ -714,7 +805,7 @@ def binary_split(
     fact: DataFrame, column: str, names: Mapping[str, str] = config.BINARY_NAMES, filters: Filters = None
 ) -> DataFrame:
     groups = _labelled(fact, filters, column, names, "media_nota")
-    return agg.share_of_total(groups).orderBy("codigo")
+    return agg.share_of_total(groups).orderBy(*code_order("codigo"))
 
 
 def binary_by_race(
@@ -733,7 +824,7 @@ def binary_by_race(
     return sides.select(
         label(code, config.RACE_NAMES, code).alias("raca"), code.alias("codigo"),
         *[c for c in sides.columns if c != "qe_raca_cor"],
-    ).orderBy("codigo")
+    ).orderBy(*code_order("codigo"))
 
 
 def inequality_cards(fact: DataFrame, filters: Filters = None) -> DataFrame:
@@ -757,7 +848,8 @@ def largest_network_gap(fact: DataFrame, pattern: str = config.PUBLIC_PATTERN) -
     return agg.largest_absolute(income_by_network(fact, pattern), "delta", "max_abs_delta")
 
 
-def income_score_correlation(fact: DataFrame, code: str = "qe_renda_code", digits: int = 6) -> DataFrame:
+def income_score_correlation(fact: DataFrame, code: str = "qe_renda", digits: int = 6) -> DataFrame:
+    """The income code against the score, with the rows that have both."""
     return agg.correlation(fact, code, SCORE, digits)
 
 

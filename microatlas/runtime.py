@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own_roots: dict[str, str] = {}
+_owners: list[list[str]] = []
 
 
 def local_session(app: str = "microatlas", cores: str = "*", **conf: str) -> SparkSession:
@@ -41,7 +44,7 @@ def scratch_root(spark: SparkSession) -> str:
     )
     if shared:
         return shared.rstrip("/")
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = context.applicationId
     if app not in _own_roots:
@@ -50,9 +53,32 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; never reused between calls."""
+    """A fresh path under the shared folder; never reused between calls.
+
+    Inside ``owned_scratch`` it is deleted at the end of the block.
+    """
     app = spark.sparkContext.applicationId
-    return os.path.join(scratch_root(spark), f"microatlas-{app}", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(scratch_root(spark), f"microatlas-{app}", f"{name}-{uuid.uuid4().hex}")
+    if _owners:
+        _owners[-1].append(path)
+    return path
+
+
+@contextmanager
+def owned_scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what the block has settled when it ends, also when it fails.
+
+    For callers that have written their result by then; a frame that is still lazy would
+    lose its source. Blocks may be nested; paths belong to the innermost one.
+    """
+    _owners.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _owners.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:

@@ -4,18 +4,20 @@ An edition is a folder of delimited text fragments. Each fragment carries a few
 columns; row i of every fragment belongs to the same student, and no fragment
 has a student key. Spark has no row order, so a position is rebuilt from what a
 scan does know: the file, the byte where the split starts, and the row's number
-inside its task. Counting rows per split gives each split's offset, and
+inside its task. Each fragment's text is scanned once, and these three are written next
+to the values, so that nothing that happens later can number a row otherwise. Counting
+the written rows per split gives each split's offset, and
 
     position = row number in split + rows in all earlier splits
 
-holds for any split size. All fragments then meet in one shuffle on
-(edition, position).
+holds for any split size. A fragment travels as one array of its own values; all
+fragments then meet in one shuffle on (edition, position).
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -26,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from microatlas import config
+from microatlas.operators.reshape import stack_rows
 from microatlas.runtime import SettledParts, settle_parts
 from microatlas.sources.positions import file_order
 from microatlas.sources.tables import with_dense_id
@@ -147,30 +150,39 @@ def choose_columns(
     return choice
 
 
-def _numbered(spark: SparkSession, fragment: Fragment, columns: Sequence[str]) -> DataFrame:
-    return read_text(spark, fragment.files).select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("_row"),
-        *columns,
-    )
-
+def settle_texts(spark: SparkSession, parts: Sequence[Part], year_column: str = config.YEAR_COLUMN) -> SettledParts:
+    """The taken values of every fragment with where its scan found them.
 
-def split_offsets(spark: SparkSession, parts: Sequence[Part]) -> SettledParts:
-    """Rows before each split, per fragment: one row per split of the input.
-
-    The running sum is over splits, not rows. Each fragment's offsets are settled in
-    a folder of their own, so the join that uses them broadcasts only while they are
-    small.
+    The only reading of the text: ``_values`` is an array in the order of the part's
+    columns, without the edition.
     """
     scans = [
-        _numbered(spark, part.fragment, []).select(
-            F.lit(part.number).alias("_part"), F.lit(part.year).alias("_year"), "_file", "_start", "_row"
+        read_text(spark, part.fragment.files).select(
+            F.lit(part.number).alias("_part"),
+            F.lit(part.year).alias("_year"),
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("_row"),
+            F.array(*[F.col(c) for c in values_of(part, year_column)]).cast("array<string>").alias("_values"),
         )
         for part in parts
     ]
+    return settle_parts(reduce(DataFrame.unionByName, scans), "_part", "fragment-rows")
+
+
+def values_of(part: Part, year_column: str = config.YEAR_COLUMN) -> list[str]:
+    return [c for c in part.columns if c != year_column]
+
+
+def split_offsets(texts: SettledParts) -> SettledParts:
+    """Rows before each split, per fragment: one row per split of the input.
+
+    Counted on the written rows. The running sum is over splits, not rows. Each
+    fragment's offsets are settled in a folder of their own, so the join that uses them
+    broadcasts only while they are small.
+    """
     splits = (
-        reduce(DataFrame.unionByName, scans)
+        texts.table()
         .groupBy("_part", "_year", "_file", "_start")
         .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     )
@@ -183,22 +195,38 @@ def split_offsets(spark: SparkSession, parts: Sequence[Part]) -> SettledParts:
     return settle_parts(placed, "_part", "split-offsets")
 
 
-def with_position(
-    spark: SparkSession, part: Part, columns: Sequence[str], offsets: SettledParts
-) -> DataFrame:
-    """The fragment's columns with each row's 0-based position and edition."""
-    own = offsets.part(part.number).select("_file", "_start", "_first", "_before")
+def with_position(texts: SettledParts, number: int, offsets: SettledParts) -> DataFrame:
+    """The fragment's rows (``_year``, ``pos``, ``_values``) with 0-based positions."""
+    own = offsets.part(number).select("_file", "_start", "_first", "_before")
     return (
-        _numbered(spark, part.fragment, columns)
+        texts.part(number)
         .join(own, ["_file", "_start"])
         .select(
-            F.lit(part.year).cast("int").alias("_year"),
+            F.col("_year").cast("int").alias("_year"),
             (F.col("_row") - F.col("_first") + F.col("_before")).alias(POSITION),
-            *columns,
+            "_values",
         )
     )
 
 
+def check_positions(texts: SettledParts, parts: Sequence[Part], offsets: SettledParts) -> None:
+    """Fail unless every fragment has each position from 0 to its count, once."""
+    counted = offsets.table().groupBy("_part").agg(F.sum("_rows").alias("counted"))
+    pieces = [with_position(texts, p.number, offsets).select(F.lit(p.number).alias("_part"), POSITION) for p in parts]
+    placed = reduce(DataFrame.unionByName, pieces).groupBy("_part").agg(
+        F.count(F.lit(1)).alias("placed"), F.min(POSITION).alias("low"), F.max(POSITION).alias("high"),
+        F.sum(F.col(POSITION).cast("decimal(38,0)")).alias("total"),
+    )
+    n = F.col("counted")
+    whole = (
+        n.eqNullSafe(F.col("placed")) & (F.col("low") == 0) & (F.col("high") == n - 1)
+        & (2 * F.col("total") == n.cast("decimal(19,0)") * (n - 1))
+    )
+    wrong = counted.join(placed, "_part", "full").filter(~F.coalesce(whole, F.lit(False))).limit(5).collect()
+    if wrong:
+        raise RuntimeError(f"fragments whose rows are not all placed: {[r.asDict() for r in wrong]}")
+
+
 def assemble(
     spark: SparkSession,
     choices: Sequence[Choice],
@@ -206,7 +234,7 @@ def assemble(
     wanted: Sequence[str] = config.RAW_COLUMNS,
     optional: Sequence[str] = config.OPTIONAL_COLUMNS,
     year_column: str = config.YEAR_COLUMN,
-    offsets: SettledParts | None = None,
+    settled: tuple[SettledParts, SettledParts] | None = None,
     with_id: bool = False,
 ) -> DataFrame:
     """All editions as one table keyed by (edition, position).
@@ -214,44 +242,63 @@ def assemble(
     ``keep`` is a predicate on the identification columns. The rows it keeps are
     settled per edition, and their positions cut the other fragments before the
     shuffle. ``with_id`` numbers the kept rows on the way, while they are still narrow.
+    ``settled`` is what ``settle_texts`` and ``split_offsets`` gave.
     """
     parts = parts_of(choices)
-    if offsets is None:
-        offsets = split_offsets(spark, parts)
-    base, rest = [], []
+    if settled is None:
+        texts = settle_texts(spark, parts, year_column)
+        settled = texts, split_offsets(texts)
+    texts, offsets = settled
+    check_positions(texts, parts, offsets)
+    named: dict[str, list[tuple[int, int]]] = {}  # column -> (part, place in its values)
     for part in parts:
-        columns = [c for c in part.columns if c != year_column]
-        piece = with_position(spark, part, columns, offsets)
-        (base if part.identifies else rest).append((part.year, piece))
+        for i, c in enumerate(values_of(part, year_column)):
+            named.setdefault(c, []).append((part.number, i))
+
+    def piece(part: Part) -> DataFrame:
+        rows = with_position(texts, part.number, offsets)
+        return rows.select("_year", POSITION, F.lit(part.number).alias("_part"), "_values")
 
-    def stack(frames: list[DataFrame]) -> DataFrame:
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    def column(c: str, values: Callable[[int], Column]) -> Column:
+        return F.coalesce(*[values(n)[i] for n, i in named[c]], F.lit(None).cast("string")).alias(c)
 
-    identified = stack([piece for _, piece in base])
+    identified = stack_rows([piece(part) for part in parts if part.identifies])
     if keep is not None:
-        identified = identified.filter(keep)
+        own = [c for part in parts if part.identifies for c in values_of(part, year_column)]
+        typed = identified.select(
+            "*", *[column(c, lambda n: F.when(F.col("_part") == n, F.col("_values"))) for c in dict.fromkeys(own)]
+        )
+        identified = typed.filter(keep).select(*identified.columns)
     if keep is not None or with_id:
-        settled = settle_parts(identified, "_year", "identification")
-        identified = settled.table()
-    if keep is not None:
-        rest = [
-            (year, piece.join(settled.part(year).select(POSITION), POSITION, "left_semi"))
-            for year, piece in rest
-        ]
+        kept = settle_parts(identified, "_year", "identification")
+        identified = kept.table()
+    rest = []
+    for part in parts:
+        if not part.identifies:
+            rows = piece(part)
+            if keep is not None:
+                rows = rows.join(kept.part(part.year).select(POSITION), POSITION, "left_semi")
+            rest.append(rows.select("_year", POSITION, "_part", "_values"))
     if with_id:
         identified = with_dense_id(identified, "_year", POSITION)
-    union = stack([identified, *[piece for _, piece in rest]])
-    values = [c for c in union.columns if c not in ("_year", POSITION)]
+        rest = [rows.withColumn("id", F.lit(None).cast("bigint")) for rows in rest]
+    narrow = ["_year", POSITION, "_part", "_values", *(["id"] if with_id else [])]
+    union = stack_rows([rows.select(*narrow) for rows in [identified, *rest]])
     # A fragment has one row per position, so there is nothing to combine before the
-    # shuffle; after it, every column has at most one value per row and max picks it.
-    union = union.repartition("_year", POSITION)
-    rows = union.groupBy("_year", POSITION).agg(*[F.max(c).alias(c) for c in values])
-    stamped = rows.withColumn(year_column, F.col("_year").cast("string")).drop("_year")
+    # shuffle; after it, a position holds at most one array per fragment.
+    gathered = union.repartition("_year", POSITION).groupBy("_year", POSITION).agg(
+        F.map_from_entries(F.collect_list(F.struct("_part", "_values"))).alias("_parts"),
+        *([F.max("id").alias("id")] if with_id else []),
+    )
+    rows = gathered.select(
+        POSITION, *(["id"] if with_id else []), F.col("_year").cast("string").alias(year_column),
+        *[column(c, lambda n: F.element_at("_parts", F.lit(n))) for c in named],
+    )
     for c in optional:
-        if c not in stamped.columns:
-            stamped = stamped.withColumn(c, F.lit(None).cast("string"))
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("string"))
     first = [POSITION, "id"] if with_id else [POSITION]
-    return stamped.select(*first, *[c for c in wanted if c in stamped.columns])
+    return rows.select(*first, *[c for c in wanted if c in rows.columns])
 
 
 def parts_of(choices: Sequence[Choice]) -> list[Part]:
@@ -303,8 +350,9 @@ def load_editions(
     if not choices:
         raise RuntimeError("no edition could be read")
     keep = None if codes is None else F.trim(config.GROUP_COLUMN).isin([str(c) for c in codes])
-    offsets = split_offsets(spark, parts_of(choices))
-    rows = assemble(spark, choices, keep, wanted, optional, offsets=offsets, with_id=with_id)
+    texts = settle_texts(spark, parts_of(choices))
+    offsets = split_offsets(texts)
+    rows = assemble(spark, choices, keep, wanted, optional, settled=(texts, offsets), with_id=with_id)
     status = spark.createDataFrame(
         report,
         "ano int, situacao string, fragmentos int, fragmentos_lidos int, fragmentos_com_erro int",

@@ -50,16 +50,19 @@ def aligned(
     """Columns of several tables side by side, row i with row i.
 
     Shorter tables are filled with nulls. All pieces meet in one shuffle on the
-    position.
+    position, each as one value of its own: a row carries its own columns and a null for
+    each other piece, not for each of their columns.
     """
-    stacked = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [parquet_rows(spark, path, columns, "_i") for path, columns in pieces],
-    )
-    values = [c for _, columns in pieces for c in columns]
+    own = [f"_piece{i}" for i in range(len(pieces))]
+    narrow = [
+        parquet_rows(spark, path, columns, "_i").select("_i", F.struct(*columns).alias(name))
+        for name, (path, columns) in zip(own, pieces)
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), narrow)
     # One row per position and piece: nothing to combine before the shuffle.
-    rows = stacked.repartition("_i").groupBy("_i").agg(*[F.max(c).alias(c) for c in values])
-    return rows.withColumnRenamed("_i", position) if position else rows.drop("_i")
+    rows = stacked.repartition("_i").groupBy("_i").agg(*[F.any_value(c, True).alias(c) for c in own])
+    values = [F.col(name)[c].alias(c) for name, (_, columns) in zip(own, pieces) for c in columns]
+    return rows.select(*([F.col("_i").alias(position)] if position else []), *values)
 
 
 def sorted_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:

@@ -67,11 +67,23 @@ def fact_layout(df: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:
     return rename_existing(df, {**extra, **config.FACT_COLUMNS})
 
 
-def write_fact(df: DataFrame, path: str, cluster_by: Sequence[str] = ("co_uf", "co_grupo")) -> None:
-    """Replace the fact table: a folder per edition, rows sorted inside each file so
-    that row-group statistics prune state and course filters. No extra shuffle."""
-    order = ["nu_ano", *[c for c in cluster_by if c in df.columns]]
-    df.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("nu_ano").parquet(path)
+def write_fact(
+    df: DataFrame,
+    path: str,
+    cluster_by: Sequence[str] = ("co_uf", "co_grupo"),
+    spread_by: Sequence[str] = ("id",),
+    partitions: int | None = None,
+) -> None:
+    """Replace the fact table: a folder per edition, files cut by ranges.
+
+    Rows are dealt by ranges of (edition, state, course, id), so a file holds a narrow
+    range of states and courses and its statistics prune filters on them; ``spread_by``
+    cuts a course that fills more than one file. An edition has no more files than
+    ranges that touch it. ``partitions`` fixes their number; by default AQE sizes them.
+    """
+    order = ["nu_ano", *[c for c in (*cluster_by, *spread_by) if c in df.columns]]
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order)
+    ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("nu_ano").parquet(path)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:

@@ -135,3 +135,47 @@ def test_dense_ids_follow_edition_and_position(spark):
     out = with_dense_id(rows).collect()
     ordered = sorted(out, key=lambda r: (r.nu_ano, r.pos))
     assert [r.id for r in ordered] == list(range(len(ordered)))
+
+
+def read_with(spark, number, build, most="128m"):
+    """Run one step as a cluster of another size would split the files."""
+    own = {"minPartitionNum": str(number), "openCostInBytes": "1", "maxPartitionBytes": most}
+    for k, v in own.items():
+        spark.conf.set(f"spark.sql.files.{k}", v)
+    try:
+        return build()
+    finally:
+        for k in own:
+            spark.conf.unset(f"spark.sql.files.{k}")
+
+
+def test_steps_may_see_clusters_of_different_sizes(spark, tmp_path):
+    expected = edition(tmp_path / "e2014", 4000, short=100)
+    choices = [fr.choose_columns(2014, fr.fragments_of(spark, fr.discover(spark, str(tmp_path / "e2014"))))]
+    parts = fr.parts_of(choices)
+    texts = read_with(spark, 2, lambda: fr.settle_texts(spark, parts))
+    offsets = read_with(spark, 7, lambda: fr.split_offsets(texts))
+    found = read_with(
+        spark, 5, lambda: sorted(tuple(r) for r in fr.assemble(spark, choices, settled=(texts, offsets)).select(*COLUMNS).collect())
+    )
+    assert found == sorted(expected)
+
+
+def test_rows_that_are_not_placed_are_an_error(spark, tmp_path):
+    edition(tmp_path / "e2014", 400)
+    choices = [fr.choose_columns(2014, fr.fragments_of(spark, fr.discover(spark, str(tmp_path / "e2014"))))]
+    parts = fr.parts_of(choices)
+    texts = read_with(spark, 9, lambda: fr.settle_texts(spark, parts), "700")
+    other = read_with(spark, 1, lambda: fr.settle_texts(spark, parts))
+    with pytest.raises(RuntimeError, match="not all placed"):
+        fr.assemble(spark, choices, settled=(texts, fr.split_offsets(other)))
+
+
+def test_fragments_travel_as_one_array_each(spark, tmp_path):
+    edition(tmp_path / "e2014", 50)
+    rows, _ = fr.load_editions(spark, {2014: str(tmp_path / "e2014")}, None)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    shuffled = plan[plan.index("Exchange hashpartitioning(_year") :].splitlines()[1:8]
+    assert not any("NO_IES" in line for line in shuffled)
+    schema = [f for f in rows.columns]
+    assert "_values" not in schema and "NO_IES" in schema

@@ -112,16 +112,60 @@ def test_every_report_of_every_bundle_runs(spark, done):
     assert {x.ano: x.total for x in r.coverage(fact, raw, "NU_ANO").collect()} == {x.ano: x["count"] for x in rows}
 
 
-def test_one_pass_bundles_equal_separate_reports(spark, done):
+def test_bundles_equal_separate_reports(spark, done):
     fact, chosen = read_fact(spark, done.path("fact")), {"ano": "2017"}
-    one = endpoints.socioeconomico_em_uma_leitura(fact, chosen)
-    many = endpoints.socioeconomico(fact, chosen)
-    for name in ("renda", "escola", "trabalha", "estudo", "tipo_ies", "financiamento", "estado_civil"):
-        a = sorted((x.total, x.media) for x in one[name].collect())
-        assert a == sorted((x.total, x.media) for x in many[name].collect()), name
-    assert [x.media_fg for x in one["nt_por_tipo"].collect()] == [x.media_fg for x in many["nt_por_tipo"].collect()]
-    one = endpoints.estatisticas_em_uma_leitura(fact, chosen)
-    assert [x.total for x in one["faixa"].collect()] == [x.total for x in r.by_band(fact, chosen).collect()]
+    single = {
+        "renda": r.income, "escola": r.school, "trabalha": r.works, "estudo": r.study_hours, "tipo_ies": r.institution_type,
+        "evolucao_renda": r.income_over_time, "financiamento": r.funding, "estado_civil": r.marital_status,
+        "nt_por_tipo": r.scores_by_teaching_type, "comparativo_habitos": r.study_against_work, "desigualdade": r.inequality_cards,
+        "total_estudantes": r.total_students, "media_notas": r.score_overview, "distribuicao_faixa": r.by_band, "distribuicao_ano": r.by_year,
+        "distribuicao_curso": r.by_course, "distribuicao_regiao": r.by_region, "distribuicao_tipo_ies": r.by_institution_type,
+    }
+    bundles = endpoints.socioeconomico(fact, chosen) | endpoints.estatisticas(fact, chosen)
+    assert set(bundles) == set(single)
+    for name, build in single.items():
+        alone = build(fact, chosen)
+        assert bundles[name].columns == alone.columns, name
+        a, b = bundles[name].collect(), alone.collect()
+        assert len(a) == len(b) and all(x == pytest.approx(y) if isinstance(x, float) else x == y for p, q in zip(a, b) for x, y in zip(p, q)), name
+
+
+def test_a_bundle_reads_the_rows_once(spark, done):
+    from microatlas.plans import reports
+
+    fact = read_fact(spark, done.path("fact"))
+    for rows in (reports.statistics_cube(fact), reports.socioeconomic_in_one_scan(fact)):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    for bundle in (endpoints.estatisticas(fact), endpoints.socioeconomico(fact)):
+        for rows in bundle.values():
+            assert "/fact" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scratch_ends_with_the_stage_and_the_profile_is_written(spark, done):
+    from microatlas.runtime import owned_scratch, settle
+
+    with owned_scratch(spark):
+        inside = settle(spark.range(3)).inputFiles()
+    assert inside and not any(__import__("os").path.exists(f.removeprefix("file://")) for f in inside)
+    clean = spark.read.parquet(done.path("clean"))
+    by_year = {x[0]: x.total for x in spark.read.parquet(done.path("profile/rows_by_year")).collect()}
+    assert sum(by_year.values()) == clean.count() and len(by_year) == len(config.EDITIONS)
+    nulls = {x.coluna: x.nulos for x in spark.read.parquet(done.path("profile/nulls_by_column")).collect()}
+    assert nulls["NT_CE"] == clean.count()
+
+
+def test_state_filters_prune_files(spark, tmp_path):
+    from microatlas.sources.tables import write_fact
+
+    rows = spark.range(20_000).select(
+        "id", (F.col("id") % 2 + 2014).cast("int").alias("nu_ano"), (F.col("id") * 7 % 27).alias("co_uf"), (F.col("id") % 8).alias("co_grupo")
+    )
+    write_fact(rows, str(tmp_path / "fact"), partitions=12)
+    fact = read_fact(spark, str(tmp_path / "fact"))
+    assert fact.count() == 20_000
+    files = fact.filter("nu_ano = 2014").select(F.input_file_name().alias("f"), "co_uf").groupBy("f").agg(F.min("co_uf").alias("a"), F.max("co_uf").alias("b")).collect()
+    assert 4 <= len(files) <= 8
+    assert sum(x.a <= 13 <= x.b for x in files) <= 2  # the statistics of all other files exclude the state
 
 
 def test_year_filter_prunes_folders(spark, done):
