@@ -221,11 +221,13 @@ on_fact(
 
 
 def _importances(f: DataFrame) -> DataFrame:
+    """The three features that make the band stand above the three that do not."""
     rows = models.importance_rows(f.sparkSession, *zip(*_classifier(f).importances))
+    signal = F.col("feature").isin("qe_renda", "qe_trabalha", "qe_horas_estudo")
     return rows.agg(
         F.count(F.lit(1)).alias("features"), F.round(F.sum("valor"), 6).alias("soma"),
         F.bool_and(F.col("valor") >= 0).alias("nao_negativas"),
-        (F.sum(F.when(F.col("feature").isin("qe_renda", "qe_trabalha", "qe_horas_estudo"), F.col("valor"))) > 0.9).alias("sinal_encontrado"),
+        (F.min(F.when(signal, F.col("valor"))) > F.max(F.when(~signal, F.col("valor")))).alias("sinal_encontrado"),
     )
 
 
