@@ -108,5 +108,6 @@ def count_tokens(
     distinct = texts.join(misses, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     encoded = distinct.mapInArrow(encode, "digest binary, n_tokens bigint")
     encoded.withColumn("tokenizer", F.lit(mark)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    counted = rows.join(read_cache(spark, cache, mark), "digest")
+    # Settled, so that both sides of the join are plain shuffles and AQE can split a hot digest.
+    counted = rows.join(settle(read_cache(spark, cache, mark), "counts"), "digest")
     return counted.select(*[col(c) for c in kept], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
