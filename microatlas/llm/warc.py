@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from microatlas.llm.common import col
 from microatlas.runtime import scratch_path, settle
 
+#: Compressed bytes read by a task, where there are enough files for all cores.
+READ_BYTES = 64 << 20
 RESPONSE, REVISIT = "response", "revisit"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -333,8 +335,12 @@ def read(spark: SparkSession, root: str, with_payload: bool = False) -> DataFram
                 if count != expected:
                     raise ValueError(f"{name} holds {count} records, not {expected}")
 
-    files = read_manifest(spark, root).select("name", "records")
-    return files.repartition("name").mapInArrow(run, fields + (", payload binary" if with_payload else ""))
+    manifest = read_manifest(spark, root)
+    n, total = manifest.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    # The list is tiny and would be read by one task; what it names is not.
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, (total or 0) // READ_BYTES)))
+    files = manifest.select("name", "records")
+    return files.repartition(tasks).mapInArrow(run, fields + (", payload binary" if with_payload else ""))
 
 
 def write_and_read(pages: DataFrame, root: str | None = None, settings: Settings = Settings()) -> DataFrame:
