@@ -29,37 +29,48 @@ FAN = 16
 BLOCK = 512
 
 
+def number_type(df: DataFrame, vector: str) -> str:
+    """How vectors are held: as they come, which for floats is half of doubles."""
+    return "<f4" if df.select(col(vector)).schema[0].dataType == T.ArrayType(T.FloatType()) else "<f8"
+
+
+def units_of(raw: bytes, rows: int, kind: str) -> np.ndarray:
+    """Held vectors as rows of length one, in double precision."""
+    v = np.frombuffer(raw, kind).reshape(rows, -1).astype(np.float64)
+    v /= np.abs(v).max(1, keepdims=True)  # no square over- or underflows
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
 def keyed(df: DataFrame, vector: str, label: str, keep: list[str]) -> DataFrame:
-    """Kept columns with ``digest`` of (label, vector) and ``unit``, the vector scaled to
-    length one; both null where it links with nothing."""
+    """Kept columns with ``digest`` of (label, vector) and ``raw``, the vector's numbers;
+    both null where it links with nothing."""
+    kind = number_type(df, vector)
     source = df.select(*[col(c) for c in keep], col(label).cast("string").alias("__label"), col(vector).cast("array<double>").alias("__vector"))
-    schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField("grp", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("unit", T.BinaryType())])
+    schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField("grp", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("raw", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, digests, units = [], [], []
+            groups, digests, raws = [], [], []
             vectors = batch.column(len(keep) + 1)
             for i, name in enumerate(batch.column(len(keep)).to_pylist()):
-                group = digest = unit = None
+                group = digest = raw = None
                 item = vectors[i].values
                 if name is not None and item is not None and len(item) and not item.null_count:
                     v = item.to_numpy(zero_copy_only=False)
-                    most = np.abs(v).max()
-                    if np.isfinite(most) and most > 0:
-                        v = v / most + 0.0  # no square over- or underflows; no minus zero
-                        unit = (v / np.sqrt((v * v).sum())).tobytes()
+                    if np.isfinite(v).all() and v.any():
+                        raw = v.astype(kind).tobytes()
                         group = f"{len(v):09d}:{name}"
-                        digest = hashlib.blake2b(group.encode() + b"\0" + item.to_numpy(zero_copy_only=False).tobytes(), digest_size=16).digest()
+                        digest = hashlib.blake2b(group.encode() + b"\0" + raw, digest_size=16).digest()
                 groups.append(group)
                 digests.append(digest)
-                units.append(unit)
-            new = [pa.array(groups, pa.string()), pa.array(digests, pa.binary()), pa.array(units, pa.binary())]
+                raws.append(raw)
+            new = [pa.array(groups, pa.string()), pa.array(digests, pa.binary()), pa.array(raws, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def principal_axes(units: DataFrame, dimensions: int) -> np.ndarray:
+def principal_axes(entries: DataFrame, kind: str, dimensions: int) -> np.ndarray:
     """Leading eigenvectors of the second moments of all vectors (shorter ones padded).
 
     Every task sums up its outer products; one matrix per task, merged in pairs by Spark's
@@ -69,11 +80,11 @@ def principal_axes(units: DataFrame, dimensions: int) -> np.ndarray:
     def moments(rows: Iterator) -> Iterator[np.ndarray]:
         total = np.zeros((0, 0))
         for batch in rows:
-            by_length: dict[int, list[np.ndarray]] = {}
+            by_length: dict[int, list[bytes]] = {}
             for raw in batch.column(0).to_pylist():
-                by_length.setdefault(len(raw) // 8, []).append(np.frombuffer(raw, np.float64))
-            for n, vectors in by_length.items():
-                m = np.array(vectors)
+                by_length.setdefault(len(raw), []).append(raw)
+            for same in by_length.values():
+                m = units_of(b"".join(same), len(same), kind)
                 total = _padded_sum(total, m.T @ m)
         yield total
 
@@ -84,7 +95,7 @@ def principal_axes(units: DataFrame, dimensions: int) -> np.ndarray:
                 at = np.arange(n * n)
                 yield pa.RecordBatch.from_arrays([pa.array(at // n), pa.array(at % n), pa.array(total.ravel())], names=["i", "j", "v"])
 
-    cells = units.select("unit").mapInArrow(run, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    cells = entries.select("raw").mapInArrow(run, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
     n = max((r[0] for r in cells), default=-1) + 1
     matrix = np.zeros((n, n))
     for i, j, v in cells:
@@ -100,23 +111,23 @@ def _padded_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def grid_blocks(units: DataFrame, axes: np.ndarray, epsilon: float, block: int = BLOCK) -> DataFrame:
+def grid_blocks(entries: DataFrame, kind: str, axes: np.ndarray, epsilon: float, block: int = BLOCK) -> DataFrame:
     """The vectors in grid order, cut into blocks of one group each: ``seq`` (the block's
     place), ``grp``, box ``low``/``high`` on the axes, ``ids``, ``copies`` and ``vectors``."""
     k = axes.shape[1]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = [np.frombuffer(r, np.float64) for r in batch.column(3).to_pylist()]
+            points = [units_of(r, 1, kind)[0] for r in batch.column(3).to_pylist()]
             places = np.array([p @ axes[: len(p)] for p in points]).reshape(-1, k)
             cells = np.floor(places / epsilon).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(list(cells), pa.list_(pa.int32())), pa.array(list(places), pa.list_(pa.float64()))],
-                names=["id", "copies", "grp", "unit", "cell", "point"],
+                names=["id", "copies", "grp", "raw", "cell", "point"],
             )
 
-    schema = "id bigint, copies bigint, grp string, unit binary, cell array<int>, point array<double>"
-    ordered = units.select("id", "copies", "grp", "unit").mapInArrow(project, schema).orderBy("grp", "cell", "id")
+    schema = "id bigint, copies bigint, grp string, raw binary, cell array<int>, point array<double>"
+    ordered = entries.select("id", "copies", "grp", "raw").mapInArrow(project, schema).orderBy("grp", "cell", "id")
     fields = "part bigint, nth bigint, grp string, low array<double>, high array<double>, ids array<bigint>, copies array<bigint>, vectors binary"
     names = [f.split()[0] for f in fields.split(", ")]
 
@@ -180,7 +191,7 @@ def block_pairs(blocks: DataFrame, epsilon: float, k: int) -> DataFrame:
     return pairs
 
 
-def join_blocks(blocks: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def join_blocks(blocks: DataFrame, pairs: DataFrame, kind: str, threshold: float) -> DataFrame:
     """For each pair of blocks, rows (``a``, ``b``, ``n``): with ``b`` a star edge of the
     links found, with ``n`` the links of ``a`` counted with copies."""
     data = blocks.select("seq", "ids", "copies", "vectors")
@@ -196,7 +207,7 @@ def join_blocks(blocks: DataFrame, pairs: DataFrame, threshold: float) -> DataFr
                     own = batch.column(c)[r].values.to_numpy()
                     ids.append(own)
                     copies.append(batch.column(c + 1)[r].values.to_numpy())
-                    vectors.append(np.frombuffer(batch.column(c + 2)[r].as_py(), np.float64).reshape(len(own), -1))
+                    vectors.append(units_of(batch.column(c + 2)[r].as_py(), len(own), kind))
                 if vectors[0].shape[1] != vectors[1].shape[1]:
                     continue
                 linked = vectors[0] @ vectors[1].T >= threshold
@@ -237,15 +248,16 @@ def near_duplicates(
     rows = settle(keyed(source, "vector", "label", ["whole_row", "own"]), "embeddings")
     valid = rows.filter("digest IS NOT NULL")
     # One entry for each distinct vector, combined before the shuffle.
-    entries = valid.groupBy("digest").agg(F.min("own").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"), F.first("unit").alias("unit"))
+    entries = valid.groupBy("digest").agg(F.min("own").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"), F.first("raw").alias("raw"))
     entries, number = numbered(entries, "vectors")
-    units = entries.select(F.col(number).alias("id"), "copies", "grp", "unit", "digest", "low")
+    units = entries.select(F.col(number).alias("id"), "copies", "grp", "raw", "digest", "low")
+    kind = number_type(df, vector)
     epsilon = math.sqrt(2 - 2 * threshold)
-    axes = principal_axes(units, dimensions)
+    axes = principal_axes(units, kind, dimensions)
     if not axes.size:
         axes = np.zeros((1, 1))
-    blocks = grid_blocks(units, axes, epsilon, block)
-    found = settle(join_blocks(blocks, block_pairs(blocks, epsilon, axes.shape[1]), threshold), "links")
+    blocks = grid_blocks(units, kind, axes, epsilon, block)
+    found = settle(join_blocks(blocks, block_pairs(blocks, epsilon, axes.shape[1]), kind, threshold), "links")
     roots = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "id")
     counts = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     rooted = units.select("id", "digest", "low", "copies").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
