@@ -592,8 +592,8 @@ on_fact(
     f"{_LINE} select curso_nome, pontos, round(b0, 4) as b0, round(b1, 4) as b1, round(r2, 4) as r2 from f",
 )
 on_fact(
-    "reg2_predict", "curso_nome nu_ano nt_ger", lambda f: _course_fits(f).select("curso_nome", *[trend.predict(F.lit(float(y))).alias(f"p{y}") for y in PROJ]),
-    f"{_LINE} select curso_nome, " + ", ".join(f"round(b0 + b1 * {y}, 2) as p{y}" for y in PROJ) + " from f",
+    "reg2_predict", "curso_nome nu_ano nt_ger", lambda f: _course_fits(f).select("curso_nome", *[trend.predict(F.lit(float(y)), 6).alias(f"p{y}") for y in PROJ]),
+    f"{_LINE} select curso_nome, " + ", ".join(f"round(b0 + b1 * {y}, 6) as p{y}" for y in PROJ) + " from f",
 )
 on_fact(
     "reg3_overall_trend", "nu_ano nt_fg", lambda f: reports.overall_trend(f.withColumnRenamed("nt_fg", "nt_ger"), REAL, PROJ).select("ano", "projecao", "b1"),
