@@ -174,6 +174,15 @@ def values_of(part: Part, year_column: str = config.YEAR_COLUMN) -> list[str]:
     return [c for c in part.columns if c != year_column]
 
 
+def _splits(texts: SettledParts) -> DataFrame:
+    """Rows of each split, with the numbers of its first and last row in their task."""
+    return (
+        texts.table()
+        .groupBy("_part", "_year", "_file", "_start")
+        .agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"), F.count(F.lit(1)).alias("_rows"))
+    )
+
+
 def split_offsets(texts: SettledParts) -> SettledParts:
     """Rows before each split, per fragment: one row per split of the input.
 
@@ -181,17 +190,12 @@ def split_offsets(texts: SettledParts) -> SettledParts:
     fragment's offsets are settled in a folder of their own, so the join that uses them
     broadcasts only while they are small.
     """
-    splits = (
-        texts.table()
-        .groupBy("_part", "_year", "_file", "_start")
-        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    )
     before = (
         W.partitionBy("_part")
         .orderBy(*file_order(), "_start")
         .rowsBetween(W.unboundedPreceding, -1)
     )
-    placed = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    placed = _splits(texts).withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     return settle_parts(placed, "_part", "split-offsets")
 
 
@@ -209,20 +213,23 @@ def with_position(texts: SettledParts, number: int, offsets: SettledParts) -> Da
     )
 
 
-def check_positions(texts: SettledParts, parts: Sequence[Part], offsets: SettledParts) -> None:
-    """Fail unless every fragment has each position from 0 to its count, once."""
-    counted = offsets.table().groupBy("_part").agg(F.sum("_rows").alias("counted"))
-    pieces = [with_position(texts, p.number, offsets).select(F.lit(p.number).alias("_part"), POSITION) for p in parts]
-    placed = reduce(DataFrame.unionByName, pieces).groupBy("_part").agg(
-        F.count(F.lit(1)).alias("placed"), F.min(POSITION).alias("low"), F.max(POSITION).alias("high"),
-        F.sum(F.col(POSITION).cast("decimal(38,0)")).alias("total"),
-    )
-    n = F.col("counted")
+def check_positions(texts: SettledParts, offsets: SettledParts) -> None:
+    """Fail unless the offsets are those of these rows, split by split.
+
+    Then every row meets exactly one offset, a split's rows follow each other without a gap,
+    and so do the splits of a fragment: each position from 0 to the count is there once.
+    One narrow pass over the written rows; only splits are compared.
+    """
+    keys = ["_part", "_file", "_start"]
+    counted = _splits(texts).select(*keys, "_first", "_last", "_rows")
+    placed = offsets.table().select(*keys, *[F.col(c).alias(f"{c}_") for c in ("_first", "_rows", "_before")])
+    both = counted.join(placed, keys, "full")
+    follow = F.lag(F.col("_before_") + F.col("_rows_"), 1, 0).over(W.partitionBy("_part").orderBy("_before_", "_rows_"))
     whole = (
-        n.eqNullSafe(F.col("placed")) & (F.col("low") == 0) & (F.col("high") == n - 1)
-        & (2 * F.col("total") == n.cast("decimal(19,0)") * (n - 1))
+        (F.col("_first") == F.col("_first_")) & (F.col("_rows") == F.col("_rows_"))
+        & (F.col("_last") - F.col("_first") + 1 == F.col("_rows")) & (F.col("_before_") == follow)
     )
-    wrong = counted.join(placed, "_part", "full").filter(~F.coalesce(whole, F.lit(False))).limit(5).collect()
+    wrong = both.withColumn("whole", whole).filter(~F.coalesce("whole", F.lit(False))).limit(5).collect()
     if wrong:
         raise RuntimeError(f"fragments whose rows are not all placed: {[r.asDict() for r in wrong]}")
 
@@ -249,7 +256,7 @@ def assemble(
         texts = settle_texts(spark, parts, year_column)
         settled = texts, split_offsets(texts)
     texts, offsets = settled
-    check_positions(texts, parts, offsets)
+    check_positions(texts, offsets)
     named: dict[str, list[tuple[int, int]]] = {}  # column -> (part, place in its values)
     for part in parts:
         for i, c in enumerate(values_of(part, year_column)):
