@@ -210,3 +210,33 @@ def test_lookup_keeps_null_keys(spark):
     dim = labels.dimension(spark, {"a": "Um"}, "k", "v")
     got = {r.k: r.nome for r in labels.lookup(df, dim, "k", "k", "nome", "v", "?").collect()}
     assert got == {"a": "Um", None: "?", "x": "?"}
+
+
+def test_public_by_pattern_or_by_words(spark):
+    from microatlas import config
+    from microatlas.functions.columns import network
+
+    kinds = ["Pública Federal", "Federal", "Estadual", "Municipal", "Privada sem fins lucrativos", "Especial"]
+    df = spark.createDataFrame([(k,) for k in kinds], "k string")
+    narrow = {r.k: r.n for r in df.select("k", network("k").alias("n")).collect()}
+    wide = {r.k: r.n for r in df.select("k", network("k", words=config.PUBLIC_WORDS).alias("n")).collect()}
+    assert [k for k in kinds if narrow[k] == "Pública"] == kinds[:1]
+    assert [k for k in kinds if wide[k] == "Pública"] == kinds[:4]
+
+
+def test_codes_that_became_text_keep_their_order(spark):
+    from microatlas.functions.columns import code_order
+    from microatlas.operators.reshape import nested_cells
+
+    df = spark.createDataFrame([("g", c) for c in ["10", "9", "B", "1", None, "A", "0"]], "g string, codigo string")
+    want = ["0", "1", "9", "10", "A", "B", None]
+    assert [r.codigo for r in df.orderBy(*code_order("codigo")).collect()] == want
+    cells = nested_cells(df.dropna(), ["g"], ["codigo"], "lista", F.col("codigo").try_cast("bigint")).first()
+    assert [c.codigo for c in cells.lista] == want[:-1]
+
+
+def test_every_state_has_one_region():
+    from microatlas import config
+
+    assert set(config.REGION_OF_STATE) == set(config.STATE_INITIALS.values())
+    assert set(config.REGION_OF_STATE.values()) == set(config.REGION_NAMES.values())
