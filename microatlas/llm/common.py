@@ -23,6 +23,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def in_one(names: Sequence[str]) -> Column:
+    """The named columns as one, so that none can clash with an operator's own."""
+    return F.struct(*([col(c) for c in names] or [F.lit(0).alias("none")]))
+
+
+def out_of(whole: str, names: Sequence[str]) -> list[Column]:
+    """The columns that ``in_one`` has put together."""
+    return [F.col(whole).getField(c).alias(c) for c in names]
+
+
 def others(df: DataFrame, names: Sequence[str]) -> list[str]:
     """The columns of ``df`` that an operator returning ``names`` leaves as they are."""
     return [c for c in df.columns if c not in set(names)]

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from microatlas.llm.common import col, components, numbered, others, star_edges
+from microatlas.llm.common import col, components, in_one, numbered, others, out_of, star_edges
 from microatlas.runtime import settle
 
 FAN = 16
@@ -244,7 +244,7 @@ def near_duplicates(
     """
     new = ["n_links", "component_id", "kept"]
     kept = [c for c in (keep if keep is not None else others(df, [vector])) if c not in new]
-    source = df.select(F.struct(*[col(c) for c in kept]).alias("whole_row"), col(id_column).alias("own"), col(label).alias("label"), col(vector).alias("vector"))
+    source = df.select(in_one(kept).alias("whole_row"), col(id_column).alias("own"), col(label).alias("label"), col(vector).alias("vector"))
     rows = settle(keyed(source, "vector", "label", ["whole_row", "own"]), "embeddings")
     valid = rows.filter("digest IS NOT NULL")
     # One entry for each distinct vector, combined before the shuffle.
@@ -268,6 +268,6 @@ def near_duplicates(
     out = rows.select("whole_row", "own", "digest").join(settle(named, "vector-components"), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("own")).otherwise(F.col("component_id"))
     return out.select(
-        *[F.col("whole_row").getField(c).alias(c) for c in kept], F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        *out_of("whole_row", kept), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         component.alias("component_id"), F.coalesce(component == F.col("own"), F.lit(False)).alias("kept"),
     )

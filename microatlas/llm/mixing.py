@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from microatlas.llm.common import WORD, col, numbered
+from microatlas.llm.common import WORD, col, in_one, numbered, out_of
 from microatlas.runtime import settle
 
 HASH_BITS = 60
@@ -117,7 +117,7 @@ def mix(
     new = ["size", "source_size", "target", "repeats", "taken"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     mine = docs.select(
-        F.struct(*[col(c) for c in kept]).alias("whole_row"), col(source).cast("string").alias("source"),
+        in_one(kept).alias("whole_row"), col(source).cast("string").alias("source"),
         n_words(text).alias("size"), row_hash(id_column, text).alias("hash"),
     )
     rows, row = numbered(mine, "mix-rows")
@@ -135,7 +135,7 @@ def mix(
         .join(ways.withColumnRenamed("source", "way"), F.col("source").eqNullSafe(F.col("way")))
         .withColumn("repeats", repeats)
         .select(
-            *[F.col("whole_row").getField(c).alias(c) for c in kept],
+            *out_of("whole_row", kept),
             "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).cast("bigint").alias("taken"),
         )
     )

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from microatlas.llm.common import col, others
+from microatlas.llm.common import col, in_one, others, out_of
 from microatlas.runtime import settle
 
 CAPACITY = 2048
@@ -260,9 +260,10 @@ def pack(
     by one; an empty table gives none. Input columns named like a result are replaced;
     the text is returned only if it is among ``keep``.
     """
-    new = ["piece", "start", "length", "ids_crc32", "part", "nth", "sequence_id", "offset"]
+    new = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     kept = [c for c in (keep if keep is not None else others(docs, [text])) if c not in new]
-    cut = pieces(docs, text, tokenizer, capacity, kept)
+    source = docs.select(in_one(kept).alias("whole_row"), col(text).alias("text"))
+    cut = pieces(source, "text", tokenizer, capacity, ["whole_row"])
     counts = settle(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "length-counts")
     # One row per task and length enters the window of a length.
     earlier = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -272,12 +273,12 @@ def pack(
     runs, _ = plan(histogram, capacity)
     tables = {n: np.array(r, np.int64).reshape(-1, 4) for n, r in runs.items()}
     ranked = cut.join(before, ["length", "part"]).withColumn("rank", F.col("earlier") + F.col("nth"))
-    source = ranked.select(*[col(c) for c in kept], "piece", "start", "length", "ids_crc32", "rank")
+    source = ranked.select("whole_row", "piece", "start", "length", "ids_crc32", "rank")
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column(len(kept) + 2).to_numpy(), batch.column(len(kept) + 4).to_numpy()
+            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             out = np.zeros((2, batch.num_rows), np.int64)
             for n in np.unique(length):
                 mine = np.flatnonzero(length == n)
@@ -288,4 +289,4 @@ def pack(
                 out[1, mine] = own[:, 3] + nth % own[:, 2] * n
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, out)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*out_of("whole_row", kept), *new)

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from microatlas.llm.common import col, numbered, others
+from microatlas.llm.common import col, in_one, numbered, others, out_of
 from microatlas.runtime import settle
 
 OVERHEAD = 16
@@ -69,7 +69,7 @@ def shards(
     kept = [c for c in (keep if keep is not None else others(docs, [text])) if c not in new]
     raw = F.coalesce(col(text).cast("string"), F.lit(""))
     mine = docs.select(
-        F.struct(*[col(c) for c in kept]).alias("whole_row"), col(id_column).alias("id"),
+        in_one(kept).alias("whole_row"), col(id_column).alias("id"),
         F.crc32(raw.cast("binary")).alias("text_crc32"), (F.octet_length(raw) + OVERHEAD).cast("bigint").alias("size"),
     )
     rows, row = numbered(mine, "shard-rows")
@@ -81,5 +81,5 @@ def shards(
     first = cut.groupBy("shard").agg(F.min("place").alias("first"))
     # One row per shard: the broadcast is bounded by n_shards.
     return cut.join(F.broadcast(first), "shard").select(
-        *[F.col("whole_row").getField(c).alias(c) for c in kept], "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot")
+        *out_of("whole_row", kept), "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot")
     )

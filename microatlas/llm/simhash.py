@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from microatlas.llm.common import by_text, col, components, numbered, others, star_edges
+from microatlas.llm.common import by_text, col, components, in_one, numbered, others, out_of, star_edges
 from microatlas.runtime import settle
 
 SEED = 42
@@ -223,17 +223,19 @@ def near_duplicates(
     rows stay; an empty table gives none. Input columns named like a result are
     replaced. The text itself is returned only if it is among ``keep``.
     """
-    new = ["fp", "root", "fingerprint", "component_id"]
+    new = ["fingerprint", "component_id"]
     keep = [c for c in (keep if keep is not None else others(docs, [text])) if c not in new]
-    return _grouped(docs, id_column, text, radius, words, keep, search).select(
-        *[col(c) for c in keep], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    source = docs.select(in_one(keep).alias("whole_row"), col(id_column).alias("own"), col(text).alias("body"))
+    return _grouped(source, radius, words, search).select(
+        *out_of("whole_row", keep), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def _grouped(docs, id_column, text, radius, words, keep, search) -> DataFrame:
-    """The kept columns with ``fp``, its component's ``root`` and ``component_id``."""
-    marked = settle(with_fingerprints(docs, text, [*keep, *({id_column} - {*keep})], words), "fingerprints")
-    groups = settle(marked.groupBy("fp").agg(F.min(col(id_column)).alias("low")), "fingerprint-groups")
+def _grouped(source: DataFrame, radius: int, words: int, search: dict) -> DataFrame:
+    """``whole_row`` and ``own`` (the id) with ``fp``, its component's ``root`` and
+    ``component_id``."""
+    marked = settle(with_fingerprints(source, "body", ["whole_row", "own"], words), "fingerprints")
+    groups = settle(marked.groupBy("fp").agg(F.min("own").alias("low")), "fingerprint-groups")
     roots = components(links(groups, radius, **search)).withColumnRenamed("node", "fp")
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -249,7 +251,8 @@ def keep_one(
     The row with the smallest id stays, null ids last; of repeated rows one stays.
     """
     rows, row = numbered(docs, "documents")
-    found = _grouped(rows, id_column, text, radius, words, [id_column, row], search)
-    order = F.struct(col(id_column).isNull().alias("late"), col(id_column).alias("id"), col(row).alias("row"))
+    source = rows.select(in_one([row]).alias("whole_row"), col(id_column).alias("own"), col(text).alias("body"))
+    found = _grouped(source, radius, words, search)
+    order = F.struct(F.col("own").isNull().alias("late"), "own", out_of("whole_row", [row])[0].alias("row"))
     first = found.groupBy("root").agg(F.min(order).alias("first"))
     return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*[col(c) for c in docs.columns])

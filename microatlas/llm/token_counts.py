@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microatlas.llm.common import col, others
+from microatlas.llm.common import col, in_one, others, out_of
 from microatlas.runtime import scratch_path, settle
 
 #: Digests a task remembers to leave out what it has already sent: about 100 bytes each.
@@ -85,11 +85,11 @@ def count_tokens(
     spark = docs.sparkSession
     cache = cache or scratch_path(spark, "token-counts")
     mark = version(tokenizer)
-    new = ["n_bytes", "n_tokens", "over_limit", "digest"]
+    new = ["n_bytes", "n_tokens", "over_limit"]
     kept = [c for c in (keep if keep is not None else others(docs, [text])) if c not in new]
     content = F.coalesce(col(text).cast("string"), F.lit(""))
     digest = F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest")
-    rows = docs.select(*[col(c) for c in kept], digest, F.octet_length(content).cast("bigint").alias("n_bytes"))
+    rows = docs.select(in_one(kept).alias("whole_row"), digest, F.octet_length(content).cast("bigint").alias("n_bytes"))
     rows = settle(rows, "content-digests")
     misses = settle(rows.select("digest").distinct().join(read_cache(spark, cache, mark), "digest", "left_anti"), "cache-misses")
     # A text that a third of all rows share leaves each task once, before the shuffle.
@@ -110,4 +110,4 @@ def count_tokens(
     encoded.withColumn("tokenizer", F.lit(mark)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     # Settled, so that both sides of the join are plain shuffles and AQE can split a hot digest.
     counted = rows.join(settle(read_cache(spark, cache, mark), "counts"), "digest")
-    return counted.select(*[col(c) for c in kept], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return counted.select(*out_of("whole_row", kept), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

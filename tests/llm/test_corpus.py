@@ -356,3 +356,24 @@ def test_archives_of_no_pages_and_damaged_ones(spark, tmp_path):
     file.write_bytes(file.read_bytes()[:-20])
     with pytest.raises(Exception, match="record"):
         warc.read(spark, f"{tmp_path}/a").collect()
+
+
+INNER = ["part", "nth", "digest", "root", "low", "fp", "row", "whole", "key", "hash", "id", "own", "before", "place", "n", "seq", "raw", "text_"]
+
+
+def test_columns_named_like_inner_ones_stay(docs):
+    from microatlas.llm import language_id, quality, secret_scan, token_counts
+
+    more = clashing(docs, INNER)
+    word, piece = tokenizer_path("word_bpe_49k.json"), tokenizer_path("piece_bpe_32k.model")
+    vectors = more.withColumn("embedding", F.array(F.lit(1.0), F.col("n_chars").cast("double"))).withColumn("label", F.lit(1))
+    found = {
+        "simhash": simhash.near_duplicates(more), "sharding": sharding.shards(more), "mixing": mixing.mix(more),
+        "packing": packing.pack(more, word), "tokens": token_counts.count_tokens(more, piece), "quality": quality.score(more),
+        "secrets": secret_scan.find_secrets(more), "embeddings": embedding_dedup.near_duplicates(vectors, "doc_id"),
+        "language": language_id.identify(more, F.lit(False), settings=language_id.Settings(epochs=1)),
+        "kept": simhash.keep_one(more), "mixed": mixing.mixed(more), "good": quality.keep_good(more), "masked": secret_scan.redact(more),
+    }
+    for name, rows_ in found.items():
+        assert [c for c in INNER if c in rows_.columns] == INNER, name
+        assert {tuple(r) for r in rows_.select(*INNER).distinct().collect()} == {("old",) * len(INNER)}, name
