@@ -1,0 +1,76 @@
+"""The pipeline's near-dedup stage against all pairs by exact Jaccard."""
+
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from microatlas.llm import near_copies, queries, simhash
+
+from .conftest import SCHEMA, rows
+from .test_corpus import closed
+
+
+def plain_set(text, k=5):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", words) if w]
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def plain_kept(data):
+    """Row tuples that stay, and the linked pairs, from all pairs."""
+    sets = [plain_set(r[1]) for r in data]
+    links = []
+    for a in range(len(data)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+    groups = defaultdict(list)
+    for i, root in enumerate(closed(len(data), links)):
+        groups[root].append(i)
+    return sorted(str(data[min(g, key=lambda i: (data[i][0] is None, data[i][0] or 0, i))]) for g in groups.values()), links
+
+
+def edited(rng, words, at):
+    return " ".join(w if i not in at else f"x{rng.integers(10**9)}" for i, w in enumerate(words))
+
+
+def test_near_copies_beyond_four_bits_are_dropped(spark):
+    rng, data = np.random.default_rng(3), []
+    for n in (60, 100, 200, 400, 800):  # edits that leave a similarity of 0.8 to 0.9
+        for _ in range(4):
+            words = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+            data.append((len(data), " ".join(words)))
+            for share in (0.1, 0.19):
+                at = set(range(0, max(1, int(n * share / 10)) * 5, 5)) or {0}
+                data.append((len(data), edited(rng, words, at)))
+    kept, links = plain_kept(data)
+    prints = [simhash.fingerprint(r[1], 5)[0] for r in data]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 4 for a, b in links) > 10
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert sorted(str(tuple(r)) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == kept
+
+
+@pytest.mark.parametrize("tiles", [{}, {"tile": 3}, {"tile_hashes": 200}])
+def test_groups_equal_all_pairs(spark, tiles):
+    rng, data = np.random.default_rng(8), []
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+    for i in range(30):  # a chain: each is near its predecessor, the ends are far apart
+        data.append((i, " ".join(words)))
+        words = edited(rng, words, {int(rng.integers(120))}).split()
+    data += [(100 + i, edited(rng, words[:60] + [f"v{i}_{k}" for k in range(60)], set())) for i in range(20)]  # a shared passage only
+    data += [(None, data[3][1]), (None, None), (200, ""), (201, " \n"), (7, data[7][1])]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert sorted(str(tuple(r)) for r in near_copies.keep_one(docs, **tiles).collect()) == plain_kept(data)[0]
+
+
+def test_made_and_given_rows_equal_all_pairs(spark, sf):
+    given = [tuple(r) for r in queries.documents(spark, sf.replace("0.001", "0.01")).select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    for data in (rows(), given):
+        docs = spark.createDataFrame(data, SCHEMA)
+        got = near_copies.keep_one(docs)
+        assert sorted(str(r.doc_id) for r in got.collect()) == sorted(x[1:].split(",")[0] for x in plain_kept(data)[0])
+    assert near_copies.keep_one(docs.filter(F.lit(False))).collect() == []
