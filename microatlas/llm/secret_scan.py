@@ -34,6 +34,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _WIDE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9])")
 
+_UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
+_PART = re.compile(r"[A-Za-z0-9]+")
+#: A number, a word or words in camel case, with up to four digits behind.
+_PLAIN = re.compile(r"[0-9]+|[A-Z]+[0-9]{0,4}|[a-z][0-9]{0,4}|(?:(?:[A-Z][a-z])?[A-Z]?[a-z]{2,}+[0-9]{0,4}+)++(?:[A-Z][a-z]){0,2}")
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -46,11 +51,19 @@ class Rules:
 
 
 def looks_random(value: str, min_bits: float) -> bool:
-    """Several letters and digits, no path, and no few characters over and over."""
+    """No few characters over and over, and either several letters and digits and no path,
+    the shape of a UUID, or half of it or more outside words and numbers."""
     digits, letters, n = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value), len(value)
-    if digits < 3 or letters < 3 or 10 * sum(c in "/_-" for c in value) > n:
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    if value.isdigit():  # ten characters hold less than the sixteen of a hex string
+        return bits >= min_bits * math.log2(10) / 4
+    if bits < min_bits:
         return False
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= min_bits
+    if digits >= 3 and letters >= 3 and 10 * sum(c in "/_-" for c in value) <= n or _UUID.fullmatch(value):
+        return True
+    parts = _PART.findall(value)
+    odd = sum(len(x) for x in parts if not _PLAIN.fullmatch(x))
+    return 2 * odd >= sum(map(len, parts))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -70,18 +83,23 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def scan(text: str | None, min_bits: float) -> tuple[list[tuple], list[tuple]]:
-    """The base spans, and the candidates (start, end, hash) that look like credentials."""
+    """The base spans, and the candidates (start, end, hash): access and assign values, and what looks random."""
     if not text:
         return [], []
     base = base_spans(text)
     found = {(m.start(), m.end()): m[0] for m in _WIDE.finditer(text)}
-    for _, start, end, value in base:
+    named = set()  # what a keyword or its prefix calls a credential needs no look
+    for kind, _, end, value in base:
         bare = value.rstrip(".")  # the full stop of a sentence is no part of a secret
-        found[(end - len(value), end - len(value) + len(bare))] = bare
+        place = (end - len(value), end - len(value) + len(bare))
+        if bare:
+            found[place] = bare
+            if kind != "hex":
+                named.add(place)
     wide = [
         (s, e, int.from_bytes(hashlib.blake2b(v.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
         for (s, e), v in sorted(found.items())
-        if looks_random(v, min_bits)
+        if (s, e) in named or looks_random(v, min_bits)
     ]
     return base, wide
 
