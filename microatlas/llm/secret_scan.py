@@ -12,6 +12,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,7 +33,9 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_WIDE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9])")
+_WIDE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_WHOLE = re.compile(r"[0-9]\.$")
+_UNDOTTED = re.compile(r"[^.]{16,}")
 
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 _PART = re.compile(r"[A-Za-z0-9]+")
@@ -59,7 +62,7 @@ def looks_random(value: str, min_bits: float) -> bool:
         return bits >= min_bits * math.log2(10) / 4
     if bits < min_bits:
         return False
-    if digits >= 3 and letters >= 3 and 10 * sum(c in "/_-" for c in value) <= n or _UUID.fullmatch(value):
+    if "." not in value and digits >= 3 and letters >= 3 and 10 * sum(c in "/_-" for c in value) <= n or _UUID.fullmatch(value):
         return True
     parts = _PART.findall(value)
     odd = sum(len(x) for x in parts if not _PLAIN.fullmatch(x))
@@ -82,14 +85,31 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
+def wide_strings(text: str) -> Iterator[tuple[tuple[int, int], str]]:
+    """((start, end), string) of the long strings, and of the long parts of dotted ones."""
+    for m in _WIDE.finditer(text):
+        bare = m[0].strip(".")  # full stops and dots of omission
+        start = m.start() + len(m[0]) - len(m[0].lstrip("."))
+        if len(bare) >= 16:
+            # With one odd part, the others are words of a sentence, host or path around it.
+            if "." not in bare or sum(any(not _PLAIN.fullmatch(x) for x in _PART.findall(p)) for p in bare.split(".")) > 1:
+                yield (start, start + len(bare)), bare
+            if "." in bare:
+                for part in _UNDOTTED.finditer(bare):
+                    if not part[0].isdigit():
+                        yield (start + part.start(), start + part.end()), part[0]
+
+
 def scan(text: str | None, min_bits: float) -> tuple[list[tuple], list[tuple]]:
     """The base spans, and the candidates (start, end, hash): access and assign values, and what looks random."""
     if not text:
         return [], []
     base = base_spans(text)
-    found = {(m.start(), m.end()): m[0] for m in _WIDE.finditer(text)}
+    found = dict(wide_strings(text))
     named = set()  # what a keyword or its prefix calls a credential needs no look
-    for kind, _, end, value in base:
+    for kind, start, end, value in base:
+        if kind == "hex" and value.isdigit() and _WHOLE.search(text[max(0, start - 2) : start]):
+            continue  # the fraction of a decimal number
         bare = value.rstrip(".")  # the full stop of a sentence is no part of a secret
         place = (end - len(value), end - len(value) + len(bare))
         if bare:

@@ -36,3 +36,17 @@ def test_free_standing_strings_go_by_their_look(spark):
     plain += ["Section3Subsection1", "some_long_variable_name2", "0000000000000000"]
     assert redacted(spark, [f"see {x} now" for x in secrets]) == ["see [secret] now"] * len(secrets)
     assert redacted(spark, [f"see {x} now" for x in plain]) == [f"see {x} now" for x in plain]
+
+
+def test_dotted_tokens_are_masked_and_hosts_and_paths_are_not(spark):
+    rng = random.Random(9)
+    pick = lambda n: "".join(rng.choices(string.ascii_letters + string.digits + "_-", k=n))
+    tokens = [f"eyJ{pick(17)}.eyJ{pick(40)}.{pick(43)}" for _ in range(20)] + [f"SG.{pick(22)}.{pick(43)}" for _ in range(20)]
+    got = redacted(spark, [f"Authorization: Bearer {x}. Then" for x in tokens])
+    assert got == ["Authorization: Bearer [secret]. Then"] * len(tokens)
+    plain = ["mail2.example.com", "ip-10-0-12-34.eu-west-1.compute.internal", "org.apache.spark.sql.functions", "docs/guide/intro2.old.html"]
+    plain += ["192.168.100.200.10.20", "end of a sentence.Another one begins", "...", "3.14159265358979323846"]
+    assert redacted(spark, [f"see {x} now" for x in plain]) == [f"see {x} now" for x in plain]
+    shared = [f"Bearer {tokens[0]}"] * 4
+    assert redacted(spark, shared) == shared
+    assert redacted(spark, ["it ended.q7Rt2LmX9sVb4KpZ here"]) == ["it ended.[secret] here"]
