@@ -15,7 +15,6 @@ from microatlas.runtime import settle
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\v\f\r"
-_TEXT = "__text"
 
 
 def col(name: str) -> Column:
@@ -38,6 +37,13 @@ def others(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in set(names)]
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, made longer until no taken column has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def by_text(
     df: DataFrame,
     text: str,
@@ -54,7 +60,8 @@ def by_text(
     """
     names = [f.name for f in fields]
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(*[col(c) for c in keep], col(text).cast("string").alias(_TEXT))
+    body = free_name("__text", keep)
+    source = df.select(*[col(c) for c in keep], col(text).cast("string").alias(body))
     schema = T.StructType([*[source.schema[i] for i in range(len(keep))], *fields])
     kinds = [_arrow_type(f.dataType) for f in fields]
     place = len(keep)
@@ -87,9 +94,7 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     Repeated rows get different numbers. The numbers are fixed by the committed files,
     so later passes agree whatever the cluster does.
     """
-    row = "__row"
-    while row in df.columns:
-        row += "_"
+    row = free_name("__row", df.columns)
     return settle(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 

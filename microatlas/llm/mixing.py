@@ -142,7 +142,11 @@ def mix(
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of the mix, each as often as it is taken, all their columns unchanged."""
+    """The rows of the mix, each as often as it is taken, all their columns unchanged.
+
+    A null source is a source, the last one; null and empty texts weigh nothing; rows of
+    equal id and text are taken one by one; an empty table gives none.
+    """
     whole = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("whole"), *[col(c) for c in dict.fromkeys((settings.get("source", "source"), settings.get("text", "text"), settings.get("id_column", "doc_id")))])
     taken = mix(whole, keep=["whole"], **settings)
     return taken.select("whole", F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).select("whole.*")

@@ -163,6 +163,10 @@ def score(docs: DataFrame, text: str = "text", rules: Rules = Rules(), keep: lis
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The rows that pass, all their columns unchanged."""
+    """The rows that pass, all their columns unchanged, whatever their names.
+
+    Null and empty texts fail (no words); equal rows pass or fail together; an empty table
+    gives none.
+    """
     whole = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("whole"), col(text).alias("text"))
     return score(whole, "text", rules, ["whole"]).filter("kept").select("whole.*")

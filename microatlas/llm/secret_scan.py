@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from microatlas.llm.common import by_text, col, numbered, others
+from microatlas.llm.common import by_text, col, free_name, numbered, others
 from microatlas.runtime import settle
 
 BASE = ("assign", "access", "hex")
@@ -227,23 +227,27 @@ def redact(
 ) -> DataFrame:
     """The rows with live secrets masked in their texts; copied examples stay.
 
-    All rows and columns stay; ``length``, if it is a column, is the new text's number of
-    characters where the text changed.
+    All rows and columns stay, whatever their names; ``length``, if it is a column, is the
+    new text's number of characters where the text changed. Null and empty texts stay;
+    equal rows are masked alike; a null owner is an owner; an empty table gives none.
     """
     rows, row = numbered(docs, "documents")
-    found, _ = _judged(rows, text, owner, list(repository), [row], rules)
-    masks = found.filter("live IS NOT NULL").select(row, F.col("live").alias("__live"))
+    shared = [col(c).alias(f"__r{i}") for i, c in enumerate(repository)]
+    narrow = rows.select(col(row).alias("__n"), col(text).alias("__t"), col(owner).alias("__o"), *shared)
+    found, _ = _judged(narrow, "__t", "__o", [f"__r{i}" for i in range(len(repository))], ["__n"], rules)
+    live = free_name("__live", docs.columns)
+    masks = found.filter("live IS NOT NULL").select(F.col("__n").alias(row), F.col("live").alias(live))
     joined = rows.join(settle(masks, "masks"), row, "left")
     # Only rows with a live secret go through Python.
-    texts = F.col("__live").isNotNull()
+    texts = F.col(live).isNotNull()
     changed = joined.filter(texts)
     same = joined.filter(~texts).select(*[col(c) for c in docs.columns])
-    return same.unionByName(_masked_rows(changed, docs, text, length, mark))
+    return same.unionByName(_masked_rows(changed, live, docs, text, length, mark))
 
 
-def _masked_rows(changed: DataFrame, docs: DataFrame, text: str, length: str | None, mark: str) -> DataFrame:
+def _masked_rows(changed: DataFrame, live: str, docs: DataFrame, text: str, length: str | None, mark: str) -> DataFrame:
     place, at = docs.columns.index(text), len(docs.columns)
-    source = changed.select(*[col(c) for c in docs.columns], F.col("__live"))
+    source = changed.select(*[col(c) for c in docs.columns], F.col(live))
 
     def run(batches):
         for batch in batches:

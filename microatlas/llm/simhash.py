@@ -248,7 +248,9 @@ def keep_one(
 ) -> DataFrame:
     """One row of each group of near-duplicates, all its columns unchanged.
 
-    The row with the smallest id stays, null ids last; of repeated rows one stays.
+    The row with the smallest id stays, null ids last; of repeated rows one stays. Null and
+    wordless texts have fingerprint zero and are one group with what lies near it; an empty
+    table gives none.
     """
     rows, row = numbered(docs, "documents")
     source = rows.select(in_one([row]).alias("whole_row"), col(id_column).alias("own"), col(text).alias("body"))

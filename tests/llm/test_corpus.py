@@ -358,7 +358,7 @@ def test_archives_of_no_pages_and_damaged_ones(spark, tmp_path):
         warc.read(spark, f"{tmp_path}/a").collect()
 
 
-INNER = ["part", "nth", "digest", "root", "low", "fp", "row", "whole", "key", "hash", "id", "own", "before", "place", "n", "seq", "raw", "text_"]
+INNER = ["part", "nth", "digest", "root", "low", "fp", "row", "whole", "key", "hash", "id", "own", "before", "place", "n", "seq", "raw", "text_", "__live", "__row", "__n", "__t", "__o", "__text", "__c0", "whole_row"]
 
 
 def test_columns_named_like_inner_ones_stay(docs):

@@ -22,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def plain_deduped(data):
-    fps = [plain_fingerprint(r[1], 5) for r in data]
+    fps = [plain_fingerprint(r[1], 4) for r in data]
     links = [(a, b) for a in range(len(data)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4]
     groups = defaultdict(list)
     for i, root in enumerate(closed(len(data), links)):
