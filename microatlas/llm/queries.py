@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from microatlas.llm import (
-    embedding_dedup, language_id, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, warc,
+    bpe, embedding_dedup, language_id, mixing, packing, quality, secret_scan, sharding, simhash, spelling, token_counts,
+    vector_codes, warc,
 )
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,18 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), keep=["vec_id"])
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), keep=["doc_id"])
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 OP4_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
@@ -191,13 +204,78 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links,
 FROM embeddings
 """
 
+OP11_FIRST = """
+kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT r, p, v[(p * len(v) // 4 + 1)::INT : ((p + 1) * len(v) // 4)::INT] AS x FROM kept, range(4) AS t(p)),
+book0 AS MATERIALIZED (SELECT p, r AS e, x AS c FROM parts WHERE r < 256)"""
+
+OP11_ROUND = """
+found{k} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x,
+         min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)) * 256 + e)::BIGINT AS best
+  FROM parts JOIN book{k} USING (p) GROUP BY r, p),
+book{next} AS MATERIALIZED (
+  SELECT p, e, coalesce(n.c, o.c) AS c
+  FROM book{k} o LEFT JOIN (
+    SELECT p, e, list(floor(s / n) ORDER BY i) AS c
+    FROM (SELECT p, best % 256 AS e, i, sum(x[i]) AS s, count(*) AS n FROM found{k}, range(1, 1 + (SELECT max(len(x)) FROM parts)) AS t(i) GROUP BY ALL)
+    GROUP BY p, e) n USING (p, e))"""
+
+OP11_LAST = """
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256
+FROM kept JOIN (SELECT r, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM found{k} GROUP BY r) USING (r),
+     (SELECT sha256(string_agg(list_aggregate(list_transform(c, lambda y: y::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY p, e)) AS digest FROM book{k})
+"""
+
+
+def op11_sql(rounds: int = 4) -> str:
+    steps = [OP11_FIRST, *[OP11_ROUND.format(k=k, next=k + 1) for k in range(rounds + 1)]]
+    return "WITH " + ",".join(steps) + OP11_LAST.format(k=rounds)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents WHERE text IS NOT NULL),
+lowered AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b
+  FROM lowered),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, b::BIGINT[]), lambda c, x: xor(t[((xor(c, x) & 255) + 1)::INT], c >> 8))) AS h FROM bytes, crc),
+words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gone AS MATERIALIZED (
+  SELECT word, n, i, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM gone x JOIN gone y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT g.word, w.word, w.n FROM gone g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gone g JOIN words w ON g.rest = w.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+led AS (SELECT word, word AS at FROM formed UNION ALL SELECT l.word, f.form FROM led l JOIN formed f ON l.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, l.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN led l ON f.word = l.word JOIN formed e ON l.at = e.word WHERE e.form IS NULL
+"""
+
 QUERIES: dict[str, Build] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_warc_round_trip, op3_token_counts, op4_quality_rules, op5_embedding_near_dedup, op6_secret_scan,
         op7_best_fit_packing, op8_simhash_near_dedup, op9_byte_balanced_shards, op10_source_mix,
+        op11_vector_codes, op12_bpe_round_trip, op13_spelling_variants,
     )
 }
 ORACLE: dict[str, str] = {
     "op2_warc_round_trip": OP2_SQL, "op4_quality_rules": op4_sql(), "op5_embedding_near_dedup": OP5_SQL, "op10_source_mix": OP10_SQL,
+    "op11_vector_codes": op11_sql(), "op13_spelling_variants": OP13_SQL,
 }

@@ -115,7 +115,7 @@ def test_stages_take_no_rows(spark, folder):
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert len(corpus_pipeline.STAGES) == 5
 
 
