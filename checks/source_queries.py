@@ -172,8 +172,74 @@ add(
 add(
     "src8_load_report",
     lambda s, d: fr.load_editions(s, {**_folders(s, d), 2011: f"{_folder(s, d)}/ausente"}, None, on_error="skip")[1],
-    f"""select {_EDITION} as ano, 'ok' as situacao, 5 as fragmentos, 4 as fragmentos_lidos, 0 as fragmentos_com_erro, count(*) as menor_fragmento, count(*) as maior_fragmento, true as alinhado from orders group by 1
-    union all select 2011, 'AnalysisException', 0, 0, 0, null, null, null""",
+    f"""select {_EDITION} as ano, 'ok' as situacao, 5 as fragmentos, 4 as fragmentos_lidos, 0 as fragmentos_com_erro, count(*) as menor_fragmento, count(*) as maior_fragmento, 0 as linhas_malformadas, true as alinhado from orders group by 1
+    union all select 2011, 'AnalysisException', 0, 0, 0, null, null, null, null""",
+)
+
+# --- fragments with faults: lines of other lengths than the header, and a file of another header ---------------
+_LINE = """concat('x;', o_orderstatus, ';', substr(o_orderpriority, 1, 1), case when o_orderkey % 100 = 7 then ';mais' else '' end)"""
+_SHORT = "case when o_orderkey % 100 = 38 then 'x' else {} end"
+_faulty: dict[tuple[str, str], str] = {}
+
+
+def _faulty_folder(spark: SparkSession, sf: str) -> str:
+    """Identification in good order; ``arq02`` with long and short lines, one file an edition;
+    ``arq03`` with a second file of another header; ``arq04`` with the column ``arq03`` offers."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _faulty:
+        return _faulty[key]
+    base = scratch_path(spark, "faulty-fragments")
+    orders = star.table(spark, sf, "orders").withColumn("edition", F.expr(_EDITION))
+    ordered = orders.repartitionByRange(3, "edition", "o_orderkey").sortWithinPartitions("edition", "o_orderkey")
+
+    def write(name: str, rows: DataFrame, columns: dict[str, str]) -> None:
+        (
+            rows.select("edition", *[F.expr(e).alias(c) for c, e in columns.items()]).write.mode("append").partitionBy("edition")
+            .option("sep", ";").option("encoding", "ISO-8859-1").option("header", True).option("extension", "txt").csv(f"{base}/{name}")
+        )
+
+    write("arq01", ordered, _FRAGMENTS["arq01"][1])
+    heads = orders.select("edition").distinct().select("edition", F.lit(-1).cast("bigint").alias("o_orderkey"), F.lit("CO_CURSO;QE_I01;QE_I02").alias("value"))
+    lines = orders.select("edition", "o_orderkey", F.expr(_SHORT.format(_LINE)).alias("value")).unionByName(heads)
+    in_files = lines.repartitionByRange(3, "edition").sortWithinPartitions("edition", "o_orderkey")
+    in_files.select("edition", "value").write.partitionBy("edition").text(f"{base}/arq02")
+    write("arq03", ordered, {"CO_CURSO": "'x'", "QE_I04": "'nunca'"})
+    write("arq03", ordered, {"QE_I04": "'nunca'", "CO_CURSO": "'x'"})
+    write("arq04", ordered, {"CO_CURSO": "'x'", "QE_I04": "substr(o_orderpriority, 1, 1)"})
+    _faulty[key] = base
+    return base
+
+
+def _with_faults(spark, sf) -> fr.Load:
+    base = _faulty_folder(spark, sf)
+    return fr.load(spark, {y: f"{base}/*/edition={y}" for y in YEARS}, None, on_error="skip")
+
+
+def _short_names(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("fragmento", F.regexp_extract("fragmento", "/(arq[0-9]+)/", 1))
+
+
+add(
+    "src1_malformed_lines_by_fragment", lambda s, d: _short_names(_with_faults(s, d).fragments),
+    f"""select {_EDITION} as ano, f.fragmento, case when f.fragmento = 'arq03' then 'erro' else 'ok' end as situacao,
+    case when f.fragmento <> 'arq03' then count(*) end as linhas,
+    case f.fragmento when 'arq02' then count(*) filter (where o_orderkey % 100 in (7, 38)) when 'arq03' then null else 0 end as linhas_malformadas
+    from orders, (values ('arq01'), ('arq02'), ('arq03'), ('arq04')) f(fragmento) group by 1, 2""",
+)
+add(
+    "src1_rejects", lambda s, d: _short_names(_with_faults(s, d).rejects),
+    f"""with {_NUMBERED} select edition as ano, 'arq02' as fragmento, pos,
+    case when o_orderkey % 100 = 38 then 'x' else 'x;' || o_orderstatus || ';' || substr(o_orderpriority, 1, 1) || ';mais' end as linha from o where o_orderkey % 100 in (7, 38)""",
+)
+add(
+    "src8_load_with_faults", lambda s, d: _with_faults(s, d).rows.select("pos", "NU_ANO", "CO_CURSO", "QE_I01", "QE_I02", "QE_I04"),
+    f"""with {_NUMBERED} select pos, cast(edition as varchar) as NU_ANO, cast(o_custkey as varchar) as CO_CURSO, case when o_orderkey % 100 <> 38 then o_orderstatus end as QE_I01,
+    case when o_orderkey % 100 <> 38 then substr(o_orderpriority, 1, 1) end as QE_I02, substr(o_orderpriority, 1, 1) as QE_I04 from o""",
+)
+add(
+    "src8_report_of_faults", lambda s, d: _with_faults(s, d).report,
+    f"""select {_EDITION} as ano, 'ok' as situacao, 3 as fragmentos, 3 as fragmentos_lidos, 1 as fragmentos_com_erro, count(*) as menor_fragmento, count(*) as maior_fragmento,
+    count(*) filter (where o_orderkey % 100 in (7, 38)) as linhas_malformadas, true as alinhado from orders group by 1""",
 )
 
 # --- tables -----------------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 Each stage reads the Parquet layer of the one before and writes its own, so a stage
 can be run again alone and a lost executor costs recomputed tasks only.
 
-    extract    fragments            -> <base>/raw, <base>/load_report
+    extract    fragments            -> <base>/raw, <base>/load_report, <base>/fragment_report, <base>/rejects
     transform  raw                  -> <base>/clean, <base>/profile
     ml         clean                -> <base>/scored, <base>/metrics, <base>/models
     load       scored               -> <base>/fact
@@ -24,8 +24,7 @@ from microatlas.operators.cleaning import clean, drop_control
 from microatlas.operators.scores import encode_categories, normalise_within, quantile_bands
 from microatlas.plans import reports
 from microatlas.runtime import owned_scratch, settle
-from microatlas.sources import tables
-from microatlas.sources.fragments import load_editions
+from microatlas.sources import fragments, tables
 
 STAGES = ("extract", "transform", "ml", "load")
 
@@ -51,15 +50,17 @@ class Settings:
 
 def extract(spark: SparkSession, s: Settings) -> None:
     """Assemble the editions and number the rows."""
-    rows, report = load_editions(spark, s.folders, s.codes, on_error=s.on_error, with_id=True)
-    rows.write.mode("overwrite").partitionBy(config.YEAR_COLUMN).parquet(s.path("raw"))
+    done = fragments.load(spark, s.folders, s.codes, on_error=s.on_error, with_id=True)
+    done.rows.write.mode("overwrite").partitionBy(config.YEAR_COLUMN).parquet(s.path("raw"))
     # Ids were given to the kept identification rows: a row lost since then leaves a gap.
     rows_, ids, top, total = spark.read.parquet(s.path("raw")).agg(
         F.count(F.lit(1)), F.count("id"), F.max("id"), F.sum(F.col("id").cast("decimal(38,0)"))
     ).first()
     if rows_ and (ids != rows_ or top != rows_ - 1 or 2 * int(total) != rows_ * (rows_ - 1)):
         raise RuntimeError(f"raw layer of {rows_} rows has {ids} ids up to {top}")
-    report.write.mode("overwrite").parquet(s.path("load_report"))
+    done.report.write.mode("overwrite").parquet(s.path("load_report"))
+    done.fragments.write.mode("overwrite").parquet(s.path("fragment_report"))
+    done.rejects.write.mode("overwrite").parquet(s.path("rejects"))
 
 
 def derive(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from microatlas.runtime import scratch_path, settle
+from microatlas.sources.zipping import RANGE, range_width, write_bucketed
 
 
 def file_order(file: str = "_file") -> list[Column]:
@@ -49,9 +50,8 @@ def aligned(
 ) -> DataFrame:
     """Columns of several tables side by side, row i with row i.
 
-    Shorter tables are filled with nulls. All pieces meet in one shuffle on the
-    position, each as one value of its own: a row carries its own columns and a null for
-    each other piece, not for each of their columns.
+    Shorter tables are filled with nulls. Pieces meet in a layer bucketed by ranges of
+    positions, each as one value of its own, and are grouped without a shuffle.
     """
     own = [f"_piece{i}" for i in range(len(pieces))]
     narrow = [
@@ -59,8 +59,11 @@ def aligned(
         for name, (path, columns) in zip(own, pieces)
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), narrow)
-    # One row per position and piece: nothing to combine before the shuffle.
-    rows = stacked.repartition("_i").groupBy("_i").agg(*[F.any_value(c, True).alias(c) for c in own])
+    longest = max(spark.read.parquet(path).count() for path, _ in pieces)  # from the files' footers
+    width = range_width(spark, longest)
+    ranged = stacked.withColumn(RANGE, F.floor(F.col("_i") / width).cast("bigint"))
+    layer = write_bucketed(ranged, longest // width + 1, "aligned", "_i")
+    rows = layer.groupBy(RANGE, "_i").agg(*[F.any_value(c, True).alias(c) for c in own])
     values = [F.col(name)[c].alias(c) for name, (_, columns) in zip(own, pieces) for c in columns]
     return rows.select(*([F.col("_i").alias(position)] if position else []), *values)
 

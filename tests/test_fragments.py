@@ -137,45 +137,114 @@ def test_dense_ids_follow_edition_and_position(spark):
     assert [r.id for r in ordered] == list(range(len(ordered)))
 
 
-def read_with(spark, number, build, most="128m"):
+def in_cluster(spark, number, build, most="128m"):
     """Run one step as a cluster of another size would split the files."""
-    own = {"minPartitionNum": str(number), "openCostInBytes": "1", "maxPartitionBytes": most}
-    for k, v in own.items():
-        spark.conf.set(f"spark.sql.files.{k}", v)
-    try:
+    own = {"openCostInBytes": "1", "maxPartitionBytes": most, "minPartitionNum": str(number)}
+    with fr.set_conf(spark, **own):
         return build()
-    finally:
-        for k in own:
-            spark.conf.unset(f"spark.sql.files.{k}")
+
+
+def choices_of(spark, folder):
+    return [fr.choose_columns(2014, fr.fragments_of(spark, fr.discover(spark, str(folder))))]
 
 
 def test_steps_may_see_clusters_of_different_sizes(spark, tmp_path):
     expected = edition(tmp_path / "e2014", 4000, short=100)
-    choices = [fr.choose_columns(2014, fr.fragments_of(spark, fr.discover(spark, str(tmp_path / "e2014"))))]
-    parts = fr.parts_of(choices)
-    texts = read_with(spark, 2, lambda: fr.settle_texts(spark, parts))
-    offsets = read_with(spark, 7, lambda: fr.split_offsets(texts))
-    found = read_with(
-        spark, 5, lambda: sorted(tuple(r) for r in fr.assemble(spark, choices, settled=(texts, offsets)).select(*COLUMNS).collect())
-    )
+    choices = in_cluster(spark, 3, lambda: choices_of(spark, tmp_path / "e2014"))
+    layer = in_cluster(spark, 7, lambda: fr.lay_out(spark, fr.parts_of(choices)), "4096")
+    found = in_cluster(spark, 5, lambda: sorted(tuple(r) for r in fr.assemble(spark, choices, layer=layer).select(*COLUMNS).collect()))
     assert found == sorted(expected)
 
 
 def test_rows_that_are_not_placed_are_an_error(spark, tmp_path):
+    """A layer of other splits than the counted ones, one short of a row, and a doubled one."""
     edition(tmp_path / "e2014", 400)
-    choices = [fr.choose_columns(2014, fr.fragments_of(spark, fr.discover(spark, str(tmp_path / "e2014"))))]
-    parts = fr.parts_of(choices)
-    texts = read_with(spark, 9, lambda: fr.settle_texts(spark, parts), "700")
-    other = read_with(spark, 1, lambda: fr.settle_texts(spark, parts))
-    with pytest.raises(RuntimeError, match="not all placed"):
-        fr.assemble(spark, choices, settled=(texts, fr.split_offsets(other)))
-
-
-def test_fragments_travel_as_one_array_each(spark, tmp_path):
-    edition(tmp_path / "e2014", 50)
-    rows, _ = fr.load_editions(spark, {2014: str(tmp_path / "e2014")}, None)
+    parts = fr.parts_of(choices_of(spark, tmp_path / "e2014"))
+    layer = in_cluster(spark, 1, lambda: fr.lay_out(spark, parts))
+    other = in_cluster(spark, 1, lambda: fr.split_offsets(spark, parts).table(), "700")
+    first = layer.rows.filter("pos = 17").limit(1)
+    moved = layer.rows.withColumn("pos", F.when((F.col("pos") == 399) & (F.col("_part") == 0), None).otherwise(F.col("pos")))
+    for rows, offsets in ((layer.rows, other), (layer.rows.filter("pos <> 399"), layer.offsets), (layer.rows.unionByName(first), layer.offsets), (moved, layer.offsets)):
+        with pytest.raises(RuntimeError, match="not all placed"):
+            fr.check_positions(fr.Layer(parts, rows, offsets))
+
+
+def test_values_are_not_shuffled(spark, tmp_path):
+    edition(tmp_path / "e2014", 9000)
+    rows, _ = fr.load_editions(spark, {2014: str(tmp_path / "e2014")}, (72, 79), with_id=True)
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    shuffled = plan[plan.index("Exchange hashpartitioning(_year") :].splitlines()[1:8]
-    assert not any("NO_IES" in line for line in shuffled)
-    schema = [f for f in rows.columns]
-    assert "_values" not in schema and "NO_IES" in schema
+    # Only counts per range are exchanged.
+    assert "SelectedBucketsCount" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    whole, _ = fr.load_editions(spark, {2014: str(tmp_path / "e2014")}, None)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    ids = sorted((r.pos, r.id) for r in rows.collect())
+    assert [i for _, i in ids] == list(range(len(ids))) and len(ids) > 1000
+
+
+def test_headers_come_in_one_job(spark, tmp_path):
+    edition(tmp_path / "e2014", 9000)
+    names = ["CO_CURSO", "b ç", "", "B ç", "CO_CURSO"]
+    write(tmp_path / "e2014" / "odd é.txt", names, [("x",) * 5])
+    files = fr.discover(spark, str(tmp_path / "e2014"))
+    context = spark.sparkContext
+    context.setJobGroup("headers", "headers")
+    try:
+        found = fr.headers(spark, files)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("headers")) == 1
+    assert all(found[f] == tuple(fr.read_text(spark, f).columns) for f in files) and len(files) == 5
+    assert fr.headers(spark, []) == {}
+
+
+def test_lines_of_other_lengths_are_counted_and_kept(spark, tmp_path):
+    expected = edition(tmp_path / "e2014", 50)
+    file = tmp_path / "e2014" / "b_scores.txt"
+    lines = file.read_text("latin-1").splitlines()
+    lines[4], lines[9] = lines[4] + ";mais;ainda", "só"
+    file.write_bytes(("\n".join(lines) + "\n\n").encode("latin-1"))
+    done = fr.load(spark, {2014: str(tmp_path / "e2014")}, None)
+    assert {(r.pos, r.linha) for r in done.rejects.collect()} == {(3, lines[4]), (8, "só")}
+    per = {r.fragmento.rsplit("/", 1)[1]: (r.situacao, r.linhas, r.linhas_malformadas) for r in done.fragments.collect()}
+    assert per == {"a_ident.txt": ("ok", 50, 0), "b_scores.txt": ("ok", 50, 2), "c_income.txt": ("ok", 50, 0)}
+    line = done.report.first()
+    assert (line.linhas_malformadas, line.alinhado, line.fragmentos_com_erro) == (2, True, 0)
+    rows = {r.pos: r for r in done.rows.collect()}
+    assert (rows[8].NT_GER, rows[8].NO_IES) == (None, expected[8][3]) and rows[3].NT_GER == expected[3][4] and rows[9].NT_GER == expected[9][4]
+
+
+def spoil(file, at):
+    """Checksums that hold up to a byte of the file and not beyond."""
+    import zlib
+
+    raw, per = file.read_bytes(), 512
+    sums = [zlib.crc32(raw[i : i + per]) for i in range(0, len(raw), per)]
+    sums = [c if i * per < at else c ^ 1 for i, c in enumerate(sums)]
+    head = b"crc\0" + per.to_bytes(4, "big")
+    (file.parent / f".{file.name}.crc").write_bytes(head + b"".join(c.to_bytes(4, "big") for c in sums))
+
+
+def test_a_body_that_cannot_be_read_drops_its_fragment(spark, tmp_path):
+    expected = edition(tmp_path / "e2014", 30_000)
+    spoil(tmp_path / "e2014" / "deep" / "c_income.txt", 140_000)
+    folders = {2014: str(tmp_path / "e2014")}
+    with pytest.raises(Exception, match="(?i)checksum|read"):
+        fr.load(spark, folders, None)
+    done = fr.load(spark, folders, None, on_error="skip")
+    per = {r.fragmento.rsplit("/", 1)[1]: (r.situacao, r.linhas) for r in done.fragments.collect()}
+    assert per["c_income.txt"] == ("erro", None) and per["a_ident.txt"] == per["z_other.txt"] == ("ok", 30_000)
+    line = done.report.first()
+    assert (line.situacao, line.fragmentos_com_erro, line.alinhado) == ("ok", 1, True)
+    # The next fragment that offers the column supplies it.
+    assert {r.QE_I05 for r in done.rows.select("QE_I05").distinct().collect()} == {"?"}
+    assert done.rows.count() == len(expected)
+
+
+def test_an_edition_whose_identification_cannot_be_read_is_reported(spark, tmp_path):
+    edition(tmp_path / "e2014", 20)
+    edition(tmp_path / "e2017", 30_000)
+    spoil(tmp_path / "e2017" / "a_ident.txt", 400_000)
+    done = fr.load(spark, {y: str(tmp_path / f"e{y}") for y in (2014, 2017)}, None, on_error="skip")
+    report = {r.ano: (r.situacao, r.fragmentos_com_erro, r.maior_fragmento) for r in done.report.collect()}
+    assert report == {2014: ("ok", 0, 20), 2017: ("ValueError", 1, None)}
+    assert done.rows.count() == 20

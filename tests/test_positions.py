@@ -28,3 +28,12 @@ def test_sorted_rank_is_a_total_order(spark):
     df = spark.range(2000).select((F.col("id") * 7919 % 2003).alias("v")).repartition(5)
     out = sorted_rank(df, ["v"], "place").orderBy("v").collect()
     assert [r.place for r in out] == list(range(2000))
+
+
+def test_pieces_meet_without_a_shuffle(spark, tmp_path):
+    spark.range(20_000).repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "a"))
+    spark.range(15_000).select((F.col("id") * 10).alias("x")).coalesce(1).write.parquet(str(tmp_path / "b"))
+    rows = aligned(spark, [(str(tmp_path / "a"), ["id"]), (str(tmp_path / "b"), ["x"])], "i")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    wrong = rows.filter("i <> id OR (i < 15000 AND x <> 10 * i) OR (i < 15000) <> (x IS NOT NULL)")
+    assert rows.count() == 20_000 and wrong.count() == 0
