@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ from checks.registry import add
 from checks.report_queries import CLASS_REPORT
 from microatlas import config
 from microatlas.operators import evaluate
-from microatlas.runtime import scratch_path
+from microatlas.runtime import scratch_path, settle
 from microatlas.sources import fragments as fr
-from microatlas.sources import tables
+from microatlas.sources import tables, versions
 
 YEARS = (2014, 2017, 2021)
 _EDITION = "case when year(o_orderdate) <= 1996 then 2014 when year(o_orderdate) <= 1999 then 2017 else 2021 end"
@@ -260,6 +262,33 @@ add(
 )
 
 
+def _replaced(spark, sf) -> DataFrame:
+    """Rows by edition of the served table: first written, after a write that fails in its
+    last rows, after a whole one; and of the first version, which readers may still hold."""
+    path = scratch_path(spark, "replaced")
+    rows = star.fact(spark, sf, *_FACT)
+    tables.write_fact(rows.filter("nu_ano < 1996"), path)
+    last = F.when(F.col("nu_ano") < 1998, F.col("co_uf")).otherwise(F.raise_error(F.lit("half way")).cast("int"))
+    seen = [("escrita", settle(tables.read_fact(spark, path), "served"))]
+    try:
+        tables.write_fact(rows.withColumn("co_uf", last), path)
+    except Exception as error:
+        if "half way" not in str(error):
+            raise
+    seen.append(("falha", settle(tables.read_fact(spark, path), "served")))
+    tables.write_fact(rows.filter("nu_ano >= 1996"), path)
+    seen += [("nova", tables.read_fact(spark, path)), ("primeira", versions.read(spark, path, 1))]
+    counted = [r.groupBy("nu_ano").agg(F.count(F.lit(1)).alias("total"), F.sum("l_partkey").alias("soma")).select(F.lit(n).alias("leitura"), "*") for n, r in seen]
+    return reduce(DataFrame.unionByName, counted)
+
+
+add(
+    "snk1_replace_is_whole_or_not_at_all", _replaced,
+    f"""with {star.fact_sql()} select leitura, nu_ano, count(*) as total, cast(sum(l_partkey) as bigint) as soma
+    from fact, (values ('escrita', false), ('falha', false), ('nova', true), ('primeira', false)) v(leitura, later) where (nu_ano >= 1996) = later group by 1, 2""",
+)
+
+
 def _stored_metrics(spark, sf) -> DataFrame:
     f = star.fact(spark, sf, "faixa_nota", "faixa_prevista", "nt_fg", "nt_ce", "nt_ger")
     importances = f.agg(*[F.abs(F.corr(c, "nt_ger")).alias(c) for c in ("nt_fg", "nt_ce")]).unpivot([], ["nt_fg", "nt_ce"], "feature", "valor")

@@ -1,4 +1,8 @@
-"""Table layers: Parquet in, Parquet / CSV / JDBC out."""
+"""Table layers: Parquet in, Parquet / CSV / JDBC out.
+
+The served tables, fact and metrics, are replaced as ``sources.versions`` says: a write that
+fails leaves the last whole table in place.
+"""
 
 from __future__ import annotations
 
@@ -11,17 +15,18 @@ from pyspark.sql import functions as F
 from microatlas import config
 from microatlas.operators.cleaning import rename_existing
 from microatlas.runtime import settle
+from microatlas.sources import versions
 
 ID_BUCKET = 1 << 16
 
 
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
-    """The fact table; filters on the edition prune folders."""
-    return spark.read.parquet(path)
+    """The served fact table; filters on the edition prune folders."""
+    return versions.read(spark, path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).orderBy("id")
+    return versions.read(spark, path).orderBy("id")
 
 
 def with_dense_id(
@@ -83,11 +88,12 @@ def write_fact(
     """
     order = ["nu_ano", *[c for c in (*cluster_by, *spread_by) if c in df.columns]]
     ranged = df.repartitionByRange(*([partitions] if partitions else []), *order)
-    ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("nu_ano").parquet(path)
+    placed = ranged.sortWithinPartitions(*order)
+    versions.replace(df.sparkSession, path, lambda folder: placed.write.partitionBy("nu_ano").parquet(folder))
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    versions.replace(df.sparkSession, path, df.write.parquet)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
