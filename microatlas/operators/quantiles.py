@@ -1,21 +1,48 @@
-"""Exact quantiles that never gather an unbounded set of values in one task.
+"""Exact quantiles by selection on the bits of the values, in a fixed number of passes.
 
-One way at every size: rows are counted per value, the counts are sorted by ranges into
-files, and running totals over the files tell which file holds a wanted rank. Only
-such files are read again, each by itself. Nulls and NaN are missing values;
-infinities are values at the ends.
+A double has an order-preserving whole number of 64 bits. A pass counts rows by the
+next 16 bits, among the values that share the bits found so far, so no count has more than
+65,536 rows per column and wanted rank, whatever the number of rows or of distinct values.
+The running total says which 16 bits hold the rank. After four passes the value is known.
+Nulls and NaN are missing values; infinities are values at the ends.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from microatlas.runtime import scratch_path
+DIGIT = 16  # bits found in a pass
+_ONE = float(1 << 52)
+_LEAST_NORMAL = 2.0**-1022
+
+
+def order_bits(x: Column) -> Column:
+    """The bits of a double as a whole number, negative for negative values: in the order
+    of the values. Both zeros are 0; not for nulls and NaN."""
+    size = F.abs(x)
+    normal = F.when((size >= _LEAST_NORMAL) & (size < math.inf), size).otherwise(1.0)
+    near = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(normal)).cast("int")))
+    # The logarithm may be rounded over a power of two; powers of two are exact.
+    exponent = near + F.when(normal >= F.pow(F.lit(2.0), near + 1), 1).when(normal < F.pow(F.lit(2.0), near), -1).otherwise(0)
+    fraction = ((normal / F.pow(F.lit(2.0), exponent) - 1) * _ONE).cast("bigint")
+    small = F.when(size < _LEAST_NORMAL, size).otherwise(0.0) / 5e-324
+    bits = (
+        F.when(size == math.inf, F.lit(2047 << 52))
+        .when(size < _LEAST_NORMAL, small.cast("bigint"))
+        .otherwise((exponent + 1023).cast("bigint") * (1 << 52) + fraction)
+    )
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+def from_bits(bits: int) -> float:
+    value = struct.unpack("<d", struct.pack("<q", abs(bits)))[0]
+    return -value if bits < 0 else value
 
 
 def exact_quantiles(
@@ -28,37 +55,49 @@ def exact_quantiles(
     ``weight`` names a column with how many equal rows each row stands for.
     """
     spark = df.sparkSession
-    columns = list(wanted)
+    columns = [c for c in wanted if wanted[c]]
+    if not columns:
+        return {c: [] for c in wanted}
     times = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    counts = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns], times.alias("_times"))
-        .unpivot(["_times"], columns, "column", "value")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("_times") > 0))
-        .groupBy("column", "value")
-        .agg(F.sum("_times").alias("n"))
+    rows = (
+        df.select(*[F.col(c).cast("double").alias(c) for c in columns], times.alias("times"))
+        .unpivot(["times"], columns, "column", "value")
+        .filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("times") > 0))
+        .select("column", order_bits(F.col("value")).alias("bits"), "times")
     )
-    path = scratch_path(spark, "value-counts")
-    counts.orderBy("column", "value").write.parquet(path)
-    stored = spark.read.schema(counts.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("file"))
-    # One row per column and file. A value is in one file, so files follow each other.
-    files = stored.groupBy("column", "file").agg(F.sum("n").alias("n"), F.min("value").alias("first"))
-    upto = F.sum("n").over(W.partitionBy("column").orderBy("first"))
-    starts = files.withColumn("before", upto - F.col("n"))
-    totals = {r[0]: r[1] for r in files.groupBy("column").agg(F.sum("n")).collect()}
-    ranks = sorted({(c, r) for c in columns if c in totals for q in wanted[c] for r in _ranks(totals[c], q)})
-    if not ranks:
-        return {c: [None] * len(wanted[c]) for c in columns}
-    asked = spark.createDataFrame(ranks, "column string, rank bigint")
+    # A window holds the counts of one column and prefix: 65,536 rows at most.
+    inside = W.partitionBy("column", "prefix")
+    upto = F.sum("n").over(inside.orderBy("digit"))
+
+    def counted(shift: int, within: DataFrame) -> DataFrame:
+        digit = F.shiftright("bits", shift) if shift == 64 - DIGIT else F.shiftright("bits", shift).bitwiseAND(F.lit((1 << DIGIT) - 1))
+        hist = within.groupBy("column", "prefix", digit.alias("digit")).agg(F.sum("times").alias("n"))
+        return hist.withColumn("before", upto - F.col("n"))
+
     holds = (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))
-    hit = starts.join(asked, "column").filter(holds).select("column", "file", "before").distinct()
-    # A window holds the values of one file.
-    inside = F.sum("n").over(W.partitionBy("column", "file").orderBy("value"))
-    placed = stored.join(hit, ["column", "file"]).withColumn("before", F.col("before") + inside - F.col("n"))
-    found = placed.join(asked, "column").filter(holds).select("column", "rank", "value").collect()
-    at = {(r.column, r.rank): r.value for r in found}
-    return {
-        c: [_interpolate(totals[c], q, c, at) if c in totals else None for q in wanted[c]] for c in columns
-    }
+    shift = 64 - DIGIT
+    asked = spark.createDataFrame([(c, float(q)) for c in columns for q in sorted(set(wanted[c]))], "column string, q double")
+    first = counted(shift, rows.withColumn("prefix", F.lit(0).cast("bigint"))).withColumn("total", F.sum("n").over(inside))
+    at = (F.col("total") - 1) * F.col("q")
+    ranked = first.join(F.broadcast(asked), "column").withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))))
+    # rank of a column -> (bits found, values before them); at most two per quantile
+    found: dict[tuple[str, int], tuple[int, int]] = {}
+    totals: dict[str, int] = {}
+    for r in ranked.filter(holds).select("column", "rank", "digit", "before", "total").collect():
+        found[r["column"], r["rank"]] = (r["digit"], r["before"])
+        totals[r["column"]] = r["total"]
+    while shift and found:
+        shift -= DIGIT
+        state = [(c, rank, prefix, rank - before) for (c, rank), (prefix, before) in found.items()]
+        open_ = spark.createDataFrame(state, "column string, whole_rank bigint, prefix bigint, rank bigint")
+        own = rows.withColumn("prefix", F.shiftright("bits", shift + DIGIT))
+        within = own.join(F.broadcast(open_.select("column", "prefix").distinct()), ["column", "prefix"], "left_semi")
+        hit = counted(shift, within).join(F.broadcast(open_), ["column", "prefix"]).filter(holds)
+        for r in hit.select("column", "whole_rank", "prefix", "digit", "before").collect():
+            key = r["column"], r["whole_rank"]
+            found[key] = ((r["prefix"] << DIGIT) | r["digit"], found[key][1] + r["before"])
+    at_rank = {key: from_bits(bits) for key, (bits, _) in found.items()}
+    return {c: [_interpolate(totals[c], q, c, at_rank) if c in totals else None for q in wanted[c]] for c in wanted}
 
 
 def exact_medians(

@@ -4,7 +4,9 @@ import random
 import numpy as np
 import pytest
 
-from microatlas.operators.quantiles import exact_medians, exact_quantiles
+from pyspark.sql import functions as F
+
+from microatlas.operators.quantiles import exact_medians, exact_quantiles, from_bits, order_bits
 
 QS = [0.0, 0.01, 0.33, 0.5, 0.66, 0.99, 1.0]
 
@@ -57,3 +59,39 @@ def test_weights_stand_for_equal_rows(spark):
 def test_median_takes_the_middle_of_two(spark):
     df = spark.createDataFrame([(1, None), (2, None), (4, None), (9, None)], "a int, b int")
     assert exact_medians(df, ["a", "b"]) == {"a": 3.0, "b": None}
+
+
+def test_order_bits_are_the_bits_of_the_value(spark):
+    import struct
+
+    rng = random.Random(3)
+    values = [0.0, -0.0, 1.0, -1.0, 2.0**-1022, 2.0**-1074, 2.0**-1023, -(2.0**-1060) * 3, 1.7976931348623157e308, math.inf, -math.inf, math.nextafter(2.0**-1022, 0)]
+    values += [s * math.nextafter(2.0**e, d) for e in range(-1074, 1024, 7) for d in (0, math.inf) for s in (1, -1)] + [2.0**e for e in range(-1074, 1024)]
+    values += [struct.unpack("<d", struct.pack("<q", rng.getrandbits(63)))[0] for _ in range(3000)]
+    values = [v for v in values if not math.isnan(v)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", order_bits(F.col("x")).alias("b"))
+    for x, b in df.collect():
+        own = struct.unpack("<q", struct.pack("<d", abs(x)))[0]
+        assert b == (-own if x < 0 else own) and from_bits(b) == x
+
+
+def test_passes_are_as_many_at_any_size(spark):
+    context = spark.sparkContext
+    stages = []
+    for n in (2000, 200_000):
+        df = spark.range(n).selectExpr("rand(5) * 1e9 - 5e8 as x", "cast(id as double) as y")
+        context.setJobGroup(f"quantiles {n}", "quantiles")
+        try:
+            found = exact_quantiles(df, {"x": [0.5], "y": QS})
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        assert np.allclose(found["y"], np.quantile(np.arange(float(n)), QS))
+        stages.append(len(context.statusTracker().getJobIdsForGroup(f"quantiles {n}")))
+    assert stages[1] <= stages[0] + 2
+
+
+def test_quantiles_of_negative_and_tiny_values(spark):
+    values = [-(2.0**-1074) * i for i in range(50)] + [-float(i) for i in range(50)] + [-math.inf]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert exact_quantiles(df, {"x": [0.0, 0.3, 1.0]})["x"] == pytest.approx([-math.inf, np.quantile(values[:-1] + [-1e308], 0.3), 0.0])
+    assert exact_quantiles(df, {"x": []}) == {"x": []} and exact_quantiles(df.limit(0), {"x": [0.5]}) == {"x": [None]}
