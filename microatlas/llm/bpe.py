@@ -20,7 +20,8 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,24 +49,26 @@ class Chunking:
     corpus; where it fills up, more chunks go through the table than need to.
     """
 
-    bits: int = 8
-    least: int = 64
+    bits: int = 9
+    least: int = 128
     most: int = 8192
     filter_bits: int = 27
 
 
+_GEAR = (references(256) >> np.uint64(32)).astype(np.uint32)
+
+
 def cuts(raw: bytes, rule: Chunking = Chunking()) -> list[int]:
     """Where the chunks of a UTF-8 text end. No cut parts a character."""
     b = np.frombuffer(raw, np.uint8)
     n = len(b)
     if n <= rule.least:
         return [n] if n else []
-    table = (references(256) >> np.uint64(32)).astype(np.uint32)
     found: list[np.ndarray] = []
     step = 1 << 20
     for at in range(0, n, step):
         low = max(0, at - 31)
-        h = table[b[low : at + step]]
+        h = _GEAR[b[low : at + step]]
         for s in (1, 2, 4, 8, 16):  # the sum of 32 table entries, each shifted by its age
             h[s:] += h[:-s] << np.uint32(s)
         here = np.flatnonzero(h >> np.uint32(32 - rule.bits) == 0) + low + 1
@@ -74,21 +77,23 @@ def cuts(raw: bytes, rule: Chunking = Chunking()) -> list[int]:
     out: list[int] = []
     last = 0
 
-    def accept(p: int) -> int:
-        while p < n and b[p] & 0xC0 == 0x80:
-            p += 1
-        if p > last:
-            out.append(p)
-        return max(p, last)
-
     for p in [*places.tolist(), n]:
         while p - last > rule.most:
-            last = accept(last + rule.most)
-        if p - last >= rule.least or p == n:
-            last = accept(p)
+            last = _whole(raw, last + rule.most)
+            out.append(last)
+        if p - last >= rule.least or (p == n and p > last):
+            last = _whole(raw, p)
+            out.append(last)
     return out
 
 
+def _whole(raw: bytes, p: int) -> int:
+    """The next place that parts no character."""
+    while p < len(raw) and raw[p] & 0xC0 == 0x80:
+        p += 1
+    return p
+
+
 def chunk_digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
@@ -136,7 +141,9 @@ class Vocabulary:
         for name, i in names.items():
             self.bytes_of[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
         self.shown = [b"%d," % i for i in range(len(self.bytes_of))]
-        self.kind = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
+        self.code = "H" if len(self.bytes_of) <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         space = set(_SPACE.encode())
         self.starts_space = np.array([bool(b) and b[0] in space for b in self.bytes_of])
         self.ends_mark = np.array([bool(b) and 0x21 <= b[-1] <= 0x7E for b in self.bytes_of])
@@ -161,14 +168,50 @@ class Vocabulary:
         return np.flatnonzero(self.ends_mark[ids[:-1]] & self.starts_space[ids[1:]]) + 1
 
 
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+
+
+class Pieces(dict):
+    """Ids, as bytes, of the pieces and words seen, made when one is first asked for.
+
+    Words of common characters are cut as the splitter does, and their pieces go straight to
+    the library's model; other words go through all of the library.
+    """
+
+    _common = re.compile(f"[{_SPACE}\x21-\x7e{_LETTER}\u2010-\u2027]*")
+    cut = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.tokenize = vocabulary, vocabulary.library.model.tokenize
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+        self.special = vocabulary.special
+
+    def plain(self, text: str) -> bool:
+        """Whether the splitter is known on all of the text."""
+        return self._common.fullmatch(text) is not None and not any(x in text for x in self.special)
+
+    def __missing__(self, word: str) -> bytes:
+        if self.plain(word):
+            pieces = self.cut.findall(word)
+            if len(pieces) > 1:
+                return b"".join([self[x] for x in pieces])
+            ids = array(self.vocabulary.code, [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        else:
+            ids = self.vocabulary.encode([word])[0].tobytes()
+        if len(word) <= Encoder.LONG:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts, as the library gives them, with a memory of words.
+    """Ids of whole texts, as the library gives them, with a memory of pieces and words.
 
-    Words are encoded one by one, see the module. Texts with white space beyond ASCII, or
-    what some call white space, go to the library whole.
+    Texts of common characters are cut into the splitter's pieces, others into words, see the
+    module. Texts with white space beyond ASCII, or what some call white space, go to the
+    library whole.
     """
 
-    KNOWN = 400_000  # remembered words: about 60 MB
+    KNOWN = 600_000  # remembered pieces: about 80 MB
     LONG = 64
     PART = 1 << 20
 
@@ -177,10 +220,10 @@ class Encoder:
     _odd = re.compile(f"[{_ODD_SPACE}]")
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
-        self.known: dict[str, bytes] = {}
+        self.vocabulary, self.known = vocabulary, Pieces(vocabulary)
 
     def _parts(self, text: str) -> Iterator[str]:
+        """The text cut between words into parts that bound the memory."""
         at = 0
         while len(text) - at > self.PART:
             found = self._end.search(text, at + self.PART)
@@ -190,42 +233,17 @@ class Encoder:
             at = found.end()
         yield text[at:] if at else text
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        words = [self._word.findall(t) for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        for word, ids in zip(new, self.vocabulary.encode(new)):
-            self.known[word] = ids.tobytes()
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        for word in new:
-            if len(word) > self.LONG:
-                del self.known[word]
+    def _ids(self, text: str) -> np.ndarray:
+        if self._odd.search(text):
+            return self.vocabulary.encode([text])[0]
+        split = self.known.cut if self.known.plain(text) else self._word
+        raw = b"".join([b"".join(map(self.known.__getitem__, split.findall(part))) for part in self._parts(text)])
         if len(self.known) > self.KNOWN:
             self.known.clear()
-        return out
+        return np.frombuffer(raw, self.vocabulary.kind)
 
     def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        held: list[tuple[int, str]] = []
-        size = 0
-        found: dict[int, list[bytes]] = {}
-
-        def flush() -> None:
-            for (i, _), raw in zip(held, self._plain([p for _, p in held])):
-                found.setdefault(i, []).append(raw)
-            held.clear()
-
-        for i, text in enumerate(texts):
-            if self._odd.search(text):
-                out[i] = self.vocabulary.encode([text])[0]
-                continue
-            for part in self._parts(text):
-                held.append((i, part))
-                size += len(part)
-                if size >= self.PART:
-                    flush()
-                    size = 0
-        flush()
-        return [np.frombuffer(b"".join(found[i]), self.vocabulary.kind) if o is None else o for i, o in enumerate(out)]
+        return [self._ids(text) for text in texts]
 
 
 # --- chunk joins
@@ -362,7 +380,25 @@ class _Filter:
         return out
 
 
-def _ids_batch(keys: list[bytes], ids: list[np.ndarray]) -> pa.RecordBatch:
+#: What is made of texts' digests and ids, and its schema.
+Emit = Callable[[Vocabulary, list[bytes], list[np.ndarray]], pa.RecordBatch]
+_IDS = "digest binary, ids array<int>"
+_SUMS = "digest binary, n_tokens bigint, ids_sha256 binary, decoded_sha256 binary"
+
+
+def _sums_batch(vocabulary: Vocabulary, keys: list[bytes], ids: list[np.ndarray]) -> pa.RecordBatch:
+    """Number of ids, and the digests of the decimal ids joined by commas and of the text they decode to."""
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(keys, pa.binary()), pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(vocabulary.listed(x)).digest() for x in ids], pa.binary()),
+            pa.array([hashlib.sha256(vocabulary.decode(x).encode()).digest() for x in ids], pa.binary()),
+        ],
+        names=["digest", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
+
+
+def _ids_batch(_: Vocabulary, keys: list[bytes], ids: list[np.ndarray]) -> pa.RecordBatch:
     ends = np.cumsum([0, *[len(x) for x in ids]]).astype(np.int32)
     values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, values)], names=["digest", "ids"])
@@ -377,22 +413,21 @@ def _by_size(keys: list[bytes], bodies: list, most: int = 1 << 20) -> Iterator[t
             at, size = i + 1, 0
 
 
-_IDS = "digest binary, ids array<int>"
-
-
-def encode_contents(texts: DataFrame, tokenizer: str, rule: Chunking = Chunking()) -> DataFrame:
-    """``digest`` and ``ids`` of the distinct texts among (``digest``, ``text``).
+def encode_contents(texts: DataFrame, tokenizer: str, rule: Chunking = Chunking(), emit: Emit = _ids_batch, schema: str = _IDS) -> DataFrame:
+    """``digest`` and ``ids`` (or what ``emit`` makes of them) of the distinct texts among
+    (``digest``, ``text``).
 
     A text that several tasks read may be there more than once, with equal ids.
     """
     packed = shared_filter(texts, rule)
 
     def unshared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, hit = Encoder(Vocabulary(tokenizer)), _Filter(packed, rule)
+        vocabulary, hit = Vocabulary(tokenizer), _Filter(packed, rule)
+        encode = Encoder(vocabulary)
         for keys, bodies in _first_seen(batches):
             own = [i for i, body in enumerate(bodies) if not any(hit(chunks_of(body.encode(), rule)[1]))]
             for some, parts in _by_size([keys[i] for i in own], [bodies[i] for i in own]):
-                yield _ids_batch(some, encode(parts))
+                yield emit(vocabulary, some, encode(parts))
 
     def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit, squeeze = _Filter(packed, rule), zstandard.ZstdCompressor(level=3)
@@ -456,7 +491,7 @@ def encode_contents(texts: DataFrame, tokenizer: str, rule: Chunking = Chunking(
                 [np.frombuffer(own[chunk_digest(p)], vocabulary.kind) if m else next(made) for p, m in zip(parts, marked)]
                 for parts, marked, own in layouts
             ]
-            return _ids_batch([g[0] for g in group], join_chunks(whole, vocabulary))
+            return emit(vocabulary, [g[0] for g in group], join_chunks(whole, vocabulary))
 
         group: list[tuple] = []
         size, last = 0, None
@@ -475,7 +510,7 @@ def encode_contents(texts: DataFrame, tokenizer: str, rule: Chunking = Chunking(
         if group:
             yield finished(group)
 
-    return texts.mapInArrow(unshared, _IDS).unionByName(met.mapInArrow(repair, _IDS))
+    return texts.mapInArrow(unshared, schema).unionByName(met.mapInArrow(repair, schema))
 
 
 def _split(raw: bytes, ends: bytes) -> list[bytes]:
@@ -503,26 +538,6 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: list[str] | No
     return source.mapInArrow(run, schema).select(*out_of("whole_row", kept), "decoded")
 
 
-def digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """For (``digest``, ``ids``): ``n_tokens``, ``ids_sha256`` of the decimal ids joined by
-    commas, and ``decoded_sha256`` of the text they decode to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(tokenizer)
-        for batch in batches:
-            ids = [x.values.to_numpy() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(vocabulary.listed(x)).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(vocabulary.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                ],
-                names=["digest", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encoded.mapInArrow(run, "digest binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
-
 def _each(docs: DataFrame, found: DataFrame, text: str, keep: list[str] | None, new: list[str]) -> DataFrame:
     kept = [c for c in (keep if keep is not None else others(docs, [text])) if c not in new]
     body = F.coalesce(col(text).cast("string"), F.lit("")).cast("binary")
@@ -550,5 +565,7 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[s
 
     As ``encode``; only digests, not ids, meet the rows.
     """
-    found = digests(encode_contents(contents(docs, text), tokenizer, rule), tokenizer)
-    return _each(docs, found, text, keep, ["n_tokens", "ids_sha256", "decoded_sha256"])
+    sums = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    found = _each(docs, encode_contents(contents(docs, text), tokenizer, rule, _sums_batch, _SUMS), text, keep, sums)
+    named = {c: F.lower(F.hex(c)) if c != "n_tokens" else F.col(c) for c in sums}
+    return found.select(*[col(c) for c in found.columns if c not in named], *[e.alias(c) for c, e in named.items()])
