@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from checks import star
 from checks.registry import ORACLE, add, add_in_order, in_place, on_fact
 from microatlas.operators import evaluate
-from microatlas.plans import endpoints
+from microatlas.plans import cube, endpoints
 from microatlas.plans import reports as r
+from microatlas.runtime import scratch_path
 
 PUB = star.PATTERN
 REAL, PROJ = star.REAL_YEARS, star.PROJECTED_YEARS
@@ -594,3 +595,42 @@ for _bundle, _columns, _reports in (
             return in_place(rows) if placed else rows
 
         add(f"{_single.split('_')[0]}_{_report}_of_bundle", _from_bundle, ORACLE[_single])
+
+# --- bundles from the stored cube: the single reports, also under filters, without reading the rows ---
+_CUBE_COLUMNS = (
+    "nu_ano co_grupo curso_nome co_regiao regiao_nome co_uf co_municipio tipo_ies tipo_ensino faixa_nota qe_renda renda_nome qe_escola_em escola_em_nome "
+    "qe_trabalha qe_horas_estudo qe_financiamento qe_estado_civil nt_ger nt_fg nt_ce"
+)
+_CHOSEN = {"ano": "1996", "regiao": "2"}
+_stored_cubes: dict[tuple[str, str], str] = {}
+
+
+def _stored_cube(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stored_cubes:
+        path = scratch_path(spark, "cube")
+        cube.write(star.fact(spark, sf, *[c for c in _CUBE_COLUMNS.split() if c in star.COLUMNS]), path)
+        _stored_cubes[key] = path
+    return cube.read(spark, _stored_cubes[key])
+
+
+for _bundle, _reports in (
+    (lambda stored, chosen: cube.statistics(stored, chosen, 6),
+     {"total_estudantes": "r01_total_students", "distribuicao_faixa": "r03_by_band", "distribuicao_ano": "r04_by_year",
+                      "distribuicao_curso": "r05_by_course", "distribuicao_regiao": "r06_by_region", "distribuicao_tipo_ies": "r07_by_institution_type"}),
+    (lambda stored, chosen: endpoints.socioeconomico(None, chosen, stored),
+     {"renda": "r08_income", "escola": "r09_school", "trabalha": "r10_works", "estudo": "r11_study_hours", "tipo_ies": "r12_institution_type",
+                        "evolucao_renda": "r13_income_over_time", "financiamento": "r14_funding", "estado_civil": "r15_marital_status",
+                        "nt_por_tipo": "r16_scores_by_teaching_type"}),
+):
+    for _report, _single in _reports.items():
+        def _from_cube(spark, sf, bundle=_bundle, report=_report):
+            return bundle(_stored_cube(spark, sf), None)[report]
+
+        def _from_filtered_cube(spark, sf, bundle=_bundle, report=_report):
+            return bundle(_stored_cube(spark, sf), _CHOSEN)[report]
+
+        _start = f"WITH {star.fact_sql()}"
+        _rest = ORACLE[_single].removeprefix(_start).replace(" from fact", " from chosen")
+        add(f"{_single}_of_cube", _from_cube, ORACLE[_single])
+        add(f"{_single}_of_filtered_cube", _from_filtered_cube, f"{_start}, chosen as (select * from fact where nu_ano = 1996 and co_regiao = 2) {_rest}")

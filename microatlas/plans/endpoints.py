@@ -1,7 +1,8 @@
 """Reports bundled the way the dashboard asks for them: name -> DataFrame.
 
-``filters`` are the six dashboard filters. The statistics and the socioeconomic bundle
-read the rows at once, when asked for; every other report when a caller acts on it.
+``filters`` are the six dashboard filters. The statistics and the socioeconomic bundle come
+from the stored cube if it is given, and then read no rows; else they read the rows at once,
+when asked for. Every other report reads when a caller acts on it.
 """
 
 from __future__ import annotations
@@ -13,19 +14,24 @@ from pyspark.sql import DataFrame
 from microatlas import config
 from microatlas.operators import evaluate
 from microatlas.operators.filters import require
+from microatlas.plans import cube
 from microatlas.plans import reports as r
 from microatlas.runtime import settle
 
 Bundle = dict[str, DataFrame]
 
 
-def estatisticas(fact: DataFrame, filters: r.Filters = None) -> Bundle:
-    """All statistics, cut from one settled pass over the rows."""
+def estatisticas(fact: DataFrame | None, filters: r.Filters = None, stored: DataFrame | None = None) -> Bundle:
+    """All statistics, from the stored cube or cut from one settled pass over the rows."""
+    if stored is not None:
+        return cube.statistics(stored, filters)
     return r.statistics_of_cube(settle(r.statistics_cube(fact, filters), "statistics"))
 
 
-def socioeconomico(fact: DataFrame, filters: r.Filters = None) -> Bundle:
-    """All socioeconomic reports, cut from one settled pass over the rows."""
+def socioeconomico(fact: DataFrame | None, filters: r.Filters = None, stored: DataFrame | None = None) -> Bundle:
+    """All socioeconomic reports, from the stored cube or cut from one settled pass over the rows."""
+    if stored is not None:
+        return cube.socioeconomic(stored, filters)
     return r.socioeconomic_of_cells(settle(r.socioeconomic_in_one_scan(fact, filters), "socioeconomic"))
 
 

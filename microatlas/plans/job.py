@@ -6,7 +6,7 @@ can be run again alone and a lost executor costs recomputed tasks only.
     extract    fragments            -> <base>/raw, <base>/load_report, <base>/fragment_report, <base>/rejects
     transform  raw                  -> <base>/clean, <base>/profile
     ml         clean                -> <base>/scored, <base>/metrics, <base>/models
-    load       scored               -> <base>/fact
+    load       scored               -> <base>/fact, <base>/cube
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from microatlas.functions.columns import label
 from microatlas.operators import evaluate, models
 from microatlas.operators.cleaning import clean, drop_control
 from microatlas.operators.scores import encode_categories, normalise_within, quantile_bands
-from microatlas.plans import reports
+from microatlas.plans import cube, reports
 from microatlas.runtime import owned_scratch, settle
 from microatlas.sources import fragments, tables
 
@@ -141,6 +141,7 @@ def load(spark: SparkSession, s: Settings) -> None:
     rows = spark.read.parquet(s.path("scored"))
     serving = rows.withColumns({c.removesuffix("_code"): F.col(c) for c in _coded(rows)})
     tables.write_fact(tables.fact_layout(serving), s.path("fact"))
+    cube.write(tables.read_fact(spark, s.path("fact")), s.path("cube"))
 
 
 def run(spark: SparkSession, settings: Settings) -> None:

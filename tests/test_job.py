@@ -130,6 +130,22 @@ def test_bundles_equal_separate_reports(spark, done):
         assert len(a) == len(b) and all(x == pytest.approx(y) if isinstance(x, float) else x == y for p, q in zip(a, b) for x, y in zip(p, q)), name
 
 
+@pytest.mark.parametrize("chosen", [None, {"ano": "2017"}, {"regiao": "3", "curso": "72"}, {"tipo": "Bacharelado", "uf": "35", "municipio": "3535", "ano": "2021"}, {"uf": "11"}])
+def test_the_stored_cube_answers_as_the_rows_do(spark, done, chosen):
+    from microatlas.plans import cube
+
+    fact, stored = read_fact(spark, done.path("fact")), cube.read(spark, done.path("cube"))
+    from_rows = endpoints.socioeconomico(fact, chosen) | endpoints.estatisticas(fact, chosen)
+    from_cube = endpoints.socioeconomico(None, chosen, stored) | endpoints.estatisticas(None, chosen, stored)
+    assert set(from_rows) == set(from_cube)
+    for name, rows in from_rows.items():
+        plan = from_cube[name]._jdf.queryExecution().executedPlan().toString()
+        assert "/fact" not in plan and "corte" in plan.split("PartitionFilters: [")[1].split("]")[0], name
+        assert from_cube[name].dtypes == rows.dtypes, name
+        a, b = from_cube[name].collect(), rows.collect()
+        assert len(a) == len(b) and all(x == pytest.approx(y) if isinstance(x, float) else x == y for p, q in zip(a, b) for x, y in zip(p, q)), name
+
+
 def test_a_bundle_reads_the_rows_once(spark, done):
     from microatlas.plans import reports
 
