@@ -29,11 +29,16 @@ CHUNK = 1 << 18
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_class`` bounds the expected sample of each language; ``calibration`` is the
-    share of it held for temperature and rejection; ``max_error`` the share of accepted
-    calibration texts that may be wrong."""
+    """``per_class`` bounds the expected sample of each language, ``max_texts`` that of all;
+    a sampled text is learned from by its ``max_features`` commonest n-grams. More than
+    ``max_classes`` languages are an error, as none may be left out unseen. ``calibration`` is
+    the share of the sample held for temperature and rejection; ``max_error`` the share of
+    accepted calibration texts that may be wrong."""
 
     per_class: int = 400
+    max_texts: int = 20_000
+    max_features: int = 4096
+    max_classes: int = 1000
     calibration: float = 0.25
     orders: tuple[int, ...] = (1, 2, 3)
     bucket_bits: int = 15
@@ -147,21 +152,25 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, str, bool]], settings: Set
     return model
 
 
-def sample(docs: DataFrame, text: str, label: str, learn: Column, settings: Settings, id_column: str) -> list[tuple]:
-    """Hashed features of a sample of labelled rows, the same for the same rows.
+def sample(docs: DataFrame, text: str, label: str, learn: Column, settings: Settings) -> list[tuple]:
+    """Hashed features of a sample of labelled texts, the same for the same texts.
 
-    Rows are taken by a hash of id and text, at a rate that gives ``per_class`` of each language;
-    at most twice as many in all reach the driver, hashed, in the order of the hash.
+    Texts are taken by their hash, at a rate that gives each language its share; copies of
+    a text count once. At most twice as many as expected reach the driver, in the order of
+    the hash, with at most ``max_features`` features each: 1.3 GB at the very most.
     """
+    body = col(text).cast("string")
     usable = docs.filter(learn & col(text).isNotNull() & col(label).isNotNull()).select(
-        col(text).cast("string").alias("text"), col(label).cast("string").alias("label"),
-        F.shiftrightunsigned(F.xxhash64(col(id_column).cast("string"), F.length(col(text).cast("string"))), 11).alias("place"),
-    )
-    counts = {r[0]: r[1] for r in usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1000).collect()}
+        body.alias("text"), col(label).cast("string").alias("label"), F.shiftrightunsigned(F.xxhash64(body), 11).alias("place")
+    )
+    counts = {r[0]: r[1] for r in usable.groupBy("label").count().orderBy("label").limit(settings.max_classes + 1).collect()}
+    if len(counts) > settings.max_classes:
+        raise ValueError(f"more than {settings.max_classes} languages: raise max_classes")
     if not counts:
         return []
-    bound = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(int(min(1.0, settings.per_class / n) * (1 << 53))))])
-    taken = usable.filter(F.col("place") < bound[F.col("label")])
+    each = max(1, min(settings.per_class, settings.max_texts // len(counts)))
+    bound = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(int(min(1.0, each / n) * (1 << 53))))])
+    taken = usable.filter(F.col("place") < bound[F.col("label")]).groupBy("place", "label").agg(F.min("text").alias("text"))
     fields = [T.StructField("buckets", T.BinaryType()), T.StructField("times", T.BinaryType())]
 
     def compute(texts, subwords):
@@ -171,11 +180,13 @@ def sample(docs: DataFrame, text: str, label: str, learn: Column, settings: Sett
             for buckets in subwords(t):
                 total += np.bincount(buckets, minlength=len(total))
             used = np.flatnonzero(total)
+            if len(used) > settings.max_features:
+                used = np.sort(used[np.argsort(-total[used], kind="stable")[: settings.max_features]])
             out.append((used.astype(np.int32).tobytes(), total[used].astype(np.int32).tobytes()))
         return [b for b, _ in out], [n for _, n in out]
 
     hashed = by_text(taken, "text", fields, compute, ["label", "place"], lambda: Subwords(settings))
-    rows = hashed.orderBy("place", "label").limit(2 * settings.per_class * len(counts)).collect()
+    rows = hashed.orderBy("place", "label").limit(2 * each * len(counts)).collect()
     found = []
     for r in sorted(rows, key=lambda r: (r.place, r.label)):
         times = np.frombuffer(r.times, np.int32).astype(np.float64)
@@ -190,8 +201,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
     The whole text is read. Null texts and those without a letter are ``und`` with score
     0, as is everything if the model has no class; ``accepted`` is false there and where
-    the score is under the calibrated threshold. Repeated rows get the same result; an
-    empty table gives none. Input columns named like a result are replaced.
+    the score is under the calibrated threshold. Of equal scores the first language in code
+    order is taken. Repeated rows get the same result; an empty table gives none. Input columns named like a result are replaced.
     """
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
 
@@ -213,8 +224,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
 
 def identify(
-    docs: DataFrame, held_out: Column, text: str = "text", label: str = "lang", id_column: str = "doc_id",
-    keep: list[str] | None = None, settings: Settings = Settings(),
+    docs: DataFrame, held_out: Column, text: str = "text", label: str = "lang", keep: list[str] | None = None,
+    settings: Settings = Settings(),
 ) -> DataFrame:
     """Learn from the labelled rows that are not held out, and predict all rows."""
-    return predict(docs, train(sample(docs, text, label, ~held_out, settings, id_column), settings), text, keep)
+    return predict(docs, train(sample(docs, text, label, ~held_out, settings), settings), text, keep)

@@ -41,7 +41,8 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
+    cache = token_counts.session_cache(spark)
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), cache, keep=["doc_id"])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ content is encoded once and its count is appended to the cache.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,13 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from microatlas.llm.common import col, in_one, others, out_of
-from microatlas.runtime import scratch_path, settle
+from microatlas.runtime import scratch_path, scratch_root, settle
 
 #: Digests a task remembers to leave out what it has already sent: about 100 bytes each.
 REMEMBERED = 200_000
 PER_CALL = 64
 
 
+def session_cache(spark: SparkSession) -> str:
+    """A cache in the shared folder that all counts of an application use."""
+    return os.path.join(scratch_root(spark), f"microatlas-{spark.sparkContext.applicationId}", "token-counts")
+
+
 def version(tokenizer: str) -> str:
     """The digest of the tokenizer's file."""
     with open(tokenizer, "rb") as file:

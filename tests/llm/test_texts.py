@@ -181,3 +181,65 @@ def test_language_rejection_is_calibrated():
     wrong = np.array(["ab"[i] for i in scores.argmax(1)]) != np.array([s[2] for s in held])
     assert accepted.sum() > 60 and wrong[accepted].mean() <= settings.max_error
     assert 0 < model.temperature and math.isfinite(model.threshold)
+
+
+def test_ids_do_not_steer_the_language_model(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    marked = docs.withColumn("held", held)
+    moved = marked.withColumn("doc_id", F.col("doc_id") + 1_000_000).repartition(3)
+    a, b = (sorted(tuple(r) for r in language_id.identify(d, F.col("held"), keep=["text"]).collect()) for d in (marked, moved))
+    assert a == b
+
+
+def test_copies_and_bounds_of_the_language_sample(spark):
+    rows = [("one two three", "en")] * 300 + [(f"un deux trois {i} " + "abc xyz " * i, "fr") for i in range(60)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    settings = language_id.Settings(per_class=40, max_texts=50, max_features=6)
+    found = language_id.sample(df, "text", "lang", F.lit(True), settings)
+    assert sum(s[2] == "en" for s in found) <= 1 and 1 <= sum(s[2] == "fr" for s in found) <= 50
+    assert all(len(s[0]) <= 6 for s in found)
+    with pytest.raises(ValueError, match="max_classes"):
+        language_id.sample(df, "text", "lang", F.lit(True), language_id.Settings(max_classes=1))
+
+
+def test_features_scores_and_calibration_equal_a_plain_version(spark, sf):
+    """Table, softmax, temperature and threshold against loops over the trained weights."""
+    settings = language_id.Settings(per_class=60, epochs=2)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = language_id.sample(docs, "text", "lang", F.lit(True), settings)
+    model = language_id.train(found, settings)
+    subwords = language_id.Subwords(settings)
+    for text in ("Der schnelle Fuchs 12 über", "a", "", "12 !", None):
+        buckets = [int(b) for part in subwords(text) for b in part]
+        logits = model.logits(text, subwords)
+        if not buckets:
+            assert logits is None
+            continue
+        plain = [sum(float(model.table[b][k]) for b in buckets) / len(buckets) + float(model.bias[k]) for k in range(len(model.classes))]
+        assert np.allclose(logits, plain)
+    held = [s for s in found if s[3]]
+    logits = [(s[1] @ model.table[s[0]] + model.bias, model.classes.index(s[2])) for s in held]
+
+    def loss(t):
+        return -sum(np.log(max(np.exp(x[y] / t - np.logaddexp.reduce(x / t)), 1e-12)) for x, y in logits) / len(logits)
+
+    assert loss(model.temperature) <= min(loss(t) for t in np.geomspace(0.05, 20, 60)) + 1e-9
+    scored = [(language_id._softmax(x / model.temperature), y) for x, y in logits]
+    taken = [p.argmax() != y for p, y in scored if p.max() >= model.threshold]
+    assert np.mean(taken) <= settings.max_error
+
+
+def test_a_second_count_in_a_session_encodes_nothing(spark, sf, monkeypatch):
+    from microatlas.llm.queries import op3_token_counts
+
+    first = sorted(tuple(r) for r in op3_token_counts(spark, sf).collect())
+    cache = spark.read.parquet(token_counts.session_cache(spark))
+    stored = cache.count()
+
+    def never(tokenizer):
+        raise AssertionError("a stored text was encoded")
+
+    monkeypatch.setattr(token_counts, "counter", lambda tokenizer: lambda texts: never(tokenizer) if texts else [])
+    assert sorted(tuple(r) for r in op3_token_counts(spark, sf).collect()) == first
+    assert spark.read.parquet(token_counts.session_cache(spark)).count() == stored > 0
