@@ -14,7 +14,7 @@ from microatlas import config
 from microatlas.operators import evaluate
 from microatlas.runtime import scratch_path, settle
 from microatlas.sources import fragments as fr
-from microatlas.sources import tables, versions
+from microatlas.sources import ordered, tables, versions
 
 YEARS = (2014, 2017, 2021)
 _EDITION = "case when year(o_orderdate) <= 1996 then 2014 when year(o_orderdate) <= 1999 then 2017 else 2021 end"
@@ -350,3 +350,18 @@ add(
     f"""with {_NUMBERED}, k as (select * from o where grupo <> '9999') select pos, cast(edition as varchar) as NU_ANO, 'Instituição ' || o_orderkey as NO_IES,
     row_number() over (order by edition, pos) - 1 as id from k""",
 )
+
+
+def _pages(spark, sf) -> DataFrame:
+    """The first page and a later one of the customers in the order of their names."""
+    path = scratch_path(spark, "ordered")
+    rows = star.table(spark, sf, "customer").select(F.col("c_name").alias("nome"), "c_custkey", "c_mktsegment")
+    ordered.write_ordered(rows, path, [F.collate("nome", "UNICODE"), "c_custkey"], rows_per_file=400)
+    return ordered.read_page(spark, path, 0, 50).unionByName(ordered.read_page(spark, path, 380, 50))
+
+
+add(
+    "srt5_pages_in_serving_order", _pages,
+    """select nome, c_custkey, c_mktsegment, posicao from (select c_name as nome, c_custkey, c_mktsegment, row_number() over (order by c_name, c_custkey) - 1 as posicao from customer)
+    where posicao < 50 or posicao between 380 and 429""",
+)

@@ -56,17 +56,18 @@ def current(spark: SparkSession, path: str) -> str:
     return versions[-1][1] if versions else path
 
 
-def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+def replace(spark: SparkSession, path: str, write: Callable[[str], None], last: str = "") -> str:
     """Write a new version with ``write(folder)`` and publish it; returns the folder.
 
-    Whatever ``write`` raises comes through, and the table stays as it was.
+    Whatever ``write`` raises comes through, and the table stays as it was. ``last`` is the
+    subfolder that is written last, if the version has several.
     """
     versions = published(spark, path)
     number = versions[-1][0] + 1 if versions else 1
     folder = f"version-{number:08d}-{uuid.uuid4().hex}"
     write(f"{path.rstrip('/')}/{folder}")
     files = _files(spark, path)
-    if not files.exists(_path(spark, path, folder, "_SUCCESS")):
+    if not files.exists(_path(spark, path, folder, *([last] if last else []), "_SUCCESS")):
         raise RuntimeError(f"{folder} was not committed")
     _publish(spark, path, number, folder)
     return f"{path.rstrip('/')}/{folder}"
