@@ -92,6 +92,19 @@ def _bands(blocks: int) -> list[tuple[int, int]]:
     return [(sum(widths[i + 1 :]), w) for i, w in enumerate(widths)]
 
 
+def blocks_for(fingerprints: int, radius: int, crowd: int = 64, most: int = 12) -> int:
+    """How many bands: as few as let a key be shared by about ``crowd`` fingerprints.
+
+    The links are the same with any number above ``radius``. More bands make longer keys but
+    more of them: 15 keys of 21 bits for 6 bands and 4 bits, 70 of 32 for 8.
+    """
+    for blocks in range(radius + 2, most + 1):
+        bits = sum(sorted(width for _, width in _bands(blocks))[: blocks - radius])
+        if fingerprints >> bits <= crowd:
+            return blocks
+    return max(most, radius + 1)
+
+
 def candidates(table: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
     """Rows dealt to the keys (and tiles of a key) under which they are compared.
 
@@ -156,16 +169,18 @@ def _links_of(fp: np.ndarray, key: np.ndarray, pivot: np.ndarray, radius: int):
     return found[0] if found else (rows, rows)
 
 
-def links(fingerprints: DataFrame, radius: int = 4, pivots: int = 16, blocks: int = 6, tile: int = 4096) -> DataFrame:
+def links(fingerprints: DataFrame, radius: int = 4, pivots: int = 16, blocks: int | None = None, tile: int = 4096) -> DataFrame:
     """Links (``a``, ``b``) between distinct fingerprints ``fp`` that connect just what
     pairs within ``radius`` bits connect.
 
     Of a clique only a star is emitted: at most as many rows as there are fingerprints
-    under a key.
+    under a key. Without ``blocks`` the number of bands follows that of the fingerprints.
     """
+    table = settle(pivot_table(fingerprints.select("fp").distinct(), pivots), "pivot-table")
+    blocks = blocks_for(table.count(), radius) if blocks is None else blocks
     if blocks <= radius:
         raise ValueError("there must be more bands than differing bits")
-    dealt = candidates(settle(pivot_table(fingerprints.select("fp").distinct(), pivots), "pivot-table"), radius, blocks, tile)
+    dealt = candidates(table, radius, blocks, tile)
     sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "pivot", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

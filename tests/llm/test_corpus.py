@@ -116,6 +116,19 @@ def test_simhash_links_equal_all_pairs(spark, tile):
     )
 
 
+def test_bands_follow_the_fingerprints_and_links_stay(spark):
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**9, 10**10, 10**12)] == [6, 6, 7, 8, 9]
+    for blocks in range(6, 13):  # keys never part a pair within the radius
+        assert sum(w for _, w in simhash._bands(blocks)) == 64
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(6)]]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
+    found = [{(r.node, r.root) for r in common.components(simhash.links(df, blocks=b)).collect()} for b in (None, 7, 8)]
+    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(fps) - len(set(closed(len(fps), pairs)))
+
+
 # --- embeddings
 
 
