@@ -231,15 +231,18 @@ def test_features_scores_and_calibration_equal_a_plain_version(spark, sf):
 
 
 def test_a_second_count_in_a_session_encodes_nothing(spark, sf, monkeypatch):
-    from microatlas.llm.queries import op3_token_counts
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tokenizer, cache = tokenizer_path("piece_bpe_32k.model"), token_counts.session_cache(spark)
+
+    def counted():
+        return sorted(tuple(r) for r in token_counts.count_tokens(docs, tokenizer, cache, keep=["doc_id"]).collect())
 
-    first = sorted(tuple(r) for r in op3_token_counts(spark, sf).collect())
-    cache = spark.read.parquet(token_counts.session_cache(spark))
-    stored = cache.count()
+    first = counted()
+    stored = spark.read.parquet(cache).count()
 
-    def never(tokenizer):
+    def never(texts):
         raise AssertionError("a stored text was encoded")
 
-    monkeypatch.setattr(token_counts, "counter", lambda tokenizer: lambda texts: never(tokenizer) if texts else [])
-    assert sorted(tuple(r) for r in op3_token_counts(spark, sf).collect()) == first
-    assert spark.read.parquet(token_counts.session_cache(spark)).count() == stored > 0
+    monkeypatch.setattr(token_counts, "counter", lambda tokenizer: never)
+    assert counted() == first
+    assert spark.read.parquet(cache).count() == stored > 0
