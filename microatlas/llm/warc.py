@@ -1,7 +1,8 @@
 """WARC archives written by a deterministic sharded writer, and read back.
 
-Records are dealt to shards by ranges of their id. The ranges come from exact byte
-histograms, so the same records always make the same files. A shard's records are
+Records are dealt to shards by ranges of a key of id, digest and address. The ranges are cut
+at equal steps of the bytes summed in the order of that key, so the same records always make
+the same files and no id is too frequent to be split. A shard's records are
 sorted, and each file is rolled when its compressed size is reached. Headers and digests are
 made anew from the records. A file is written under a temporary name and moved to its
 own when complete; the manifest, committed by Spark, lists the files that count. A
@@ -14,6 +15,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from microatlas.llm.common import col
+from microatlas.llm.sharding import with_prefix_sums
 from microatlas.runtime import scratch_path, settle
 
 #: Compressed bytes read by a task, where there are enough files for all cores.
@@ -32,11 +35,14 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass(frozen=True)
 class Settings:
-    """``shard_bytes``: payload bytes dealt to a shard; ``roll_bytes``: compressed size
-    at which a file ends; ``min_payload``: payloads from this size on are written once;
-    ``date``: the date of all records, fixed so that reruns give the same bytes."""
+    """``shard_bytes``: payload bytes dealt to a shard; ``max_shards``: shards grow instead
+    of becoming more, which bounds the table of their first keys (37 bytes each);
+    ``roll_bytes``: compressed size at which a file ends; ``min_payload``: payloads from this
+    size on are written once; ``date``: the date of all records, fixed so that reruns give the
+    same bytes."""
 
     shard_bytes: int = 32 << 20
+    max_shards: int = 32_768
     roll_bytes: int = 16 << 20
     min_payload: int = 0
     level: int = 6
@@ -92,79 +98,62 @@ def record(page, url, payload: bytes, digest: str, first: tuple | None, date: st
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-@dataclass(frozen=True)
-class Ranges:
-    """Shards of the ids: rows (``bin``, ``low``, ``high``, ``shard``), where ``bin`` numbers
-    equal parts of the range of ids from ``origin`` on."""
+def _eight_bytes(number: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(number), 16, "0"))
+
 
-    table: DataFrame
-    origin: int
-    width: int
-    shards: int
+def place_key(page: Column, digest: Column, url: Column) -> Column:
+    """37 bytes in the order of the id, null first, then of the digest; a hash of the address
+    tells apart what is left."""
+    numbered = F.concat(F.unhex(F.lit("01")), _eight_bytes(page.bitwiseXOR(F.lit(-(1 << 63)))))
+    return F.concat(F.coalesce(numbered, F.unhex(F.lit("00" * 9))), digest, _eight_bytes(F.xxhash64(url)))
 
-    def place(self, df: DataFrame) -> DataFrame:
-        """``df`` with the ``shard`` of its ``id``; null ids are in shard 0."""
-        part = _bin(self.origin, self.width)
-        inside = (part == F.col("bin")) & F.col("id").between(F.col("low"), F.col("high"))
-        placed = df.join(self.table, inside, "left").drop("bin", "low", "high")
-        return placed.withColumn("shard", F.coalesce("shard", F.lit(0)))
 
+def first_keys(records: DataFrame, target: int, most: int) -> list[bytes]:
+    """The first key of every shard, in order, from ``key`` and ``size``: a shard takes the
+    next ``target`` bytes, or a ``most``-th of all if that is more.
 
-def _bin(origin: int, width: int) -> Column:
-    return F.expr(f"(cast(id as decimal(20,0)) - {origin}) div {width}")
+    One key is never cut. At most ``most`` keys reach the driver.
+    """
+    sums = records.groupBy("key").agg(F.sum("size").alias("size"))
+    sums = settle(sums, "record-keys")
+    placed = with_prefix_sums(sums, "size", ["key"])
+    total = sums.agg(F.sum("size")).first()[0] or 0
+    step = max(target, -(-total // most), 1)
+    cuts = placed.groupBy(F.expr(f"before div {step}").alias("shard")).agg(F.min("key").alias("key"))
+    return sorted(bytes(r[0]) for r in cuts.select("key").collect())
 
 
-def range_shards(sizes: DataFrame, target: int, bins: int = 4096) -> Ranges:
-    """Ranges of the id of about ``target`` bytes each, from ``id`` and ``bytes``.
+def in_shards(records: DataFrame, firsts: list[bytes]) -> DataFrame:
+    """``records`` with ``shard`` in place of their last column, ``key``."""
+    names = [*records.columns[:-1], "shard"]
+    schema = records.drop("key").withColumn("shard", F.lit(0)).schema
 
-    Bytes are summed by equal bins of the range of ids; bins that hold more than a
-    shard and more than one id are binned again. There are at most ``bins`` rows for each
-    shard, and they depend on the sums only.
-    """
-    spark = sizes.sparkSession
-    first, last, total = sizes.agg(F.min("id"), F.max("id"), F.sum("bytes")).first()
-    schema = "bin bigint, low bigint, high bigint, shard int"
-    if first is None:
-        return Ranges(spark.createDataFrame([], schema), 0, 1, 1)
-    bins = max(bins, 4 * (total // target))
-    width = max(1, -(-(last - first + 1) // bins))
-    done, todo = [], [(first, last, width)]
-    while todo:
-        found = []
-        for low, high, step in todo:
-            inside = sizes.filter(F.col("id").between(low, high)).groupBy(_bin(low, step).alias("bin")).agg(F.sum("bytes").alias("bytes"))
-            found += [(low + r[0] * step, min(high, low + (r[0] + 1) * step - 1), step, r[1]) for r in inside.collect()]
-        todo = []
-        for low, high, step, n in found:
-            if n > target and step > 1 and high > low:
-                todo.append((low, high, max(1, -(-(high - low + 1) // bins))))
-            else:
-                done.append((low, high, n))
-    before, rows = 0, []
-    for low, high, n in sorted(done):
-        rows.append(((low - first) // width, low, high, (before + n // 2) // target))
-        before += n
-    used = {s: i for i, s in enumerate(dict.fromkeys(r[3] for r in rows))}
-    rows = [(*r[:3], used[r[3]]) for r in rows]
-    return Ranges(settle(spark.createDataFrame(rows, schema), "shard-ranges"), first, width, len(used))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *rest, keys = batch.columns
+            shard = [max(0, bisect_right(firsts, k) - 1) for k in keys.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(shard, pa.int32())], names=names)
+
+    return records.mapInArrow(run, schema)
 
 
 def _digest(payload: Column) -> Column:
     return F.unhex(F.sha1(payload))
 
 
-def decisions(pages: DataFrame, min_payload: int) -> DataFrame:
-    """The (``id``, ``digest``) that are not a single response, with the ``first_id``
-    and ``first_url`` they are revisits of.
+def decisions(known: DataFrame, min_payload: int) -> DataFrame:
+    """The (``id``, ``url``, ``digest``) that are not a single response, with the ``first_id``
+    and ``first_url`` they are revisits of, from distinct ones with their ``rows`` and bytes ``n``.
 
-    Where the largest id itself is repeated, one of its rows is the response.
+    Where the response itself is repeated, one of its rows is the response.
     """
-    narrow = pages.filter(F.col("n") >= min_payload).groupBy("digest", "id").agg(F.max("url").alias("url"), F.count(F.lit(1)).alias("rows"))
-    narrow = settle(narrow, "payloads")
+    known = known.filter(F.col("n") >= min_payload)
     # Nulls come first in a struct's order: a null id is the largest only among nulls.
-    first = narrow.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("first"), F.sum("rows").alias("all")).filter("all > 1")
-    return narrow.join(first.select("digest", "first"), "digest").filter(~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("rows") > 1)).select(
-        "id", "digest", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url")
+    first = known.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("first"), F.sum("rows").alias("all")).filter("all > 1")
+    single = F.col("id").eqNullSafe(F.col("first.id")) & F.col("url").eqNullSafe(F.col("first.url")) & (F.col("rows") == 1)
+    return known.join(first.select("digest", "first"), "digest").filter(~single).select(
+        "id", "url", "digest", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url")
     )
 
 
@@ -177,39 +166,45 @@ def write(
     """Archives of all rows under ``root``; returns the committed manifest.
 
     Null payloads are empty. Rows are sorted by id (nulls first), digest and url within
-    a shard; null ids go to the first shard. Repeated rows are records of their own,
-    all but one of them revisits. An empty table gives an empty manifest.
+    a shard; an id, or no id, that many rows have goes to as many shards as its bytes fill.
+    Only repeated rows stay together: they are records of their own, all but one of them
+    revisits. Other columns are not written. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     body = F.coalesce(col(payload).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         col(id_column).cast("bigint").alias("id"), col(url).cast("string").alias("url"), body.alias("payload"), _digest(body).alias("digest")
     )
-    narrow = settle(rows.select("id", "url", "digest", F.octet_length("payload").cast("bigint").alias("n")), "page-digests")
-    known = decisions(narrow, settings.min_payload)
-    ranges = range_shards(narrow.select("id", (F.col("n") + 512).alias("bytes")), settings.shard_bytes)
+    narrow = rows.select("id", "url", "digest", F.octet_length("payload").cast("bigint").alias("n"))
+    known = settle(narrow.groupBy("id", "url", "digest").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "page-digests")
+    key = place_key(F.col("id"), F.col("digest"), F.col("url")).alias("key")
+    firsts = first_keys(known.select(key, ((F.col("n") + 512) * F.col("rows")).alias("size")), settings.shard_bytes, settings.max_shards)
+
+    def none(kind: str) -> Column:
+        return F.lit(None).cast(kind)
 
-    nothing = F.lit(None)
-    both = ranges.place(rows).select("shard", "id", "digest", F.lit(1).alias("kind"), "url", "payload", nothing.cast("bigint").alias("first_id")).unionByName(
-        ranges.place(known).select("shard", "id", "digest", F.lit(0).alias("kind"), F.col("first_url").alias("url"), nothing.cast("binary").alias("payload"), "first_id")
+    records = rows.select("id", "digest", F.lit(1).alias("kind"), "url", "payload", none("bigint").alias("first_id"), none("string").alias("first_url"), key)
+    decided = decisions(known, settings.min_payload).select(
+        "id", "digest", F.lit(0).alias("kind"), "url", none("binary").alias("payload"), "first_id", "first_url", key
     )
     # Decisions travel in the same shuffle as the records and arrive before theirs.
-    dealt = both.repartitionById(ranges.shards, F.col("shard")).sortWithinPartitions("shard", "id", "digest", "kind", F.desc("url"))
+    both = in_shards(records.unionByName(decided), firsts)
+    dealt = both.repartitionById(max(1, len(firsts)), F.col("shard")).sortWithinPartitions("shard", "id", "digest", "url", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, base = filesystem(root)
         disk.create_dir(base, recursive=True)
         out = _Roller(disk, base, settings)
-        decided, used = None, False
+        decided, origin, used = None, None, False
         for batch in _slices(batches):
-            for shard, page, raw, kind, link, content, first in zip(*[c.to_pylist() for c in batch.columns]):
+            for page, raw, kind, link, content, first, first_link, shard in zip(*[c.to_pylist() for c in batch.columns]):
                 if kind == 0:
-                    decided, used = (page, raw, (first, link)), False
+                    decided, origin, used = (page, raw, link), (first, first_link), False
                     continue
                 of = None
-                if decided and decided[:2] == (page, raw):
-                    of = decided[2]
-                    if of[0] == page and not used:
+                if decided == (page, raw, link):
+                    of = origin
+                    if origin == (page, link) and not used:
                         of, used = None, True  # the response itself
                 digest = bare_digest(content)
                 out.add(shard, page, record(page, link, content, digest, of, settings.date))

@@ -360,6 +360,37 @@ def test_archives_hold_all_records(spark, tmp_path, least, roll):
     assert some.count(b"WARC/1.1\r\n") == len(PAGES) and b"\r\nX: 1" not in some
 
 
+def test_pages_of_one_id_fill_as_many_shards_as_others(spark, tmp_path):
+    shards = {}
+    for name, page in (("null", None), ("seven", 7), ("own", None), ("copies", 7)):
+        data = [
+            (i if name == "own" else page, None if name == "copies" else f"http://h/{i}", "same" if name == "copies" else f"{i:05d}" * 100)
+            for i in range(400)
+        ]
+        pages = spark.createDataFrame(data, "page_id bigint, url string, html string").repartition(3)
+        manifest = warc.write(pages, f"{tmp_path}/{name}", warc.Settings(shard_bytes=20_000)).collect()
+        shards[name] = len({r.name.split("-")[1] for r in manifest})
+        back = Counter((r.page_id, r.record_type) for r in warc.read(spark, f"{tmp_path}/{name}").collect())
+        if name == "copies":
+            assert back == {(7, "response"): 1, (7, "revisit"): 399}
+        else:
+            assert back == Counter((r[0], "response") for r in data)
+    # Rows that nothing tells apart stay together.
+    assert shards == {"null": 21, "seven": 21, "own": 21, "copies": 1}
+    few = warc.write(pages.union(pages.withColumn("page_id", F.lit(8))), f"{tmp_path}/few", warc.Settings(shard_bytes=1, max_shards=2))
+    assert len({r.name.split("-")[1] for r in few.collect()}) == 2
+
+
+def test_same_payload_at_many_addresses_has_one_response(spark, tmp_path):
+    """A crowd without ids and with one payload is spread by address; one record is whole."""
+    data = [(None, f"http://h/{i}", "same") for i in range(300)] + [(None, "http://h/299", "same"), (None, None, "same")]
+    pages = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    manifest = warc.write(pages, f"{tmp_path}/a", warc.Settings(shard_bytes=20_000)).collect()
+    assert len({r.name.split("-")[1] for r in manifest}) > 5
+    back = warc.read(spark, f"{tmp_path}/a").collect()
+    assert [r.url for r in back if r.record_type == "response"] == ["http://h/99"] and len(back) == 302
+
+
 def test_archives_of_no_pages_and_damaged_ones(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
     warc.write(pages.limit(0), f"{tmp_path}/none")
