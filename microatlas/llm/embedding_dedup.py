@@ -1,11 +1,14 @@
 """Near-duplicate embeddings by an epsilon grid order join.
 
 Unit vectors with cosine c are sqrt(2 - 2c) apart, so a threshold on the cosine is a
-distance epsilon. Vectors are projected on the leading principal dimensions, where they are
-no farther apart than they are, and sorted by their cells in a grid of width epsilon.
+distance epsilon. Vectors are projected on the leading principal dimensions, with the length of
+what is left as one coordinate more; there they are no farther apart than they are. They are
+sorted by their cells in a grid of width epsilon.
 The sorted sequence is cut into blocks. Intervals of the sequence are joined
 recursively from the whole down to pairs of blocks; two intervals whose boxes are more than
-epsilon apart, or that share no group, are left out with all that is in them.
+epsilon apart, or that share no group, are left out with all that is in them. The pairs that
+stay are compared in tiles of neighbouring blocks, so that a block travels once a tile, not
+once a pair.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ from microatlas.runtime import settle
 
 FAN = 16
 BLOCK = 512
+#: Directions carried by the search for the leading ones beyond those asked for.
+SPARE = 4
+#: Bytes of one side of a tile, as a task holds it in doubles.
+TILE_BYTES = 32 << 20
 
 
 def number_type(df: DataFrame, vector: str) -> str:
@@ -71,55 +78,61 @@ def keyed(df: DataFrame, vector: str, label: str, keep: list[str]) -> DataFrame:
 
 
 def principal_axes(entries: DataFrame, kind: str, dimensions: int) -> np.ndarray:
-    """Leading eigenvectors of the second moments of all vectors (shorter ones padded).
+    """Orthonormal columns near the leading eigenvectors of the second moments of all
+    vectors (shorter ones padded with zeros).
 
-    Every task sums up its outer products; one matrix per task, merged in pairs by Spark's
-    tree, reaches the driver: bounded by the square of the vectors' length.
+    Two passes multiply the moments by a few directions; a task sums its own products, and
+    vector length times directions of numbers reach the driver, never the moments. What the
+    axes miss costs skipped blocks, not links.
     """
+    longest = entries.agg(F.max(F.octet_length("raw"))).first()[0] or 0
+    n = longest // np.dtype(kind).itemsize
+    directions = np.random.default_rng(0).normal(size=(n, min(n, dimensions + SPARE)))
+    if not n:
+        return directions
+    directions = np.linalg.qr(directions)[0]
+    directions = np.linalg.qr(_moments_times(entries, kind, directions))[0]
+    small = directions.T @ _moments_times(entries, kind, directions)
+    return directions @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :dimensions]
 
-    def moments(rows: Iterator) -> Iterator[np.ndarray]:
-        total = np.zeros((0, 0))
-        for batch in rows:
+
+def _moments_times(entries: DataFrame, kind: str, directions: np.ndarray) -> np.ndarray:
+    """The sum of x (x . d) over all vectors x, for each direction d."""
+    n, k = directions.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, k))
+        for batch in batches:
             by_length: dict[int, list[bytes]] = {}
             for raw in batch.column(0).to_pylist():
                 by_length.setdefault(len(raw), []).append(raw)
             for same in by_length.values():
                 m = units_of(b"".join(same), len(same), kind)
-                total = _padded_sum(total, m.T @ m)
-        yield total
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for total in moments(batches):
-            n = len(total)
-            if n:
-                at = np.arange(n * n)
-                yield pa.RecordBatch.from_arrays([pa.array(at // n), pa.array(at % n), pa.array(total.ravel())], names=["i", "j", "v"])
-
-    cells = entries.select("raw").mapInArrow(run, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    n = max((r[0] for r in cells), default=-1) + 1
-    matrix = np.zeros((n, n))
-    for i, j, v in cells:
-        matrix[i, j] = v
-    return np.linalg.eigh((matrix + matrix.T) / 2)[1][:, ::-1][:, :dimensions]
-
+                total[: m.shape[1]] += m.T @ (m @ directions[: m.shape[1]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * k)), pa.array(total.ravel())], names=["i", "v"])
 
-def _padded_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    n = max(len(a), len(b))
-    out = np.zeros((n, n))
-    out[: len(a), : len(a)] += a
-    out[: len(b), : len(b)] += b
-    return out
+    out = np.zeros(n * k)
+    for i, v in entries.select("raw").mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[i] = v
+    return out.reshape(n, k)
 
 
 def grid_blocks(entries: DataFrame, kind: str, axes: np.ndarray, epsilon: float, block: int = BLOCK) -> DataFrame:
     """The vectors in grid order, cut into blocks of one group each: ``seq`` (the block's
-    place), ``grp``, box ``low``/``high`` on the axes, ``ids``, ``copies`` and ``vectors``."""
-    k = axes.shape[1]
+    place), ``grp``, box ``low``/``high`` on the axes and the length beside them, ``ids``,
+    ``copies`` and ``vectors``."""
+    k = axes.shape[1] + 1
+
+    def point(v: np.ndarray) -> np.ndarray:
+        p = v @ axes[: len(v)]
+        rest = -(axes @ p)
+        rest[: len(v)] += v
+        return np.append(p, math.sqrt(rest @ rest))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = [units_of(r, 1, kind)[0] for r in batch.column(3).to_pylist()]
-            places = np.array([p @ axes[: len(p)] for p in points]).reshape(-1, k)
+            places = np.array([point(v) for v in points]).reshape(-1, k)
             cells = np.floor(places / epsilon).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(list(cells), pa.list_(pa.int32())), pa.array(list(places), pa.list_(pa.float64()))],
@@ -191,41 +204,66 @@ def block_pairs(blocks: DataFrame, epsilon: float, k: int) -> DataFrame:
     return pairs
 
 
-def join_blocks(blocks: DataFrame, pairs: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """For each pair of blocks, rows (``a``, ``b``, ``n``): with ``b`` a star edge of the
-    links found, with ``n`` the links of ``a`` counted with copies."""
-    data = blocks.select("seq", "ids", "copies", "vectors")
-    left = pairs.join(data.alias("x"), F.col("i") == F.col("x.seq")).select("i", "j", *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("ids", "copies", "vectors")])
-    both = left.join(data.alias("y"), F.col("j") == F.col("y.seq")).select("i", "j", "x_ids", "x_copies", "x_vectors", F.col("y.ids").alias("y_ids"), F.col("y.copies").alias("y_copies"), F.col("y.vectors").alias("y_vectors"))
+def tile_side(vector_bytes: int, block: int) -> int:
+    """Blocks along a tile, a power of two: as many as ``TILE_BYTES`` hold, at most ``FAN``."""
+    fit = max(1, TILE_BYTES // max(1, vector_bytes * block))
+    return min(FAN, 1 << (fit.bit_length() - 1))
+
+
+def join_blocks(blocks: DataFrame, pairs: DataFrame, kind: str, threshold: float, side: int = FAN) -> DataFrame:
+    """For the pairs of blocks, rows (``a``, ``b``, ``n``): with ``b`` a star edge of the
+    links found, with ``n`` the links of ``a`` counted with copies.
+
+    A tile is ``side`` by ``side`` pairs. Its task holds the first blocks of the pairs and
+    streams the second ones, each with the list of those it meets.
+    """
+    tile = [F.expr(f"{c} div {side}").alias(t) for c, t in (("i", "ti"), ("j", "tj"))]
+    none = F.lit(None).cast("array<bigint>").alias("meets")
+    held = pairs.select(*tile, F.lit(0).alias("second"), F.col("i").alias("seq"), none).distinct()
+    # A list has at most ``side`` entries.
+    streamed = pairs.select(*tile, "i", F.col("j").alias("seq")).groupBy("ti", "tj", "seq").agg(F.sort_array(F.collect_list("i")).alias("meets"))
+    needed = settle(held.unionByName(streamed.withColumn("second", F.lit(1))), "tiles")
+    tiles = needed.select("ti", "tj").distinct().count()
+    tasks = max(1, min(tiles, max(4 * blocks.sparkSession.sparkContext.defaultParallelism, tiles // FAN)))
+    sent = needed.join(blocks.select("seq", "ids", "copies", "vectors"), "seq")
+    order = ["ti", "tj", "second", "seq"]
+    dealt = sent.select(*order, "meets", "ids", "copies", "vectors").repartition(tasks, "ti", "tj").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, {}
         for batch in batches:
             for r in range(batch.num_rows):
-                i, j = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                ids, copies, vectors = [], [], []
-                for c in (2, 5):
-                    own = batch.column(c)[r].values.to_numpy()
-                    ids.append(own)
-                    copies.append(batch.column(c + 1)[r].values.to_numpy())
-                    vectors.append(units_of(batch.column(c + 2)[r].as_py(), len(own), kind))
-                if vectors[0].shape[1] != vectors[1].shape[1]:
-                    continue
-                linked = vectors[0] @ vectors[1].T >= threshold
-                if i == j:
-                    np.fill_diagonal(linked, False)
-                u, v = np.nonzero(linked)
-                if not len(u):
+                ti, tj, second, seq, meets = (batch.column(c)[r].as_py() for c in range(5))
+                if (ti, tj) != at:
+                    at, first = (ti, tj), {}
+                ids, copies = (batch.column(c)[r].values.to_numpy() for c in (5, 6))
+                own = ids, copies, units_of(batch.column(7)[r].as_py(), len(ids), kind)
+                if not second:
+                    # What is held must not keep its Arrow batch.
+                    first[seq] = ids.copy(), copies.copy(), own[2]
                     continue
-                links = [np.bincount(u, copies[1][v], len(ids[0])).astype(np.int64)]
-                if i != j:
-                    links.append(np.bincount(v, copies[0][u], len(ids[1])).astype(np.int64))
-                a, b = star_edges(ids[0][u], ids[1][v])
-                for x, n in zip(ids, links):
-                    some = n > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(x[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(n[some])], names=["a", "b", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "n"])
-
-    return both.mapInArrow(run, "a bigint, b bigint, n bigint")
+                for i in meets:
+                    yield from compared(first[i], own, i == seq)
+
+    def compared(x: tuple, y: tuple, same: bool) -> Iterator[pa.RecordBatch]:
+        if x[2].shape[1] != y[2].shape[1]:
+            return
+        linked = x[2] @ y[2].T >= threshold
+        if same:
+            np.fill_diagonal(linked, False)
+        u, v = np.nonzero(linked)
+        if not len(u):
+            return
+        found = [(x[0], np.bincount(u, y[1][v], len(x[0])).astype(np.int64))]
+        if not same:
+            found.append((y[0], np.bincount(v, x[1][u], len(y[0])).astype(np.int64)))
+        for ids, n in found:
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(n[some])], names=["a", "b", "n"])
+        a, b = star_edges(x[0][u], y[0][v])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "n"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def near_duplicates(
@@ -254,10 +292,9 @@ def near_duplicates(
     kind = number_type(df, vector)
     epsilon = math.sqrt(2 - 2 * threshold)
     axes = principal_axes(units, kind, dimensions)
-    if not axes.size:
-        axes = np.zeros((1, 1))
     blocks = grid_blocks(units, kind, axes, epsilon, block)
-    found = settle(join_blocks(blocks, block_pairs(blocks, epsilon, axes.shape[1]), kind, threshold), "links")
+    pairs = block_pairs(blocks, epsilon, axes.shape[1] + 1)
+    found = settle(join_blocks(blocks, pairs, kind, threshold, tile_side(8 * len(axes), block)), "links")
     roots = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "id")
     counts = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     rooted = units.select("id", "digest", "low", "copies").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

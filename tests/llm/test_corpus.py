@@ -165,6 +165,49 @@ def test_embedding_join_equals_all_pairs(spark, block):
     assert {r.n_links for r in embedding_dedup.near_duplicates(df.filter("label is null")).collect()} == {0}
 
 
+def few_dimensions(spark, n=1500):
+    """Unit vectors that three of their eight dimensions tell apart, as entries of the join."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(n, 3)) * (4, 3, 2), rng.normal(size=(n, 5)) * 0.02], axis=1)
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("<f8")
+    entries = spark.createDataFrame([(i, 1, "g", bytearray(x.tobytes())) for i, x in enumerate(v)], "id bigint, copies bigint, grp string, raw binary")
+    return v, entries.repartition(4).cache()
+
+
+def test_axes_are_orthonormal_and_lead(spark):
+    v, entries = few_dimensions(spark)
+    axes = embedding_dedup.principal_axes(entries, "<f8", 3)
+    assert np.allclose(axes.T @ axes, np.eye(3))
+    best = np.linalg.eigvalsh(v.T @ v)[::-1][:3].sum()
+    assert ((v @ axes) ** 2).sum() > 0.999 * best
+    assert embedding_dedup.principal_axes(entries.limit(0), "<f8", 3).shape == (0, 0)
+
+
+def test_most_pairs_of_blocks_are_skipped_and_tiles_agree(spark):
+    v, entries = few_dimensions(spark)
+    threshold = 0.99
+    epsilon = math.sqrt(2 - 2 * threshold)
+    axes = embedding_dedup.principal_axes(entries, "<f8", 3)
+    blocks = embedding_dedup.grid_blocks(entries, "<f8", axes, epsilon, 16)
+    pairs = embedding_dedup.block_pairs(blocks, epsilon, 4)
+    n, kept = blocks.count(), {(r.i, r.j) for r in pairs.collect()}
+    assert len(kept) < n * (n + 1) / 2 / 3
+    place = {i: r.seq for r in blocks.collect() for i in r.ids}
+    linked = np.argwhere(np.triu(v @ v.T >= threshold, 1))
+    assert {tuple(sorted((place[a], place[b]))) for a, b in linked} <= kept
+    want = Counter(linked.ravel().tolist())
+    for side in (1, 4, 16):
+        found = embedding_dedup.join_blocks(blocks, pairs, "<f8", threshold, side).collect()
+        count = Counter()
+        for r in found:
+            count[r.a] += r.n or 0
+        assert +count == want, side
+
+
+def test_a_tile_is_bounded_by_its_bytes():
+    assert [embedding_dedup.tile_side(8 * d, 512) for d in (0, 1, 64, 1024, 4096, 10**6)] == [16, 16, 16, 8, 2, 1]
+
+
 # --- packing
 
 
