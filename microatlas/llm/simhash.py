@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,10 +105,22 @@ def blocks_for(fingerprints: int, radius: int, crowd: int = 64, most: int = 12)
     return max(most, radius + 1)
 
 
-def candidates(table: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
+def full_buckets(dealt: DataFrame, deals: int, tile: int) -> tuple[DataFrame, Column]:
+    """Hash buckets of keys with more than ``tile`` of the ``deals`` rows, and a row's bucket.
+
+    Nearly every key is rare, so a count by key holds about as many groups as rows. A bucket
+    has about a quarter of ``tile`` rows, and no fewer than any key in it: a key with more than
+    ``tile`` rows is in a full bucket, and mostly there is none.
+    """
+    bucket = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(max(1, 4 * deals // tile)))
+    full = dealt.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
+    return settle(full.select("bucket"), "full-buckets"), bucket
+
+
+def candidates(distinct: DataFrame, count: int, radius: int, pivots: int, blocks: int, tile: int) -> DataFrame:
     """Rows dealt to the keys (and tiles of a key) under which they are compared.
 
-    A key holding more than ``tile`` fingerprints is cut into parts by hash; a row
+    A key holding more than ``tile`` of the ``count`` fingerprints is cut into parts by hash; a row
     goes to every tile that its part shares with another, so that all pairs of the key
     meet and no task has more than two parts.
     """
@@ -121,9 +133,15 @@ def candidates(table: DataFrame, radius: int, blocks: int, tile: int) -> DataFra
             part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
             key = F.shiftleft(key, width).bitwiseOR(part)
         keys.append(key)
-    dealt = table.select("fp", "pivot", F.explode(F.array(*keys)).alias("key"))
+    each = F.explode(F.array(*keys)).alias("key")
+    counted = distinct.select("fp", each)
+    dealt = pivot_table(distinct, pivots).select("fp", "pivot", each)
+    full, bucket = full_buckets(counted, count * len(keys), tile)
+    if full.isEmpty():
+        return dealt.withColumns({"i": F.lit(0), "j": F.lit(0)})
     crowded = settle(
-        dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
+        counted.withColumn("bucket", bucket).join(full, "bucket", "left_semi")
+        .groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
         .select("key", F.ceil(F.col("n") / tile).cast("int").alias("parts")),
         "crowded-keys",
     )
@@ -169,18 +187,23 @@ def _links_of(fp: np.ndarray, key: np.ndarray, pivot: np.ndarray, radius: int):
     return found[0] if found else (rows, rows)
 
 
-def links(fingerprints: DataFrame, radius: int = 4, pivots: int = 16, blocks: int | None = None, tile: int = 4096) -> DataFrame:
+def links(
+    fingerprints: DataFrame, radius: int = 4, pivots: int = 16, blocks: int | None = None, tile: int = 4096, distinct: bool = False
+) -> DataFrame:
     """Links (``a``, ``b``) between distinct fingerprints ``fp`` that connect just what
     pairs within ``radius`` bits connect.
 
     Of a clique only a star is emitted: at most as many rows as there are fingerprints
     under a key. Without ``blocks`` the number of bands follows that of the fingerprints.
+    ``distinct`` says that they are distinct and settled already.
     """
-    table = settle(pivot_table(fingerprints.select("fp").distinct(), pivots), "pivot-table")
-    blocks = blocks_for(table.count(), radius) if blocks is None else blocks
+    own = fingerprints.select("fp")
+    own = own if distinct else settle(own.distinct(), "distinct-fingerprints")
+    count = own.count()
+    blocks = blocks_for(count, radius) if blocks is None else blocks
     if blocks <= radius:
         raise ValueError("there must be more bands than differing bits")
-    dealt = candidates(table, radius, blocks, tile)
+    dealt = candidates(own, count, radius, pivots, blocks, tile)
     sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "pivot", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +274,7 @@ def _grouped(source: DataFrame, radius: int, words: int, search: dict) -> DataFr
     ``component_id``."""
     marked = settle(with_fingerprints(source, "body", ["whole_row", "own"], words), "fingerprints")
     groups = settle(marked.groupBy("fp").agg(F.min("own").alias("low")), "fingerprint-groups")
-    roots = components(links(groups, radius, **search)).withColumnRenamed("node", "fp")
+    roots = components(links(groups, radius, distinct=True, **search)).withColumnRenamed("node", "fp")
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = settle(rooted.join(lows, "root").select("fp", "root", "component_id"), "fingerprint-components")

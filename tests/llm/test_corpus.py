@@ -129,6 +129,30 @@ def test_bands_follow_the_fingerprints_and_links_stay(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) == len(fps) - len(set(closed(len(fps), pairs)))
 
 
+def test_only_rows_of_full_buckets_are_counted_by_key(spark):
+    rare = spark.range(40_000).select((F.col("id") % 20_000 * 977).alias("key"))  # each key twice
+    full, _ = simhash.full_buckets(rare, 40_000, 256)
+    assert full.count() == 0
+    crowd = rare.unionByName(spark.range(900).select((F.col("id") % 3 - 5).alias("key")))  # three keys 300 times
+    full, bucket = simhash.full_buckets(crowd, 40_900, 256)
+    left = crowd.withColumn("bucket", bucket).join(full, "bucket", "left_semi").groupBy("key").count().collect()
+    assert {r.key: r["count"] for r in left if r["count"] > 256} == {-5: 300, -4: 300, -3: 300}
+    assert sum(r["count"] for r in left) < 2_000
+
+
+@pytest.mark.parametrize("tile", [8, 64])
+def test_simhash_links_of_crowded_keys(spark, tile):
+    rng = np.random.default_rng(8)
+    low = rng.choice(1 << 24, 400, replace=False).astype(np.uint64)  # 40 upper bits in common: six keys with all 400
+    fps = np.concatenate([low, low[:60] ^ np.uint64(0b10011), rng.integers(0, 2**63, 300, dtype=np.uint64)])
+    fps = np.unique(fps).view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp bigint")
+    found = {(r.node, r.root) for r in common.components(simhash.links(df, tile=tile)).collect()}
+    bits = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    roots = closed(len(fps), [(int(a), int(b)) for a, b in np.argwhere(bits <= 4) if a > b])
+    assert found == {(int(fps[i]), int(fps[r])) for i, r in enumerate(roots) if i != r}
+
+
 # --- embeddings
 
 
