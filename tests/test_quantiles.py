@@ -95,3 +95,41 @@ def test_quantiles_of_negative_and_tiny_values(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert exact_quantiles(df, {"x": [0.0, 0.3, 1.0]})["x"] == pytest.approx([-math.inf, np.quantile(values[:-1] + [-1e308], 0.3), 0.0])
     assert exact_quantiles(df, {"x": []}) == {"x": []} and exact_quantiles(df.limit(0), {"x": [0.5]}) == {"x": [None]}
+
+
+def test_what_makes_the_values_is_done_once(spark):
+    """Four passes over a join joined four times and took the bits anew for every use of them."""
+    from pyspark.sql.types import DoubleType
+
+    made = spark.sparkContext.accumulator(0)
+
+    def half(x):
+        made.add(1)
+        return x / 2
+
+    df = spark.range(1000).select(F.udf(half, DoubleType())(F.col("id")).alias("x"))
+    assert exact_medians(df, ["x"]) == {"x": 249.75}
+    assert made.value == 1000
+
+
+def test_a_prefix_is_a_range_of_values():
+    from microatlas.operators.quantiles import value_range
+
+    rng, of = random.Random(9), lambda x: int.from_bytes(np.float64(abs(x)).tobytes(), "little") * (-1 if x < 0 else 1)
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.0, -1.0, math.inf, -math.inf, 1.7976931348623157e308] + [rng.choice((-1, 1)) * 2.0 ** rng.uniform(-1074, 1023) for _ in range(500)]
+    for shift in (48, 32, 16):
+        for x in values:
+            low, high = value_range(of(x) >> shift, shift)
+            assert low <= x <= high
+            assert all(of(y) >> shift != of(x) >> shift for y in (math.nextafter(low, -math.inf), math.nextafter(high, math.inf)) if not low <= y <= high)
+
+
+def test_scratch_of_the_passes_is_deleted(spark):
+    import os
+
+    from microatlas.runtime import scratch_path
+
+    folder = os.path.dirname(scratch_path(spark, "x"))
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    exact_medians(spark.range(10).selectExpr("id * 1.5 as x"), ["x"])
+    assert set(os.listdir(folder)) == before
